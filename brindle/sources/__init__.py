@@ -1 +1 @@
-"""Package sources."""
+"""Readers, writers and generators."""
