@@ -49,8 +49,13 @@ def metrics(df: DataFrame) -> dict[str, dict[str, int]]:
     todo = [df._jdf.queryExecution().executedPlan()]
     while todo:
         node = todo.pop()
-        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
-            node = node.executedPlan()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+            continue
+        if kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+            continue
         found, it = out.setdefault(node.nodeName(), {}), node.metrics().iterator()
         while it.hasNext():
             kv = it.next()

@@ -14,6 +14,12 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def is_small(df: DataFrame, most: int = BROADCAST_BYTES, rows: int = 100_000) -> bool:
+    """Whether a table's estimated size is within the bound or, where the estimate is unknown or too high, its row count is
+    (counted no further than the bound)."""
+    return plan_bytes(df) <= most or df.select(F.lit(1)).limit(rows + 1).count() <= rows
+
+
 def maybe_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """The table with a broadcast hint if its estimated size is within the bound; else the shuffle join stays."""
     return F.broadcast(df) if plan_bytes(df) <= most else df
@@ -30,16 +36,18 @@ def star_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -
     return left.join(maybe_broadcast(checked.where(F.coalesce(F.col("_ok"), F.lit(True))).select(key, *others)), key, how)
 
 
-def inequality_join(left: DataFrame, right: DataFrame, a: str, op: str, b: str, most: int = BROADCAST_BYTES) -> DataFrame:
+def inequality_join(left: DataFrame, right: DataFrame, a: str, op: str, b: str, most: int = BROADCAST_BYTES, rows: int = 100_000) -> DataFrame:
     """All pairs with a < b (or <=, >, >=). The result is quadratic by nature, so one side must be small: its size is
-    checked, and a larger one is refused; bound the difference and use `band_join`, or count with `rank_counts`."""
+    checked, and two large sides are refused; bound the difference and use `band_join`. Nulls meet nothing."""
     if op not in ("<", "<=", ">", ">="):
         raise ValueError("op is one of < <= > >=")
-    if min(plan_bytes(left), plan_bytes(right)) > most:
-        raise ValueError("both sides are large: use band_join, or rank_counts for the numbers of pairs")
     x, y = F.col(a), F.col(b)
     on = {"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op]
-    return left.join(maybe_broadcast(right, most), on) if plan_bytes(right) <= plan_bytes(left) else maybe_broadcast(left, most).join(right, on).select(*left.columns, *right.columns)
+    if is_small(right, most, rows):
+        return left.join(F.broadcast(right), on)
+    if is_small(left, most, rows):
+        return F.broadcast(left).join(right, on)
+    raise ValueError("both sides are large: bound the difference and use band_join")
 
 
 def band_join(left: DataFrame, right: DataFrame, x: str, low: str, high: str, width: float, on: list[str] | None = None) -> DataFrame:
