@@ -133,7 +133,10 @@ class Plan:
 
     def grouped(self, counts: dict[int, int], rank: dict[int, int], large: list[int], groups: int) -> None:
         total = sum(counts[s] for s in large)
-        cuts = sorted({round(total * g / groups) for g in range(1, groups + 1)} - {0})
+        if len(large) <= groups:  # few sizes as they are: nothing need be rounded
+            cuts = np.cumsum([counts[s] for s in large]).tolist()
+        else:
+            cuts = sorted({round(total * g / groups) for g in range(1, groups + 1)} - {0})
         members: list[list[list[int]]] = [[]]  # per group: [size, first rank, items], sizes falling
         at, g = 0, 0
         for s in large:

@@ -187,10 +187,11 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def fit(docs: DataFrame, labels: DataFrame, areas: list[str], doc: str, text: str, label: str, most_labelled: int = MOST_LABELLED, most_features: int = MOST_FEATURES, rounds: int = ROUNDS, width: int = WIDTH, step: float = STEP, parts: int = PARTS, seed: int = 1) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, areas: list[str], doc: str, text: str, label: str, most_labelled: int = MOST_LABELLED, most_features: int = MOST_FEATURES, rounds: int = ROUNDS, width: int = WIDTH, step: float = STEP, parts: int = PARTS, max_share: float = MAX_SHARE, seed: int = 1) -> Model:
     """A model trained on the labelled documents. `labels` has rows (doc, label), several per document if it has several
     areas; a null label says that there is none, and labels that are not in `areas` are left out. The sample is
-    the `most_labelled` documents whose ids have the smallest hashes. Without any usable label the model finds nothing."""
+    the `most_labelled` documents whose ids have the smallest hashes. Features of more than `max_share` of them tell no
+    area from another; raise it where there are only a few areas. Without any usable label the model finds nothing."""
     spark = docs.sparkSession
     by_doc = labels.where(F.col(doc).isNotNull()).groupBy(F.col(doc).alias("d")).agg(F.collect_set(F.when(F.col(label).isin(areas), F.col(label))).alias("areas"))
     sample = by_doc.orderBy(F.xxhash64("d"), "d").limit(most_labelled)
@@ -207,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, areas: list[str], doc: str, text: st
 
     counts = materialize(labelled.select("t").mapInArrow(seen, "f string").groupBy("f").agg(F.count(F.lit(1)).alias("n")), "features")
     n = counts.where("f = ''").agg(F.sum("n")).first()[0] or 0
-    top = counts.where((F.col("f") != "") & (F.col("n") >= MIN_DOCS) & (F.col("n") <= MAX_SHARE * n)).orderBy(F.desc("n"), "f").limit(most_features).collect()
+    top = counts.where((F.col("f") != "") & (F.col("n") >= MIN_DOCS) & (F.col("n") <= max_share * n)).orderBy(F.desc("n"), "f").limit(most_features).collect()
     names, rarity = [r["f"] for r in top], np.log(n / np.array([r["n"] for r in top], float))
     rng = np.random.default_rng(seed)
     weights = [rng.normal(0, 0.1, (len(names), width)), rng.normal(0, 0.3, (width, len(areas))), np.full(len(areas), -2.0)]
