@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.storage import free_name, materialize
+from brindle.storage import free_name, materialize, spread
 
 #: Fields (in lower case) that say "nothing".
 PLACEHOLDERS = frozenset(["", "-", "--", "n/a", "na", "nan", "nil", "none", "null", "undefined"])
@@ -268,7 +268,7 @@ def value_codes(df: DataFrame, field: str, max_codes: int = MAX_CODES) -> tuple[
     """Counts of the values with a share of at least 1/max_codes (so at most max_codes of them), and the number of values.
 
     All rows are counted; the counts are kept as a table, and only what passes the threshold reaches the driver."""
-    partial = df.select(F.col(field).cast("string").alias("field")).where("field is not null").mapInArrow(_count, "value string, n bigint")
+    partial = spread(df.select(F.col(field).cast("string").alias("field")).where("field is not null")).mapInArrow(_count, "value string, n bigint")
     counts = materialize(partial.groupBy("value").agg(F.sum("n").alias("n")), "values")
     total = counts.agg(F.sum("n")).first()[0] or 0
     frequent = counts.where(F.col("n") * max_codes >= F.lit(total)).collect()
@@ -296,7 +296,7 @@ def parsed(df: DataFrame, field: str, keep: list[str], bits: str = "bits", value
                 all_values.append(v)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(all_bits, pa.float64()), pa.array(all_values, pa.list_(pa.string()))], names=[*names, "b", "v"])
 
-    done = source.mapInArrow(run, out)
+    done = spread(source).mapInArrow(run, out)
     return done.select(*(F.col(n).alias(c) for n, c in zip(names, keep)), F.col("b").alias(bits), F.col("v").alias(values))
 
 

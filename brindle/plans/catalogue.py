@@ -398,15 +398,15 @@ _q("bench_group_count", "SELECT CAST(floor(id / 10) AS BIGINT) AS g, count(*) AS
 _q("bench_group_having", f"SELECT CAST(floor(id / 10) AS BIGINT) AS g, round(sum(double_x + double_y), 4) AS res {_no_nan} GROUP BY CAST(floor(id / 10) AS BIGINT) HAVING sum(double_x + double_y) > 10")
 _loc = "pickup_location_id, dropoff_location_id, payment_type"
 _q("bench_taxi_q1", "SELECT pickup_datetime, dropoff_datetime, fare_amount, pickup_location_id, dropoff_location_id FROM trips WHERE payment_type = 2 GROUP BY pickup_datetime, dropoff_datetime, fare_amount, pickup_location_id, dropoff_location_id HAVING fare_amount > 20.0")
-_q("bench_taxi_q2", f"SELECT {_loc}, count(*) AS n, round(avg(fare_amount), 4) AS fare FROM trips GROUP BY {_loc}")
+_q("bench_taxi_q2", f"SELECT {_loc}, count(*) AS n, round(avg(fare_amount), 8) AS fare FROM trips GROUP BY {_loc}")
 _q("bench_taxi_q3", f"SELECT {_loc}, count(*) AS n, round(sum(total_amount), 4) AS total FROM trips GROUP BY {_loc} HAVING sum(fare_amount + extra) < 0")
 _q("bench_taxi_q4", "SELECT trips.payment_type, trips.fare_amount, trips.mta_tax, trips.trip_distance, trips.tolls_amount, cab_types.type FROM trips INNER JOIN cab_types ON trips.cab_type_id = cab_types.id")
 _dist, _total = "CASE WHEN total_amount IS NOT NULL THEN trip_distance END", "CASE WHEN trip_distance IS NOT NULL THEN total_amount END"
 _varies = f"var_pop({_dist}) > 0.000001 AND var_pop({_total}) > 0.000001"
 for _n, _k in {"q5": "pickup_location_id", "q6": "payment_type", "q7": "dropoff_location_id"}.items():
     _on(f"bench_taxi_{_n}", "trips", lambda t, k=_k: t.groupBy(k).agg(
-        F.when(F.expr(_varies), F.round(scalar.safe_corr(F.col("trip_distance"), F.col("total_amount")), 6)).alias("correlation"), F.round(F.avg("trip_distance"), 4).alias("mean_distance"), F.round(F.avg("total_amount"), 4).alias("mean_amount")),
-        f"SELECT {_k}, CASE WHEN {_varies} THEN round(corr(trip_distance, total_amount), 6) END AS correlation, round(avg(trip_distance), 4) AS mean_distance, round(avg(total_amount), 4) AS mean_amount FROM trips GROUP BY {_k}")
+        F.when(F.expr(_varies), F.round(scalar.safe_corr(F.col("trip_distance"), F.col("total_amount")), 6)).alias("correlation"), F.round(F.avg("trip_distance"), 8).alias("mean_distance"), F.round(F.avg("total_amount"), 8).alias("mean_amount")),
+        f"SELECT {_k}, CASE WHEN {_varies} THEN round(corr(trip_distance, total_amount), 6) END AS correlation, round(avg(trip_distance), 8) AS mean_distance, round(avg(total_amount), 8) AS mean_amount FROM trips GROUP BY {_k}")
 
 # ---- streaming -------------------------------------------------------------------------------------------------------
 

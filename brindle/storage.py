@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,7 +14,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found
-    if not spark.sparkContext.master.startswith("local["):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="brindle-")
     spark.conf.set("spark.checkpoint.dir", f"file://{path}")
@@ -39,3 +40,14 @@ def free_name(name: str, taken: list[str]) -> str:
     while name.lower() in low:
         name += "_"
     return name
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over as many tasks as there are cores, where a plain scan would start fewer (small or single files).
+
+    For operators that compute a lot per row. At scale a scan has more tasks than cores, and nothing is shuffled."""
+    plan = df._jdf.queryExecution()
+    if plan.executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return df  # its shuffles decide
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df
