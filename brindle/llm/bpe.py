@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.storage import free_name
+from brindle.storage import free_name, spread
 
 #: Where the public tokenizers' files lie, and the default vocabulary.
 TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
@@ -214,7 +214,7 @@ def _tokens(df: DataFrame, text: str, keep: list[str], out: str, make, tokenizer
                 b = batch.slice(lo, 512)
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], make(enc, b.column(len(names)).to_pylist())], names=[*names, "x"])
 
-    return source.mapInArrow(run, schema).select(*(F.col(n).alias(c) for n, c in zip(names, keep)), "x")
+    return spread(source).mapInArrow(run, schema).select(*(F.col(n).alias(c) for n, c in zip(names, keep)), "x")
 
 
 def _lists(enc: Encoder, texts: list[str | None]) -> pa.Array:

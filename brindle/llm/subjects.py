@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.storage import free_name, materialize
+from brindle.storage import free_name, materialize, spread
 
 #: Bounds of the sample and the vocabulary; features of fewer labelled documents, or of a larger share, are left out.
 MOST_LABELLED, MOST_FEATURES, MIN_DOCS, MAX_SHARE = 20_000, 1 << 14, 2, 0.2
@@ -269,6 +269,6 @@ def classify(docs: DataFrame, model: Model, text: str, keep: list[str], sure: fl
                 cols = [c.slice(lo, hi - lo).take(at) for c in b.columns[: len(names)]]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array([model.areas[a] for a in area], pa.string()), pa.array(out[row, area].astype(np.float64))], names=[*names, "subject", "score"])
 
-    done = source.mapInArrow(run, types)
+    done = spread(source).mapInArrow(run, types)
     new = free_name(subject, keep)
     return done.select(*(F.col(k).alias(c) for k, c in zip(names, keep)), F.col("subject").alias(new), F.col("score").alias(free_name("score", [*keep, new])))
