@@ -37,7 +37,7 @@ PIECE = 5
 CACHE, TOGETHER = 1 << 18, 1 << 21
 
 #: Characters that show nothing.
-_UNSEEN = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2060, 0xFEFF])
+_UNSEEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 _ASIDE = re.compile(r"<ref[^<>]*/>|<ref[^<>]*>.*?</ref>|<!--.*?-->|https?://\S+", re.S | re.I)
 _HEADING = re.compile(r"^[ \t]*==+[^=\n]+==+[ \t]*$", re.M)
 _WORD = re.compile(r"[^\W\d_]{2,}")
@@ -55,7 +55,7 @@ def sections(text: str | None) -> list[list[str]]:
         return []
     t = html.unescape(text) if "&" in text else text
     if not t.isascii():
-        t = unicodedata.normalize("NFKC", _DAMAGED.sub(_mend, t).translate(_UNSEEN))
+        t = unicodedata.normalize("NFKC", _UNSEEN.sub("", _DAMAGED.sub(_mend, t)))
     t = _ASIDE.sub(" ", t)
     return [_WORD.findall(s) for s in _HEADING.split(t.lower())]
 
