@@ -7,8 +7,8 @@ takes one step, so the result does not depend on how the sample is partitioned (
 of every document is scored; a document has an area if one of its sections is clearly about it, so a second area with
 sections of its own counts and a passing mention does not.
 
-Only the labelled sample is bounded (`most_labelled`), and with it the vocabulary (`most_features`). All documents are
-scored whole, where they lie, without a shuffle.
+Only the labelled sample is bounded (`most_labelled`). The vocabulary is every feature of at least MIN_DOCS of its
+documents that is not too common, so it grows with the sample only. All documents are scored whole, where they lie, without a shuffle.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from brindle.storage import free_name, materialize, spread
 
-#: Bounds of the sample and the vocabulary; features of fewer labelled documents, or of a larger share, are left out.
-MOST_LABELLED, MOST_FEATURES, MIN_DOCS, MAX_SHARE = 20_000, 1 << 14, 2, 0.2
+#: Bound of the sample; features of fewer labelled documents, or of a larger share, are left out.
+MOST_LABELLED, MIN_DOCS, MAX_SHARE = 20_000, 2, 0.2
 #: Length of the mean below which a short text counts as less sure; size of the embeddings; rounds; step; parts of the
 #: sample. On held-out labels more rounds only learn the labellers' mistakes (0.933 after 10 to 30, 0.92 after 60).
 FLOOR, WIDTH, ROUNDS, STEP, PARTS = 30.0, 16, 16, 0.1, 6
@@ -187,11 +187,12 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def fit(docs: DataFrame, labels: DataFrame, areas: list[str], doc: str, text: str, label: str, most_labelled: int = MOST_LABELLED, most_features: int = MOST_FEATURES, rounds: int = ROUNDS, width: int = WIDTH, step: float = STEP, parts: int = PARTS, max_share: float = MAX_SHARE, seed: int = 1) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, areas: list[str], doc: str, text: str, label: str, most_labelled: int = MOST_LABELLED, most_features: int | None = None, rounds: int = ROUNDS, width: int = WIDTH, step: float = STEP, parts: int = PARTS, max_share: float = MAX_SHARE, seed: int = 1) -> Model:
     """A model trained on the labelled documents. `labels` has rows (doc, label), several per document if it has several
     areas; a null label says that there is none, and labels that are not in `areas` are left out. The sample is
     the `most_labelled` documents whose ids have the smallest hashes. Features of more than `max_share` of them tell no
-    area from another; raise it where there are only a few areas. Without any usable label the model finds nothing."""
+    area from another; raise it where there are only a few areas. All other features of MIN_DOCS documents are kept
+    unless `most_features` asks for only the most frequent. Without any usable label the model finds nothing."""
     spark = docs.sparkSession
     by_doc = labels.where(F.col(doc).isNotNull()).groupBy(F.col(doc).alias("d")).agg(F.collect_set(F.when(F.col(label).isin(areas), F.col(label))).alias("areas"))
     sample = by_doc.orderBy(F.xxhash64("d"), "d").limit(most_labelled)
@@ -208,14 +209,15 @@ def fit(docs: DataFrame, labels: DataFrame, areas: list[str], doc: str, text: st
 
     counts = materialize(labelled.select("t").mapInArrow(seen, "f string").groupBy("f").agg(F.count(F.lit(1)).alias("n")), "features")
     n = counts.where("f = ''").agg(F.sum("n")).first()[0] or 0
-    top = counts.where((F.col("f") != "") & (F.col("n") >= MIN_DOCS) & (F.col("n") <= max_share * n)).orderBy(F.desc("n"), "f").limit(most_features).collect()
+    kept = counts.where((F.col("f") != "") & (F.col("n") >= MIN_DOCS) & (F.col("n") <= max_share * n)).orderBy(F.desc("n"), "f")
+    top = (kept if most_features is None else kept.limit(most_features)).collect()  # features of the bounded sample
     names, rarity = [r["f"] for r in top], np.log(n / np.array([r["n"] for r in top], float))
     rng = np.random.default_rng(seed)
     weights = [rng.normal(0, 0.1, (len(names), width)), rng.normal(0, 0.3, (width, len(areas))), np.full(len(areas), -2.0)]
     weights = [w.astype(np.float32) for w in weights]
     if not names:
         return Model(areas, names, rarity, weights)
-    words = spark.sparkContext.broadcast((names, rarity))  # at most `most_features`
+    words = spark.sparkContext.broadcast((names, rarity))  # features of the bounded sample
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list = [(t, a) for b in batches for t, a in zip(*(c.to_pylist() for c in b.columns))]  # a part of the bounded sample
@@ -236,13 +238,21 @@ def fit(docs: DataFrame, labels: DataFrame, areas: list[str], doc: str, text: st
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for blob in b.column(0).to_pylist():
-                    g = gradient(dict(np.load(io.BytesIO(blob))), now.value)
-                    yield pa.RecordBatch.from_pydict({"g": pa.array([np.concatenate([x.ravel() for x in g]).astype(np.float32).tobytes()], pa.binary())})
-
-        # At most `parts` gradients of the size of the weights, which are bounded by `most_features`.
-        summed = sum(np.frombuffer(bytes(r["g"]), np.float32) for r in sparse.select("blob").mapInArrow(work, "g binary").collect()) / total
-        cut = np.cumsum([w.size for w in weights])[:-1]
-        adam.take([g.reshape(w.shape) for g, w in zip(np.split(summed, cut), weights)])
+                    part = dict(np.load(io.BytesIO(blob)))
+                    g, own = gradient(part, now.value), np.unique(part["ids"])
+                    g[0] = g[0][own]  # embeddings of features that the part lacks have no gradient
+                    yield pa.RecordBatch.from_pydict({"own": pa.array([own.astype(np.int32).tobytes()], pa.binary()), "g": pa.array([np.concatenate([x.ravel() for x in g]).astype(np.float32).tobytes()], pa.binary())})
+
+        # At most `parts` gradients, each of the features in its part of the bounded sample.
+        summed = [np.zeros_like(w) for w in weights]
+        for r in sparse.select("blob").mapInArrow(work, "own binary, g binary").collect():
+            own = np.frombuffer(bytes(r["own"]), np.int32)
+            cut = np.cumsum([own.size * width, weights[1].size])
+            inner, outer, offset = np.split(np.frombuffer(bytes(r["g"]), np.float32), cut)
+            summed[0][own] += inner.reshape(-1, width)
+            summed[1] += outer.reshape(weights[1].shape)
+            summed[2] += offset
+        adam.take([g / total for g in summed])
         now.destroy()
     return Model(areas, names, rarity, weights)
 

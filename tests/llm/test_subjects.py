@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -106,3 +107,11 @@ def test_the_sample_is_bounded(spark):
     labels = spark.createDataFrame([(i, a) for i, t in enumerate(truth) for a in (t or {None})], "doc int, label string")
     m = fit(docs, labels, sorted(TERMS), "doc", "text", "label", most_labelled=60, most_features=20, rounds=2)
     assert len(m.names) <= 20 and subjects.MOST_LABELLED == 20_000
+
+
+def test_rare_features_are_kept(spark):
+    words = ["".join(p) for p in itertools.islice(itertools.product("abcdefghijklmnopqrstuvwxyz", repeat=4), 18_000)]
+    texts = [" ".join(words)] * 2 + [" ".join(PLAIN)] * 18
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc int, text string")
+    labels = spark.createDataFrame([(i, "law" if i < 2 else None) for i in range(20)], "doc int, label string")
+    assert set(words) <= set(fit(docs, labels, ["law"], "doc", "text", "label", rounds=1).names)
