@@ -8,6 +8,9 @@ Each task turns its baskets into a binary sparse matrix X (basket x item), a few
 the Gram matrix X'X in blocks of items: short baskets as sparse outer products, one per basket length, long ones as dense
 products of the blocks they touch. Only the non-zero cells of a task's sums are shuffled, never single pairs, and
 the sums are set against the product of the items' own counts.
+
+`every_pair` has no support: it counts all pairs of any number of items. There each task adds up its own distinct pairs
+under numbers of its own, so no table of items is sent to the tasks, and the items' counts come by joins.
 """
 
 from __future__ import annotations
@@ -20,12 +23,14 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.storage import materialize
+from brindle.storage import materialize, spread
 
 #: Items of a block, records of a block, the longest basket taken as sparse outer products, cells held by a task.
 SIDE, RECORDS, SHORT, CELLS = 256, 4096, 24, 1 << 22
 #: Frequent items that may be sent to all tasks.
 MOST_ITEMS = 1 << 18
+#: Pairs that a task of `every_pair` holds before it passes its sums on; rows of a batch that it passes on.
+HELD, OUT = 1 << 21, 1 << 17
 
 
 class Gram:
@@ -97,6 +102,15 @@ def item_counts(baskets: DataFrame, items: str) -> DataFrame:
     return baskets.select(F.explode(F.array_distinct(items)).alias("item")).where("item is not null").groupBy("item").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _baskets(baskets: DataFrame, items: str) -> DataFrame:
+    """The distinct items of every basket that has some, in a column `items`."""
+    return materialize(baskets.select(F.array_distinct(F.filter(items, lambda x: x.isNotNull())).alias("items")).where("size(items) > 0"), "baskets")
+
+
+def _lift(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumn("lift", F.col("n_ab").cast("double") * F.col("n") / (F.col("n_a").cast("double") * F.col("n_b")))
+
+
 def pair_counts(baskets: DataFrame, items: str, least: int, share: int) -> DataFrame:
     """(item_a, item_b, n_a, n_b, n_ab, n, lift) of the pairs in at least `least` baskets and a `share`-th of all N.
 
@@ -105,7 +119,7 @@ def pair_counts(baskets: DataFrame, items: str, least: int, share: int) -> DataF
     n_ab * N / (n_a * n_b), 1 being chance. Baskets of any length are used whole; every repeated basket counts.
     An empty table gives no rows. Other columns are not read."""
     spark = baskets.sparkSession
-    baskets = materialize(baskets.select(F.array_distinct(F.filter(items, lambda x: x.isNotNull())).alias("items")).where("size(items) > 0"), "baskets")
+    baskets = _baskets(baskets, items)
     n_all = baskets.count()
     enough = max(least, -(-n_all // share))
     frequent = item_counts(baskets, "items").where(F.col("n") >= enough).orderBy(F.desc("n"), "item").limit(MOST_ITEMS + 1).collect()
@@ -141,4 +155,91 @@ def pair_counts(baskets: DataFrame, items: str, least: int, share: int) -> DataF
     first = F.col("item_l") < F.col("item_r")
     pick = lambda x, y, name: F.when(first, F.col(x)).otherwise(F.col(y)).alias(name)
     out = pairs.select(pick("item_l", "item_r", "item_a"), pick("item_r", "item_l", "item_b"), pick("n_l", "n_r", "n_a"), pick("n_r", "n_l", "n_b"), "n_ab", F.lit(n_all).cast("long").alias("n"))
-    return out.withColumn("lift", F.col("n_ab").cast("double") * F.col("n") / (F.col("n_a").cast("double") * F.col("n_b")))
+    return _lift(out)
+
+
+def _codes(ids: np.ndarray, n: np.ndarray) -> Iterator[np.ndarray]:
+    """Codes (a << 32 | b, a < b) of all pairs of records: ascending numbers, one record after the other; their lengths.
+
+    At most about HELD codes at once: a record with more gives those of one item at a time."""
+    start = np.cumsum(n) - n
+    for length in np.unique(n[n > 1]):
+        pairs = int(length) * (int(length) - 1) // 2
+        if pairs > HELD:
+            for lo in start[n == length]:
+                x = ids[lo : lo + length]
+                for i in range(length - 1):
+                    yield x[i] << 32 | x[i + 1 :]
+            continue
+        a, b = np.triu_indices(length, 1)
+        at, step = start[n == length], HELD // pairs
+        for lo in range(0, len(at), step):
+            x = ids[at[lo : lo + step, None] + np.arange(length)]
+            yield (x[:, a] << 32 | x[:, b]).ravel()
+
+
+class Pairs:
+    """Counts of the distinct pairs that a task has met, and the names of their items."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.codes, self.times, self.fresh, self.n_fresh = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+    def add(self, lists: pa.ListArray) -> Iterator[pa.RecordBatch]:
+        coded = lists.flatten().dictionary_encode()
+        own = np.array([self.number.setdefault(x, len(self.number)) for x in coded.dictionary.to_pylist()], np.int64)
+        ids = own[coded.indices.to_numpy()]
+        n = np.diff(lists.offsets.to_numpy())
+        ids = ids[np.lexsort((ids, np.repeat(np.arange(len(lists)), n)))]
+        for codes in _codes(ids, n):
+            self.fresh.append(codes)
+            self.n_fresh += len(codes)
+            if self.n_fresh >= HELD:
+                self.merge()
+                if len(self.codes) >= HELD:
+                    yield from self.flush()
+        if len(self.number) >= HELD:
+            yield from self.flush(forget=True)
+
+    def merge(self) -> None:
+        if self.fresh:
+            new, times = np.unique(np.concatenate(self.fresh), return_counts=True)
+            self.codes, where = np.unique(np.concatenate([self.codes, new]), return_inverse=True)
+            times = np.concatenate([self.times, times])
+            self.times = np.zeros(len(self.codes), np.int64)
+            np.add.at(self.times, where, times)
+            self.fresh, self.n_fresh = [], 0
+
+    def flush(self, forget: bool = False) -> Iterator[pa.RecordBatch]:
+        """What was counted, item_a before item_b by code point. Names are forgotten only between batches."""
+        self.merge()
+        names = list(self.number)
+        place = np.empty(len(names), np.int64)
+        place[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+        names = pa.array(names, pa.string())
+        for lo in range(0, len(self.codes), OUT):
+            a, b = self.codes[lo : lo + OUT] >> 32, self.codes[lo : lo + OUT] & 0xFFFFFFFF
+            a, b = np.where(place[a] < place[b], a, b), np.where(place[a] < place[b], b, a)
+            yield pa.RecordBatch.from_pydict({"item_a": names.take(pa.array(a)), "item_b": names.take(pa.array(b)), "n": pa.array(self.times[lo : lo + OUT])})
+        self.codes, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if forget:
+            self.number = {}
+
+
+def every_pair(baskets: DataFrame, items: str) -> DataFrame:
+    """The columns of `pair_counts`, of all pairs of items that share a basket, however few: no support and no bound on
+    the number of items. Rules for items and baskets are the same. The result can be as large as the baskets' pairs."""
+    baskets = _baskets(baskets, items)
+    n_all = baskets.count()
+    counts = materialize(item_counts(baskets, "items"), "items")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = Pairs()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, RECORDS):
+                yield from pairs.add(batch.column(0).slice(lo, RECORDS))
+        yield from pairs.flush()
+
+    cells = spread(baskets).mapInArrow(run, "item_a string, item_b string, n bigint").groupBy("item_a", "item_b").agg(F.sum("n").alias("n_ab"))
+    known = cells.join(counts.toDF("item_a", "n_a"), "item_a").join(counts.toDF("item_b", "n_b"), "item_b")
+    return _lift(known.select("item_a", "item_b", "n_a", "n_b", "n_ab", F.lit(n_all).cast("long").alias("n")))

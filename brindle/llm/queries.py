@@ -6,17 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.bpe import encode
-from brindle.llm.cooccurrence import pair_counts
+from brindle.llm.cooccurrence import every_pair, pair_counts
 from brindle.llm.packing import pack_texts
 from brindle.llm.subjects import classify, fit
 from brindle.operators.packed import once_per_key
 from brindle.session import table
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
+def _goods(spark: SparkSession, d: str) -> DataFrame:
     baskets = once_per_key(table(spark, d, "shop_orders"), "items", "id")
     folded = F.transform("values", lambda x: F.regexp_replace(F.lower(x), r"(?U)\s+", " "))
-    return pair_counts(baskets.select(folded.alias("items")), "items", least=5, share=2000)
+    return baskets.select(folded.alias("items"))
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    return pair_counts(_goods(spark, d), "items", least=5, share=2000)
 
 
 def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -24,6 +28,11 @@ def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d)
 
 
+def p3_every_pair(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of goods that share an order, however few, with their counts and their lift over chance."""
+    return every_pair(_goods(spark, d), "items")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     wide = lambda c: F.col(c).cast("decimal(19,0)")
     return _pairs(spark, d).where(wide("n_ab") * wide("n") >= wide("n_a") * wide("n_b") * 3).select("item_a", "item_b")
@@ -45,5 +54,5 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return classify(docs, model, "text", ["doc_id"]).select("doc_id", "subject")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pairs, p5_ids, p6_pack, p7_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_pairs, p3_every_pair, p5_ids, p6_pack, p7_found)}
 SQL: dict[str, str] = {}

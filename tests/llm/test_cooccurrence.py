@@ -3,10 +3,11 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from brindle.llm import cooccurrence
-from brindle.llm.cooccurrence import Gram, pair_counts
+from brindle.llm.cooccurrence import Gram, Pairs, every_pair, pair_counts
 
 
 @pytest.mark.parametrize("longest", [4, 60, 400])
@@ -55,3 +56,30 @@ def test_too_many_items(spark, monkeypatch):
     df = spark.createDataFrame([(["a", "b", "c", "d"],)] * 5, "b array<string>")
     with pytest.raises(ValueError, match="more than 3 items"):
         pair_counts(df, "b", 1, 10)
+
+
+def test_every_pair_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(cooccurrence, "MOST_ITEMS", 3)
+    r = random.Random(3)
+    goods = [f"g{i}" for i in range(400)] + ["é", "Z", "￿", "😀"]
+    baskets = [[r.choice(goods[: r.choice([3, 404])]) for _ in range(r.choice([0, 1, 2, 5, 40]))] for _ in range(300)] + [goods, None, [None], [None, "é", "é"]]
+    out = every_pair(spark.createDataFrame([(b,) for b in baskets], "b array<string>").repartition(3), "b").collect()
+    assert len(out) == len({tuple(x)[:2] for x in out}) and {tuple(x)[:6] for x in out} == brute(baskets, 1, 1 << 40)
+    assert all(abs(x["lift"] - x["n_ab"] * x["n"] / (x["n_a"] * x["n_b"])) < 1e-9 for x in out)
+
+
+def test_every_pair_of_nothing(spark):
+    assert every_pair(spark.createDataFrame([(None,), (["a"],)], "b array<string>"), "b").collect() == []
+
+
+@pytest.mark.parametrize("held", [1 << 21, 200, 2])
+def test_pairs_are_passed_on(monkeypatch, held):
+    monkeypatch.setattr(cooccurrence, "HELD", held)
+    monkeypatch.setattr(cooccurrence, "OUT", 7)
+    r = random.Random(4)
+    baskets = [r.sample([f"g{i}" for i in range(60)] + ["é", "￿", "😀"], r.choice([0, 1, 2, 5, 40])) for _ in range(90)]
+    pairs, out = Pairs(), Counter()
+    for b in [*(b for lo in range(0, 90, 9) for b in pairs.add(pa.array(baskets[lo : lo + 9], pa.list_(pa.string())))), *pairs.flush()]:
+        for x in b.to_pylist():
+            out[x["item_a"], x["item_b"]] += x["n"]
+    assert out == Counter(p for b in baskets for p in combinations(sorted(b), 2)) and (held > 2 or len(pairs.number) < 60)

@@ -32,3 +32,9 @@ def test_found_pairs_are_pairs(done):
 def test_areas_are_areas(spark, data, done):
     areas = {r[0] for r in spark.read.parquet(f"{data}/subject_areas.parquet").select("subject").collect()}
     assert set(done["p7_found"].subject) <= areas and not done["p7_found"].duplicated().any()
+
+
+def test_every_pair_is_there(done):
+    every, pairs = done["p3_every_pair"], done["p3_pairs"]
+    rows = lambda x: set(x[["item_a", "item_b", "n_a", "n_b", "n_ab", "n"]].itertuples(index=False, name=None))
+    assert rows(every[(every.n_ab >= 5) & (2000 * every.n_ab >= every.n)]) == rows(pairs) and (every.n_ab < 5).any()
