@@ -38,6 +38,8 @@ CACHE, TOGETHER = 1 << 18, 1 << 21
 
 #: Characters that show nothing.
 _UNSEEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
+#: Line ends other than \n, which alone ends a line for ^ and $.
+_LINE_END = re.compile("\r\n?|[\v\f\x1c-\x1e\x85\u2028\u2029]")
 _ASIDE = re.compile(r"<ref[^<>]*/>|<ref[^<>]*>.*?</ref>|<!--.*?-->|https?://\S+", re.S | re.I)
 _HEADING = re.compile(r"^[ \t]*==+[^=\n]+==+[ \t]*$", re.M)
 _WORD = re.compile(r"[^\W\d_]{2,}")
@@ -50,13 +52,13 @@ def _mend(m: re.Match) -> str:
 
 def sections(text: str | None) -> list[list[str]]:
     """Words of a text by section: lower case, without references, comments, addresses, invisible characters and escapes;
-    UTF-8 that was read as Windows-1252 is mended."""
+    UTF-8 that was read as Windows-1252 is mended, and any line separator ends a line."""
     if not text:
         return []
     t = html.unescape(text) if "&" in text else text
     if not t.isascii():
         t = unicodedata.normalize("NFKC", _UNSEEN.sub("", _DAMAGED.sub(_mend, t)))
-    t = _ASIDE.sub(" ", t)
+    t = _ASIDE.sub(" ", _LINE_END.sub("\n", t))
     return [_WORD.findall(s) for s in _HEADING.split(t.lower())]
 
 

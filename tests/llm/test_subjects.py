@@ -115,3 +115,8 @@ def test_rare_features_are_kept(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc int, text string")
     labels = spark.createDataFrame([(i, "law" if i < 2 else None) for i in range(20)], "doc int, label string")
     assert set(words) <= set(fit(docs, labels, ["law"], "doc", "text", "label", rounds=1).names)
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\r", "\v", "\f", "\x85", "\u2028", "\u2029", "&#13;&#10;"])
+def test_sections_at_any_line_end(end):
+    assert sections(end.join(["red tea", "== Head ==", "blue mug", "=== Sub === ", "end"])) == [["red", "tea"], ["blue", "mug"], ["end"]]
