@@ -8,7 +8,8 @@ of every document is scored; a document has an area if one of its sections is cl
 sections of its own counts and a passing mention does not.
 
 Only the labelled sample is bounded (`most_labelled`). The vocabulary is every feature of at least MIN_DOCS of its
-documents that is not too common, so it grows with the sample only. All documents are scored whole, where they lie, without a shuffle.
+documents that is not too common, so it grows with the sample only. How common and how rare a feature is, is counted
+over all documents, in a pass of its own with partial counts. All documents are scored whole, where they lie, without a shuffle.
 """
 
 from __future__ import annotations
@@ -189,11 +190,33 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
+def document_counts(texts: DataFrame, names: list[str]) -> tuple[int, np.ndarray]:
+    """The number of all texts, and of those that hold each feature. Each task sends one partial count per feature."""
+    if not names:
+        return 0, np.zeros(0)
+    shared = texts.sparkSession.sparkContext.broadcast(names)  # features of the bounded sample
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, n = Vocabulary(shared.value, np.zeros(len(shared.value))), np.zeros(len(shared.value) + 1, np.int64)
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                own = b"".join([vocabulary.words[w] if w in vocabulary.words else vocabulary.word(w) for w in {w for ws in sections(t) for w in ws}])
+                n[np.unique(np.frombuffer(own, np.int32))] += 1
+                n[-1] += 1  # counts the texts
+        f = np.nonzero(n)[0]
+        yield pa.RecordBatch.from_pydict({"f": pa.array(f.astype(np.int32)), "n": pa.array(n[f])})
+
+    out = np.zeros(len(names) + 1)
+    for r in spread(texts).mapInArrow(run, "f int, n bigint").groupBy("f").agg(F.sum("n").alias("n")).collect():
+        out[r["f"]] = r["n"]
+    return int(out[-1]), out[:-1]
+
+
 def fit(docs: DataFrame, labels: DataFrame, areas: list[str], doc: str, text: str, label: str, most_labelled: int = MOST_LABELLED, most_features: int | None = None, rounds: int = ROUNDS, width: int = WIDTH, step: float = STEP, parts: int = PARTS, max_share: float = MAX_SHARE, seed: int = 1) -> Model:
     """A model trained on the labelled documents. `labels` has rows (doc, label), several per document if it has several
     areas; a null label says that there is none, and labels that are not in `areas` are left out. The sample is
-    the `most_labelled` documents whose ids have the smallest hashes. Features of more than `max_share` of them tell no
-    area from another; raise it where there are only a few areas. All other features of MIN_DOCS documents are kept
+    the `most_labelled` documents whose ids have the smallest hashes. Features of more than `max_share` of all documents
+    tell no area from another; raise it where there are only a few areas. All other features of MIN_DOCS documents are kept
     unless `most_features` asks for only the most frequent. Without any usable label the model finds nothing."""
     spark = docs.sparkSession
     by_doc = labels.where(F.col(doc).isNotNull()).groupBy(F.col(doc).alias("d")).agg(F.collect_set(F.when(F.col(label).isin(areas), F.col(label))).alias("areas"))
@@ -204,16 +227,16 @@ def fit(docs: DataFrame, labels: DataFrame, areas: list[str], doc: str, text: st
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[str] = [""]  # counts the documents
+            out: list[str] = []
             for t in b.column(0).to_pylist():
-                out += {f for ws in sections(t) for w in set(ws) for f in features(w)} | {""}
-            yield pa.RecordBatch.from_pydict({"f": pa.array(out[1:], pa.string())})
-
-    counts = materialize(labelled.select("t").mapInArrow(seen, "f string").groupBy("f").agg(F.count(F.lit(1)).alias("n")), "features")
-    n = counts.where("f = ''").agg(F.sum("n")).first()[0] or 0
-    kept = counts.where((F.col("f") != "") & (F.col("n") >= MIN_DOCS) & (F.col("n") <= max_share * n)).orderBy(F.desc("n"), "f")
-    top = (kept if most_features is None else kept.limit(most_features)).collect()  # features of the bounded sample
-    names, rarity = [r["f"] for r in top], np.log(n / np.array([r["n"] for r in top], float))
+                out += {f for ws in sections(t) for w in set(ws) for f in features(w)}
+            yield pa.RecordBatch.from_pydict({"f": pa.array(out, pa.string())})
+
+    counts = labelled.select("t").mapInArrow(seen, "f string").groupBy("f").agg(F.count(F.lit(1)).alias("n"))
+    learnt = sorted(r["f"] for r in counts.where((F.col("f") != "") & (F.col("n") >= MIN_DOCS)).select("f").collect())  # features of the bounded sample
+    n, everywhere = document_counts(texts.select("t"), learnt)
+    top = [i for i in np.argsort(-everywhere, kind="stable") if everywhere[i] <= max_share * n][:most_features]
+    names, rarity = [learnt[i] for i in top], np.log(n / everywhere[top])
     rng = np.random.default_rng(seed)
     weights = [rng.normal(0, 0.1, (len(names), width)), rng.normal(0, 0.3, (width, len(areas))), np.full(len(areas), -2.0)]
     weights = [w.astype(np.float32) for w in weights]

@@ -120,3 +120,11 @@ def test_rare_features_are_kept(spark):
 @pytest.mark.parametrize("end", ["\n", "\r\n", "\r", "\v", "\f", "\x85", "\u2028", "\u2029", "&#13;&#10;"])
 def test_sections_at_any_line_end(end):
     assert sections(end.join(["red tea", "== Head ==", "blue mug", "=== Sub === ", "end"])) == [["red", "tea"], ["blue", "mug"], ["end"]]
+
+
+def test_rarity_is_counted_over_all_documents(spark):
+    texts = ["tea mug"] * 2 + ["mug"] * 8 + ["tea cup"] * 3 + ["cup"] * 7 + [None, " "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc int, text string").repartition(3)
+    labels = spark.createDataFrame([(i, "law" if i < 2 else None) for i in range(10)], "doc int, label string")
+    m = fit(docs, labels, ["law"], "doc", "text", "label", rounds=1, max_share=0.4)
+    assert m.names == ["tea"] and np.allclose(m.rarity, np.log(20 / 5))  # mug is in half of all; cup is in no labelled text
