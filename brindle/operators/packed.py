@@ -1,6 +1,6 @@
 """Several values packed in one field: split them into rows, with their place kept.
 
-Dialects (delimiter, quotes, brackets, escapes) are chosen by minimum description length:
+Delimiters are chosen by minimum description length; quotes, brackets and escapes are read by fixed rules:
 
 1. every field of the table is read with a first guess at its delimiter, and the values are counted over the whole
    table (map-side counters, then one small shuffle of partial counts);
