@@ -42,12 +42,19 @@ def free_name(name: str, taken: list[str]) -> str:
     return name
 
 
+#: Tables of more bytes are never shuffled only to be spread; their scan has tasks enough.
+SPREAD_BYTES = 1 << 30
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """The rows over as many tasks as there are cores, where a plain scan would start fewer (small or single files).
+    """The rows over as many tasks as there are cores, where a small table's scan would start fewer (its files have too few
+    row groups to be split).
 
-    For operators that compute a lot per row. At scale a scan has more tasks than cores, and nothing is shuffled."""
+    For operators that compute a lot per row. Tables of more than SPREAD_BYTES stay as they are scanned."""
     plan = df._jdf.queryExecution()
     if plan.executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec":
         return df  # its shuffles decide
+    if int(str(plan.optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df

@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -112,3 +113,77 @@ def test_codes_are_bounded(spark):
     df = spark.range(2000).selectExpr("concat('v', id, ';common') AS items")
     counts, total = packed.value_codes(df, "items", max_codes=100)
     assert total == 4000 and counts == {"common": 2000}
+
+
+def test_many_goods(spark):
+    """More goods than codes that fit into the table for all tasks, all equally frequent: every field is split."""
+    df = spark.range(500_000).selectExpr("id", "concat('good ', id, ';good ', (id + 1) % 500000, ';good ', (id + 2) % 500000) AS items")
+    out = packed.split_packed(df, "items", ["id"])
+    r = out.selectExpr("count(*) n", "count(DISTINCT item) d", "max(pos) p").first()
+    assert tuple(r) == (1_500_000, 500_000, 3)
+    assert out.where("item <> concat('good ', (id + pos - 1) % 500000)").count() == 0
+
+
+@pytest.mark.parametrize("mark", ["|", "~", "::", "//", "§"])
+def test_rare_goods_only(spark, mark):
+    """Goods that occur once each, by marks that are known and by marks that are told."""
+    rows = [(i, mark.join([f"tool {i}", f"part {i * 7}", f"spare no {i}"])) for i in range(3000)]
+    out = packed.split_packed(spark.createDataFrame(rows, "id long, items string"), "items", ["id"], delimiters=["//", "§", *packed.DELIMITERS])
+    assert out.count() == 9000 and out.where("pos = 3 AND item <> concat('spare no ', id)").count() == 0
+
+
+def test_quotes_that_belong_to_a_value():
+    coder = packed.Coder({packed.fold(g): 1000 for g in [*GOODS, "'Tea, Mix of the 80s'", "'Tea", "Mix of the 80s'", "C:\\temp"]}, 14_000)
+    assert values("'Tea, Mix of the 80s'", coder) == ["'Tea, Mix of the 80s'"]  # one code is shorter than two
+    coder = packed.Coder({packed.fold(g): 1000 for g in [*GOODS, "'Tea", "Mix of the 80s'"]}, 12_000)
+    assert values("'Tea, Mix of the 80s'", coder) == ["'Tea", "Mix of the 80s'"]
+    coder = packed.Coder({packed.fold(g): 1000 for g in [*GOODS, "Tea, Mix of the 80s"]}, 11_000)
+    assert values("'Tea, Mix of the 80s'", coder) == ["Tea, Mix of the 80s"]
+    coder = packed.Coder({packed.fold(g): 1000 for g in [*GOODS, "C:\\temp"]}, 11_000)
+    assert values("Mug,C:\\temp", coder) == ["Mug", "C:\\temp"] and values("Mug,Beans\\, baked", coder) == ["Mug", "Beans, baked"]
+
+
+FIELDS = st.one_of(
+    st.builds(lambda vs, d: DIALECTS[d](vs), st.lists(st.sampled_from([*GOODS, "x1", "x2;y", ""]), max_size=5), st.sampled_from(sorted(DIALECTS))),
+    st.text(alphabet="aM ug,;|/\n\t\"'[](){}\\é~:", max_size=14),
+    st.sampled_from(["null", " - ", '"N/A"', "[none]", "", "Beans, baked", '"Beans, baked"', "  [Mug]", "['Mug','x1']"]),
+)
+
+
+@settings(max_examples=300, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(FIELDS, min_size=1, max_size=30), st.booleans())
+def test_batches_are_read_as_single_fields(fields, partial):
+    learned = packed.Counts.of({packed.fold(g): 5 for g in GOODS}, 60)
+    if partial:
+        learned.rest = 4
+    one, many = packed.Coder(learned), packed.Coder(learned)
+    rows, bits, text, n, still = packed._parse_batch(many, pa.array(fields, pa.string()))
+    text, at, got = text.to_pylist(), 0, {}
+    for r, b, k in zip(rows.tolist(), bits.tolist(), n.tolist()):
+        got[r] = (b, text[at : at + k])
+        at += k
+    for i, f in enumerate(fields):
+        want = one.parse(f)
+        assert i in still.tolist() if want is None else got[i] == want, f
+
+
+@settings(max_examples=200, deadline=None, suppress_health_check=list(HealthCheck))
+@given(FIELDS, st.dictionaries(st.sampled_from(["mug", "x1", "x2", "y", "beans", "baked", "beans, baked", "x2;y"]), st.integers(2, 9), max_size=6))
+def test_asking_is_as_good_as_knowing(field, counts):
+    whole = packed.Counts({**{packed.fold(g): 50 for g in GOODS if g != "Mug"}, **counts}, 600, 20, 3, {"a": 30, "e": 20, ",": 1}, 60)
+    part = packed.Counts({k: n for k, n in whole.counts.items() if n > 9}, 600, 20, 3, whole.chars, 60, rest=9)
+    want, asker = packed.Coder(whole).parse(field), packed.Coder(part)
+    if (got := asker.parse(field)) is None:
+        told = packed.Coder(part)
+        told.more = {k: counts[k] for k in asker.asked(field) if k in counts}
+        got = told.parse(field)
+    assert got == want
+
+
+def test_asking_over_tables(spark):
+    """The same values whether all codes are sent to the tasks or nearly none."""
+    rows = [(i, d(vs)) for i, (vs, d) in enumerate((vs, d) for k in range(30) for d in DIALECTS.values() for vs in [[GOODS[(k + j) % 10] for j in range(1 + k % 4)]])] + [(-1, None), (-2, "x;y"), (-3, "null")]
+    df = spark.createDataFrame(rows, "id long, items string")
+    for key in (None, "id"):
+        few, all_ = (sorted(map(tuple, packed.split_packed(df, "items", ["id"] if key is None else [], key, max_codes=m).collect())) for m in (3, 1 << 17))
+        assert few == all_ and len(few) > 600
