@@ -329,14 +329,14 @@ class Coder:
         best, chosen, bits = math.inf, [], 0
         open_at = math.inf  # the least that a reading which is not exact may take
         for own, vs in self.readings(body):
+            if not vs:  # nothing but marks, quotes and white space
+                return 0, []
             b, exact = self.cost(vs, best - own)
             if exact:
                 if own + b < best:
                     best, chosen, bits = own + b, vs, b
             elif own + b < open_at:
                 open_at = own + b
-            if not vs:
-                break
         if open_at <= best:
             return None
         return (0, []) if nothing(chosen) else (bits, chosen)
@@ -359,30 +359,46 @@ class Slots:
         self.n = np.bincount(row, minlength=rows)
 
     @classmethod
-    def split(cls, body: pa.Array, mark: str) -> Slots:
+    def split(cls, body: pa.Array, mark: str, grammar: Grammar) -> Slots:
         if not mark:
             return cls(body, np.arange(len(body)), len(body))
-        parts = pc.split_pattern(body, mark)
+        if mark in grammar.pattern:  # lookaround, which Arrow's expressions lack
+            lists = [grammar.pattern[mark].split(b) for b in body.to_pylist()]
+            n = np.array([len(x) for x in lists], np.int64)
+            return cls(pa.array([v for x in lists for v in x], pa.string()), np.repeat(np.arange(len(body)), n), len(body))
+        parts = pc.split_pattern_regex(body, grammar.marks[ANY]) if mark == ANY else pc.split_pattern(body, mark)
         n = np.diff(parts.offsets.to_numpy())
         return cls(parts.flatten(), np.repeat(np.arange(len(body)), n), len(body))
 
     @classmethod
     def quoted(cls, body: pa.Array, quote: str, mark: str) -> tuple[Slots, np.ndarray]:
-        """Values between quotes, and the rows in which nothing but one delimiter is between two of them."""
+        """Values by a delimiter where quotes are used plainly (as `Grammar.between` reads them), and the rows where they are."""
         parts = pc.split_pattern(body, quote)
         n = np.diff(parts.offsets.to_numpy())
         row = np.repeat(np.arange(len(body)), n)
         place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        inside = place % 2 == 1
-        outer = pc.utf8_trim_whitespace(parts.flatten().filter(pa.array(~inside)))
+        inside, flat = place % 2 == 1, parts.flatten()
+        outer = pc.utf8_trim_whitespace(flat.filter(pa.array(~inside)))
         where, at = row[~inside], place[~inside]
-        edge = (at == 0) | (at == n[where] - 1)
-        size = pc.binary_length(outer).to_numpy(zero_copy_only=False)
-        good = edge & (size == 0)
-        if mark:
+        first, last = at == 0, at == n[where] - 1
+        full = pc.binary_length(outer).to_numpy(zero_copy_only=False) > 0
+        good = (first | last) & ~full
+        if not mark:
+            ok = (np.bincount(where, weights=~good, minlength=len(body)) == 0) & (n % 2 == 1)
+            return cls(flat.filter(pa.array(inside)), row[inside], len(body)), ok
+        if len(mark) == 1:
+            good |= full & (first | pc.starts_with(outer, mark).to_numpy(zero_copy_only=False)) & (last | pc.ends_with(outer, mark).to_numpy(zero_copy_only=False))
+        else:
             good |= pc.equal(outer, mark).to_numpy(zero_copy_only=False)
         ok = (np.bincount(where, weights=~good, minlength=len(body)) == 0) & (n % 2 == 1)
-        return cls(parts.flatten().filter(pa.array(inside)), row[inside], len(body)), ok
+        some = np.nonzero(full & ~pc.equal(outer, mark).to_numpy(zero_copy_only=False))[0]
+        if not some.size:
+            return cls(flat.filter(pa.array(inside)), row[inside], len(body)), ok
+        bare = pc.split_pattern(outer.take(pa.array(some)), mark)  # values without quotes among the others
+        k = np.diff(bare.offsets.to_numpy())
+        rows = np.concatenate([row[inside], np.repeat(where[some], k)])
+        order = np.lexsort((np.concatenate([place[inside], np.repeat(at[some], k)]), rows))  # stable: parts stay in order
+        return cls(pa.concat_arrays([flat.filter(pa.array(inside)), bare.flatten()]).take(pa.array(order)), rows[order], len(body)), ok
 
     def lengths(self, coder: Coder) -> tuple[np.ndarray, np.ndarray]:
         """For every row: the length of its values, or the least it can be; whether it is exact."""
@@ -416,14 +432,19 @@ def _has(a: pa.Array, mark: str) -> np.ndarray:
     return pc.match_substring(a, mark).to_numpy(zero_copy_only=False)
 
 
-def plain(texts: pa.Array, grammar: Grammar) -> Iterator[tuple[np.ndarray, pa.Array, str, str]]:
-    """Groups of plain fields (row numbers, bodies, mark or WHOLE, quote or none), for fields that are not null.
+def plain(texts: pa.Array, grammar: Grammar) -> Iterator[tuple[np.ndarray, pa.Array, list[str], str]]:
+    """Groups of plain fields: row numbers, bodies, the marks found as delimiters (as `Grammar.found` gives them), and the
+    quote that occurs, if any. Fields must not be null.
 
-    Plain are ASCII fields with at most one kind of delimiter and of quote, no backslash and no more than one bracket
-    at either end."""
+    Plain are fields without backslash and characters of no width, with no more than one bracket at either end, and, if
+    they hold quotes, with one kind of quote and of delimiter."""
     body = pc.utf8_trim_whitespace(texts)
-    size = pc.binary_length(body).to_numpy(zero_copy_only=False)
-    ok = pc.string_is_ascii(texts).to_numpy(zero_copy_only=False) & ~_has(texts, "\\") & (size > 0)
+    ok = ~_has(texts, "\\") & (pc.binary_length(body).to_numpy(zero_copy_only=False) > 0)
+    wide = np.nonzero(~pc.string_is_ascii(texts).to_numpy(zero_copy_only=False))[0]
+    if wide.size:
+        some = texts.take(pa.array(wide))
+        for c in ZERO_WIDTH:
+            ok[wide[_has(some, c)]] = False
     first, last = pc.utf8_slice_codeunits(body, 0, 1), pc.utf8_slice_codeunits(body, -1)
     for opened, close in BRACKETS.items():
         here = pc.equal(first, opened).to_numpy(zero_copy_only=False)
@@ -437,32 +458,35 @@ def plain(texts: pa.Array, grammar: Grammar) -> Iterator[tuple[np.ndarray, pa.Ar
         ok[at[~(closed | cut)]] = False
         inner = pc.if_else(pa.array(closed), pc.utf8_slice_codeunits(some, 1, -1), pc.utf8_slice_codeunits(some, 1))
         body = pc.replace_with_mask(body, pa.array(here), inner)
-    kind = np.zeros(len(texts), np.int64)
+    kinds = np.zeros(len(texts), np.int64)
     n_kinds = np.zeros(len(texts), np.int64)
     for i, d in enumerate(grammar.delimiters):
-        if d.pattern:
-            there = np.zeros(len(texts), bool)
-            hold = np.nonzero(_has(body, d.mark))[0]
+        there = _has(body, d.mark)
+        if d.pattern and there.any():
+            hold = np.nonzero(there)[0]
             there[hold] = [grammar.pattern[d.mark].search(b) is not None for b in body.take(pa.array(hold)).to_pylist()]
-            ok &= ~there  # read one by one
-        else:
-            there = _has(body, d.mark)
-            kind[there] = i + 1
-            n_kinds += there
+        kinds += there * (1 << i) if i < 60 else 0
+        ok &= ~there if i >= 60 else True
+        n_kinds += there
     double, single = _has(body, '"'), _has(body, "'")
-    ok &= (n_kinds <= 1) & ~(double & single)
+    quote = np.where(double, 1, np.where(single, 2, 0))
+    patterns = sum(1 << i for i, d in enumerate(grammar.delimiters) if d.pattern and i < 60)
+    ok &= (quote == 0) | ((n_kinds <= 1) & ~(double & single) & (kinds & patterns == 0))
     # A quote round a bracket belongs to the list.
-    wrapped = double | single
-    if wrapped.any():
-        at = np.nonzero(wrapped & ok)[0]
+    at = np.nonzero((quote > 0) & ok)[0]
+    if at.size:
         some = body.take(pa.array(at))
         ok[at[pc.is_in(pc.utf8_slice_codeunits(some, 1, 2), pa.array(list(BRACKETS))).to_numpy(zero_copy_only=False)]] = False
-    quote = np.where(double, 1, np.where(single, 2, 0))
-    group = kind * 3 + quote
-    for g in np.unique(group[ok]):
-        rows = np.nonzero(ok & (group == g))[0]
-        k, q = divmod(int(g), 3)
-        yield rows, body.take(pa.array(rows)), grammar.delimiters[k - 1].mark if k else WHOLE, ["", '"', "'"][q]
+    at = np.nonzero(ok)[0]
+    group = kinds[at] * 3 + quote[at]
+    order = np.argsort(group, kind="stable")
+    for part in np.split(at[order], np.nonzero(np.diff(group[order]))[0] + 1):
+        if part.size:
+            bits = int(kinds[part[0]])
+            marks = [d.mark for i, d in enumerate(grammar.delimiters) if i < 60 and bits >> i & 1]
+            if len(marks) > 1 and sum(m in grammar.mixing for m in marks) > 1:
+                marks.append(ANY)
+            yield part, body.take(pa.array(part)), marks, ["", '"', "'"][quote[part[0]]]
 
 
 def _fields(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, pa.Array]:
@@ -490,15 +514,16 @@ def _count(batches: Iterator[pa.RecordBatch], grammar: Grammar, most: int = 200_
     for batch in batches:
         _, texts = _fields(batch, 0)
         done, raw = np.zeros(len(texts), bool), Counter()
-        for rows, body, mark, quote in plain(texts, grammar):
-            good = np.ones(len(rows), bool)
+        for rows, body, found, quote in plain(texts, grammar):
+            good, mark = np.ones(len(rows), bool), found[0] if found else WHOLE
             if quote:
                 slots, good = Slots.quoted(body, quote, mark)
             else:
-                slots = Slots.split(body, mark)
+                slots = Slots.split(body, mark, grammar)
             done[rows[good]] = True
             some = good & ~slots.nothing()
-            marks[mark] += int(some.sum())
+            for m in {mark, ANY} if ANY in found else {mark}:
+                marks[m] += int(some.sum())
             found = slots.only(some).text.value_counts()
             for v, n in zip(found.field("values").to_pylist(), found.field("counts").to_pylist()):
                 raw[v] += n
@@ -545,36 +570,47 @@ def _parse_batch(coder: Coder, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     Fields that say nothing have the length 0 and no values."""
     done = np.zeros(len(texts), bool)
     rows_, bits_, text_, n_ = [], [], [], []
-    for rows, body, mark, quote in plain(texts, coder.grammar):
-        own = coder.mark[mark]
+    for rows, body, marks, quote in plain(texts, coder.grammar):
+        mark = marks[0] if marks else WHOLE
+        good = np.ones(len(rows), bool)
         if quote:
             slots, good = Slots.quoted(body, quote, mark)
+            readings = [(mark, slots)]
         else:
-            slots, good = Slots.split(body, mark), np.ones(len(rows), bool)
-        bits, exact = slots.lengths(coder)
-        good &= exact | (slots.n == 0)
+            readings = [(m, Slots.split(body, m, coder.grammar)) for m in marks or [WHOLE]]
+        # The cheapest of the readings whose length is known, the first of equals; it must beat what the others may take.
+        best, chosen, bits, open_at = np.full(len(rows), np.inf), np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64), np.full(len(rows), np.inf)
+        empty = np.zeros(len(rows), bool)
+        for i, (m, slots) in enumerate(readings):
+            b, exact = slots.lengths(coder)
+            better = exact & (coder.mark[m] + b < best)
+            best, bits = np.where(better, coder.mark[m] + b, best), np.where(better, b, bits)
+            chosen[better] = i
+            open_at = np.where(exact, open_at, np.minimum(open_at, coder.mark[m] + b))
+            empty |= slots.n == 0
+        sure = best < open_at
         if quote:  # the quotes may belong to the values
-            other, _ = Slots.split(body, mark).lengths(coder)
-            good &= bits <= other
-        if mark or quote:  # it may all be one value
-            size = pc.binary_length(body).to_numpy(zero_copy_only=False)
+            other, _ = Slots.split(body, mark, coder.grammar).lengths(coder)
+            sure &= bits <= other
+        if marks or quote:  # it may all be one value
             # A spelled value costs this at least, a rare one that has a code elsewhere may cost less.
-            least = BIT * (coder.new + coder.end + size * coder.least_char)
+            least = BIT * (coder.new + coder.end + pc.utf8_length(body).to_numpy(zero_copy_only=False) * coder.least_char)
             if coder.learned.rest > 1:
                 least = np.minimum(least, BIT * (coder.log_total - math.log2(coder.learned.rest) + coder.seen))
-            good &= (own + bits <= coder.mark[WHOLE] + least) | (slots.n == 0)
-            wholes = coder.wholes
-            if wholes:
-                low = pc.ascii_lower(body)
-                good &= ~np.fromiter((x in wholes or " ".join(x.split()) in wholes if len(x) < 2 * coder.longest + 64 else " ".join(x.split()) in wholes for x in low.to_pylist()), bool, len(rows))
+            sure &= best <= coder.mark[WHOLE] + least
+            if wholes := coder.wholes:
+                sure &= ~np.fromiter((fold(x) in wholes for x in body.to_pylist()), bool, len(rows))
+        good &= sure | empty
         done[rows[good]] = True
-        none = good & slots.nothing()
-        slots = slots.only(good & ~none)
-        bits[none] = 0
-        rows_.append(rows[good])
-        bits_.append(bits[good])
-        n_.append(slots.n[good])
-        text_.append(slots.text)
+        for i, (_, slots) in enumerate(readings):
+            mine = good & (chosen == i)
+            none = mine & (slots.nothing() | empty)
+            slots = slots.only(mine & ~none)
+            bits[none] = 0
+            rows_.append(rows[mine])
+            bits_.append(bits[mine])
+            n_.append(slots.n[mine])
+            text_.append(slots.text)
     rest = np.nonzero(~done)[0]
     values, some, lengths, sizes, still = [], [], [], [], []
     for r, f in zip(rest.tolist(), texts.take(pa.array(rest)).to_pylist()):
