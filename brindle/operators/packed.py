@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field as attribute
@@ -497,6 +498,15 @@ def _fields(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, pa.Array]:
 
 
 VALUE, MARK = 0, 1
+_coders: dict[str, Coder] = {}
+
+
+def _coder(name: str, shared, delimiters: Sequence[Delimiter | str]) -> Coder:
+    """The worker's coder of a table, made once a process; it keeps what it has learned of values from task to task."""
+    if name not in _coders:
+        _coders.clear()
+        _coders[name] = Coder(shared.value, grammar=Grammar(delimiters))
+    return _coders[name]
 
 
 def _count(batches: Iterator[pa.RecordBatch], grammar: Grammar, most: int = 200_000) -> Iterator[pa.RecordBatch]:
@@ -658,14 +668,14 @@ def parsed(df: DataFrame, field: str, keep: list[str], bits: str = "bits", value
     spark, grammar = df.sparkSession, Grammar(delimiters)
     learned, counts = learn(df, field, grammar, max_codes)
     shared = spark.sparkContext.broadcast(learned)  # at most max_codes entries
-    names = [f"k{i}" for i in range(len(keep))]
+    names, name = [f"k{i}" for i in range(len(keep))], uuid.uuid4().hex
     by = keep.index(best_by) if best_by is not None else None
     source = df.select(*(F.col(c).alias(n) for c, n in zip(keep, names)), F.col(field).cast("string").alias("f"))
     kept = ", ".join(f"{n} {source.schema[n].dataType.simpleString()}" for n in names)
     out = ", ".join([*([kept] if kept else []), "b bigint", "v array<string>", "f string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(shared.value, grammar=Grammar(delimiters))
+        coder = _coder(name, shared, delimiters)
         for batch in batches:
             filled, texts = _fields(batch, len(names))
             rows, b, text, n, still = _parse_batch(coder, texts)
