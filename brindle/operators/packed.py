@@ -429,10 +429,17 @@ class Slots:
 _NOTHING = pa.array(sorted(PLACEHOLDERS), pa.string())
 
 
-def _has(a: pa.Array, mark: str) -> np.ndarray:
+def _has(a: pa.Array, mark: str, data: bytes | None = None) -> np.ndarray:
+    """Which texts hold the mark; `data` is what all of them hold together."""
+    if data is not None and mark.encode() not in data:
+        return np.zeros(len(a), bool)
     return pc.match_substring(a, mark).to_numpy(zero_copy_only=False)
 
 
+def _data(a: pa.Array) -> bytes:
+    return (a.buffers()[2] or b"") and a.buffers()[2].to_pybytes()
+
+
 def plain(texts: pa.Array, grammar: Grammar) -> Iterator[tuple[np.ndarray, pa.Array, list[str], str]]:
     """Groups of plain fields: row numbers, bodies, the marks found as delimiters (as `Grammar.found` gives them), and the
     quote that occurs, if any. Fields must not be null.
@@ -440,12 +447,13 @@ def plain(texts: pa.Array, grammar: Grammar) -> Iterator[tuple[np.ndarray, pa.Ar
     Plain are fields without backslash and characters of no width, with no more than one bracket at either end, and, if
     they hold quotes, with one kind of quote and of delimiter."""
     body = pc.utf8_trim_whitespace(texts)
-    ok = ~_has(texts, "\\") & (pc.binary_length(body).to_numpy(zero_copy_only=False) > 0)
+    data = _data(texts)
+    ok = ~_has(texts, "\\", data) & (pc.binary_length(body).to_numpy(zero_copy_only=False) > 0)
     wide = np.nonzero(~pc.string_is_ascii(texts).to_numpy(zero_copy_only=False))[0]
     if wide.size:
         some = texts.take(pa.array(wide))
         for c in ZERO_WIDTH:
-            ok[wide[_has(some, c)]] = False
+            ok[wide[_has(some, c, data)]] = False
     first, last = pc.utf8_slice_codeunits(body, 0, 1), pc.utf8_slice_codeunits(body, -1)
     for opened, close in BRACKETS.items():
         here = pc.equal(first, opened).to_numpy(zero_copy_only=False)
@@ -462,14 +470,16 @@ def plain(texts: pa.Array, grammar: Grammar) -> Iterator[tuple[np.ndarray, pa.Ar
     kinds = np.zeros(len(texts), np.int64)
     n_kinds = np.zeros(len(texts), np.int64)
     for i, d in enumerate(grammar.delimiters):
-        there = _has(body, d.mark)
-        if d.pattern and there.any():
+        there = _has(body, d.mark, data)
+        if not there.any():
+            continue
+        if d.pattern:
             hold = np.nonzero(there)[0]
             there[hold] = [grammar.pattern[d.mark].search(b) is not None for b in body.take(pa.array(hold)).to_pylist()]
         kinds += there * (1 << i) if i < 60 else 0
         ok &= ~there if i >= 60 else True
         n_kinds += there
-    double, single = _has(body, '"'), _has(body, "'")
+    double, single = _has(body, '"', data), _has(body, "'", data)
     quote = np.where(double, 1, np.where(single, 2, 0))
     patterns = sum(1 << i for i, d in enumerate(grammar.delimiters) if d.pattern and i < 60)
     ok &= (quote == 0) | ((n_kinds <= 1) & ~(double & single) & (kinds & patterns == 0))
@@ -604,12 +614,15 @@ def _parse_batch(coder: Coder, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
             sure &= bits <= other
         if marks or quote:  # it may all be one value
             # A spelled value costs this at least, a rare one that has a code elsewhere may cost less.
-            least = BIT * (coder.new + coder.end + pc.utf8_length(body).to_numpy(zero_copy_only=False) * coder.least_char)
+            size = pc.utf8_length(body).to_numpy(zero_copy_only=False)
+            least = BIT * (coder.new + coder.end + size * coder.least_char)
             if coder.learned.rest > 1:
                 least = np.minimum(least, BIT * (coder.log_total - math.log2(coder.learned.rest) + coder.seen))
             sure &= best <= coder.mark[WHOLE] + least
             if wholes := coder.wholes:
-                sure &= ~np.fromiter((fold(x) in wholes for x in body.to_pylist()), bool, len(rows))
+                # Folding shortens a field by its white space only.
+                at = np.nonzero((size <= coder.longest) | pc.match_substring_regex(body, r"[\s\pZ][\s\pZ]|[^\S ]|[\x0b\x1c-\x1f\x{85}]").to_numpy(zero_copy_only=False))[0]
+                sure[at[np.fromiter((fold(x) in wholes for x in body.take(pa.array(at)).to_pylist()), bool, len(at))]] = False
         good &= sure | empty
         done[rows[good]] = True
         for i, (_, slots) in enumerate(readings):
