@@ -25,8 +25,9 @@ def duck(data):
 
 
 def plain(v):
+    """As the values are compared: NaN equals nothing, and a negative zero is no zero."""
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else v
+        return (v, math.copysign(1, v)) if v == 0 else v
     return tuple(map(plain, v)) if isinstance(v, (list, tuple)) else v
 
 
