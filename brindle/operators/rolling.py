@@ -6,6 +6,9 @@ make a dense numpy block, and one product with a banded 0/1 matrix per period gi
 
 A hot entity is only as large as its calendar (one row a day), and a task holds one block of at most
 `block` entities x (tile + halo) days at a time.
+
+Whole numbers have exact totals of up to 63 bits; larger ones are refused (an error). Of reals, NaN and infinite values
+go through the same products as counts of their own, so they reach the totals of their period and no others.
 """
 
 from __future__ import annotations
@@ -20,14 +23,15 @@ from pyspark.sql import functions as F
 from brindle.storage import free_name
 
 TILE, BLOCK = 128, 1024
-#: Totals are sums in double precision; whole numbers are exact up to this.
-EXACT = 2**53
+#: Whole numbers up to this are exact in double precision. Larger ones are multiplied in halves of HALF bits.
+EXACT, HALF = 2**53, 32
 
 
 def daily_totals(df: DataFrame, entity: str, day: str, value: str) -> DataFrame:
     """(entity, day, total): one row per entity and day with rows. Nulls in any of the three columns are left out."""
     known = df.where(F.col(entity).isNotNull() & F.col(day).isNotNull() & F.col(value).isNotNull())
-    return known.groupBy(F.col(entity).alias("entity"), F.col(day).cast("int").alias("day")).agg(F.sum(F.col(value)).cast("double").alias("total"))
+    kind = "bigint" if df.schema[value].dataType.typeName() in ("byte", "short", "integer", "long") else "double"
+    return known.groupBy(F.col(entity).alias("entity"), F.col(day).cast("int").alias("day")).agg(F.sum(F.col(value)).cast(kind).alias("total"))
 
 
 def band(days: int, period: int, halo: int) -> np.ndarray:
@@ -36,6 +40,27 @@ def band(days: int, period: int, halo: int) -> np.ndarray:
     return ((i <= d) & (i > d - period)).astype(np.float64)
 
 
+def windows(dense: np.ndarray, m: np.ndarray, period: int) -> np.ndarray:
+    """The totals of a block by one band, in the type of the block."""
+    if dense.dtype == np.int64:
+        if not dense.size or max(int(dense.max()), -int(dense.min())) * period < EXACT:
+            return (dense.astype(np.float64) @ m).astype(np.int64)
+        high = ((dense >> HALF).astype(np.float64) @ m).astype(np.int64)
+        low = ((dense & ((1 << HALF) - 1)).astype(np.float64) @ m).astype(np.int64)
+        high += low >> HALF
+        if high.size and (high.max() >= 1 << 31 or high.min() < -(1 << 31)):
+            raise OverflowError("a trailing total does not fit into 64 bits")
+        return (high << HALF) | (low & ((1 << HALF) - 1))
+    finite = np.isfinite(dense)
+    if finite.all():
+        return dense @ m
+    out = np.where(finite, dense, 0.0) @ m
+    up, down, none = ((x.astype(np.float64) @ m) > 0 for x in (dense == np.inf, dense == -np.inf, np.isnan(dense)))
+    out[up], out[down] = np.inf, -np.inf
+    out[none | (up & down)] = np.nan
+    return out
+
+
 def _tiles(daily: DataFrame, tile: int, halo: int) -> DataFrame:
     """(entity, tile, first, last, days, totals): every tile from an entity's first to its last day, empty ones included."""
     here = F.floor(F.col("day") / tile).cast("int")
@@ -61,7 +86,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], tile: int, halo: int, block: int)
             days, totals = b.column(4), b.column(5)
             n = np.diff(days.offsets.to_numpy())
             row = np.repeat(np.arange(b.num_rows), n)
-            dense = np.zeros((b.num_rows, halo + tile))
+            dense = np.zeros((b.num_rows, halo + tile), totals.type.value_type.to_pandas_dtype())
             dense[row, days.flatten().to_numpy().astype(np.int64) - tiles[row] * tile + halo] = totals.flatten().to_numpy(zero_copy_only=False)
             yield entity, tiles, first, last, dense
 
@@ -70,24 +95,27 @@ def _run(df: DataFrame, entity: str, day: str, value: str, periods: list[int], t
     if not periods or min(periods) < 1:
         raise ValueError("periods are whole numbers of days, 1 or more")
     halo = max(periods) - 1
-    tiles = _tiles(daily_totals(df, entity, day, value), tile, halo)
+    daily = daily_totals(df, entity, day, value)
+    tiles = _tiles(daily, tile, halo)
     bands = {p: band(tile, p, halo) for p in periods}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for entities, t, first, last, dense in _blocks(batches, tile, halo, block):
             at = t[:, None] * tile + np.arange(tile)[None, :]
-            yield from make(entities, at, first, last, dense, {p: dense @ m for p, m in bands.items()})
+            yield from make(entities, at, first, last, dense, {p: windows(dense, m, p) for p, m in bands.items()})
 
-    return tiles.mapInArrow(run, f"entity {tiles.schema['entity'].dataType.simpleString()}, {out}")
+    kind = daily.schema["total"].dataType.simpleString()
+    return tiles.mapInArrow(run, f"entity {tiles.schema['entity'].dataType.simpleString()}, {out.replace('number', kind)}")
 
 
 def trailing_totals(df: DataFrame, entity: str, day: str, value: str, periods: list[int], tile: int = TILE, block: int = BLOCK) -> DataFrame:
     """Per entity and day from its first to its last day: the day's total, and the total and daily average over each
     trailing period (`total_p`, `avg_p`; the average divides by p, days before the first count as 0).
 
-    `day` is a count of days (int). Columns: the entity, `day`, `total`, and those per period; the entity's name gets an
+    `day` is a count of days (int). Totals are bigint for whole numbers, else double; averages are double. Columns: the entity, `day`, `total`, and those per period; the entity's name gets an
     underscore where it clashes. Rows with a null entity, day or value are left out, other columns are not read. Repeated
-    rows all count. An empty table gives no rows."""
+    rows all count. An empty table gives no rows. A total with a NaN in its period, or with both infinities, is NaN; a
+    total of whole numbers beyond 64 bits is an error."""
     periods = sorted(set(periods))
     names = ["day", "total", *(f"{k}_{p}" for p in periods for k in ("total", "avg"))]
 
@@ -102,7 +130,7 @@ def trailing_totals(df: DataFrame, entity: str, day: str, value: str, periods: l
                 arrays += [pa.array(t), pa.array(t / p)]
             yield pa.RecordBatch.from_arrays(arrays, names=["entity", *names])
 
-    out = "day int, total double, " + ", ".join(f"total_{p} double, avg_{p} double" for p in periods)
+    out = "day int, total number, " + ", ".join(f"total_{p} number, avg_{p} double" for p in periods)
     return _run(df, entity, day, value, periods, tile, block, out, make).withColumnRenamed("entity", free_name(entity, names))
 
 
@@ -110,23 +138,25 @@ def trailing_extremes(df: DataFrame, entity: str, day: str, value: str, periods:
     """Per entity and period: the earliest day with the highest trailing total (`high`, `high_day`) and with the lowest
     (`low`, `low_day`), over the days whose period lies wholly between the entity's first and last day. Entities without
     such a day have no row. Values should be whole numbers (cents), else totals that are equal on paper may differ in
-    their last bits. Inputs are treated as in `trailing_totals`."""
+    their last bits. Totals that are NaN are neither high nor low. Inputs are treated as in `trailing_totals`."""
     periods = sorted(set(periods))
     names = ["period", "high", "high_day", "low", "low_day"]
 
     def make(entities, at, first, last, dense, totals) -> Iterator[pa.RecordBatch]:
         for p in periods:
-            inside = (at >= first[:, None] + p - 1) & (at <= last[:, None])
+            inside = (at >= first[:, None] + p - 1) & (at <= last[:, None]) & ~np.isnan(totals[p])
             rows = np.nonzero(inside.any(axis=1))[0]
             if len(rows):
                 ok, t, days = inside[rows], totals[p][rows], at[rows]
-                hi, lo = np.where(ok, t, -np.inf).argmax(axis=1), np.where(ok, t, np.inf).argmin(axis=1)  # the first of equals
+                # t where it counts; elsewhere that row's first counting total, which decides nothing
                 i = np.arange(len(rows))
+                t = np.where(ok, t, t[i, ok.argmax(axis=1)][:, None])
+                hi, lo = (ok & (t == t.max(axis=1)[:, None])).argmax(axis=1), (ok & (t == t.min(axis=1)[:, None])).argmax(axis=1)  # the first of equals
                 yield pa.RecordBatch.from_arrays(
                     [entities.take(pa.array(rows)), pa.array(np.full(len(rows), p, np.int32)), pa.array(t[i, hi]), pa.array(days[i, hi].astype(np.int32)), pa.array(t[i, lo]), pa.array(days[i, lo].astype(np.int32))],
                     names=["entity", *names],
                 )
 
-    tiles = _run(df, entity, day, value, periods, tile, block, "period int, high double, high_day int, low double, low_day int", make)
-    best = tiles.groupBy("entity", "period").agg(F.min(F.struct((-F.col("high")).alias("t"), F.col("high_day").alias("d"))).alias("h"), F.min(F.struct(F.col("low").alias("t"), F.col("low_day").alias("d"))).alias("l"))
-    return best.select(F.col("entity").alias(free_name(entity, names)), "period", (-F.col("h.t")).alias("high"), F.col("h.d").alias("high_day"), F.col("l.t").alias("low"), F.col("l.d").alias("low_day"))
+    tiles = _run(df, entity, day, value, periods, tile, block, "period int, high number, high_day int, low number, low_day int", make)
+    best = tiles.groupBy("entity", "period").agg(F.max(F.struct(F.col("high").alias("t"), (-F.col("high_day")).alias("d"))).alias("h"), F.min(F.struct(F.col("low").alias("t"), F.col("low_day").alias("d"))).alias("l"))
+    return best.select(F.col("entity").alias(free_name(entity, names)), "period", F.col("h.t").alias("high"), (-F.col("h.d")).alias("high_day"), F.col("l.t").alias("low"), F.col("l.d").alias("low_day"))
