@@ -1,16 +1,17 @@
 """Items that appear together: counts of item pairs per basket, and how far they exceed chance.
 
-A pair in at least a `1/share`-th of the N baskets has two items that are each in as many, and baskets of L distinct items
-on average leave at most `share` x L such items. These frequent items get numbers by falling frequency; that table is
-the only thing sent to all tasks, and its size is checked.
-
 Each task turns its baskets into a binary sparse matrix X (basket x item), a few thousand records at a time, and adds up
-the Gram matrix X'X in blocks of items: short baskets as sparse outer products, one per basket length, long ones as dense
-products of the blocks they touch. Only the non-zero cells of a task's sums are shuffled, never single pairs, and
-the sums are set against the product of the items' own counts.
-
-`every_pair` has no support: it counts all pairs of any number of items. There each task adds up its own distinct pairs
-under numbers of its own, so no table of items is sent to the tasks, and the items' counts come by joins.
+the Gram matrix X'X in blocks of items. Items have numbers, frequent ones low numbers. Where both items are among the
+first HEAD, the sums lie in dense blocks: short baskets are added as sparse outer products, one per basket length, long
+ones as dense products of the blocks they touch. All other blocks are nearly empty and are kept as sorted lists of
+their cells. Cells of a task are added up until there are more than HELD; then the smaller half of the counts is passed
+on, so that pairs that come often stay and combine, and memory stays bounded for any number of items. Only non-zero sums
+are shuffled, never single pairs, and they are set against the product of the items' own counts.
+
+`pair_counts` asks for a support. A pair in at least a `1/share`-th of the N baskets has two items that are each in as
+many, and baskets of L distinct items on average leave at most `share` x L such items. These frequent items get numbers
+by falling frequency; that table is the only thing sent to all tasks, and its size is checked. Where it is too large, and
+in `every_pair`, which has no support, each task numbers its items itself, and the items' counts come by joins.
 """
 
 from __future__ import annotations
@@ -25,48 +26,68 @@ from pyspark.sql import functions as F
 
 from brindle.storage import materialize, spread
 
-#: Items of a block, records of a block, the longest basket taken as sparse outer products, cells held by a task.
-SIDE, RECORDS, SHORT, CELLS = 256, 4096, 24, 1 << 22
+#: Items of a dense block, items in dense blocks, records of a slice, the longest basket taken as sparse outer products.
+SIDE, HEAD, RECORDS, SHORT = 256, 2048, 4096, 24
+#: Cells of nearly empty blocks that a task holds (16 bytes each); rows of a batch that it passes on.
+HELD, OUT = 1 << 21, 1 << 17
 #: Frequent items that may be sent to all tasks.
 MOST_ITEMS = 1 << 18
-#: Pairs that a task of `every_pair` holds before it passes its sums on; rows of a batch that it passes on.
-HELD, OUT = 1 << 21, 1 << 17
+
+Cells = tuple[np.ndarray, np.ndarray]
 
 
 class Gram:
-    """X'X above its diagonal, in blocks that exist only where two items met."""
+    """X'X above its diagonal: codes (a << 32 | b, with a < b) of item pairs, and their counts."""
 
-    def __init__(self, items: int, side: int = SIDE):
-        self.side, self.items = side, items
+    def __init__(self, side: int = SIDE, head: int = HEAD, held: int = HELD):
+        self.side, self.head, self.held = side, head, held
         self.blocks: dict[tuple[int, int], np.ndarray] = {}
+        self.codes, self.times, self.fresh, self.n_fresh = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
 
-    def block(self, i: int, j: int) -> np.ndarray:
-        b = self.blocks.get((i, j))
-        if b is None:
-            b = self.blocks[i, j] = np.zeros((self.side, self.side), np.int64)
-        return b
+    def add(self, ids: np.ndarray, n: np.ndarray) -> Iterator[Cells]:
+        """Add records: their item numbers, ascending within a record, one record after the other; their lengths.
 
-    def add(self, ids: np.ndarray, n: np.ndarray) -> None:
-        """Add records: their item numbers, ascending within a record, one record after the other; their lengths."""
+        Gives the cells that had to make room."""
+        ids = ids.astype(np.int64)
         start = np.cumsum(n) - n
         for length in np.unique(n[(n > 1) & (n <= SHORT)]):
-            x = ids[start[n == length][:, None] + np.arange(length)]  # record x place
             a, b = np.triu_indices(length, 1)
-            self.scatter(x[:, a].ravel(), x[:, b].ravel())
+            at = start[n == length]
+            for lo in range(0, len(at), max(1, self.held // len(a))):
+                x = ids[at[lo : lo + max(1, self.held // len(a)), None] + np.arange(length)]  # record x place
+                yield from self.put((x[:, a] << 32 | x[:, b]).ravel())
         if (long := np.nonzero(n > SHORT)[0]).size:
-            self.dense([ids[start[r] : start[r] + n[r]] for r in long])
-
-    def scatter(self, a: np.ndarray, b: np.ndarray) -> None:
-        """Sparse outer products: cells that the records of one length contribute."""
-        code, times = np.unique(a.astype(np.int64) * self.items + b, return_counts=True)
-        a, b = np.divmod(code, self.items)
-        where = (a // self.side) * (self.items // self.side + 1) + b // self.side
-        order = np.argsort(where, kind="stable")
-        cut = np.nonzero(np.diff(where[order]))[0] + 1
-        for part in np.split(order, cut):
-            if part.size:
+            records = [ids[start[r] : start[r] + n[r]] for r in long]
+            self.dense([x[x < self.head] for x in records])
+            for x in records:
+                for i in range(int(np.searchsorted(x, self.head)), len(x)):
+                    yield from self.put(x[:i] << 32 | x[i])
+
+    def put(self, codes: np.ndarray) -> Iterator[Cells]:
+        """Sparse outer products: to the dense blocks, or to the cells of the others."""
+        inner = codes & 0xFFFFFFFF < self.head
+        if inner.any():
+            code, times = np.unique(codes[inner], return_counts=True)
+            a, b = code >> 32, code & 0xFFFFFFFF
+            where = a // self.side << 32 | b // self.side
+            order = np.argsort(where, kind="stable")
+            for part in np.split(order, np.nonzero(np.diff(where[order]))[0] + 1):
                 i, j = int(a[part[0]] // self.side), int(b[part[0]] // self.side)
                 self.block(i, j)[a[part] % self.side, b[part] % self.side] += times[part]  # codes are distinct
+            codes = codes[~inner]
+        if codes.size:
+            self.fresh.append(codes)
+            self.n_fresh += len(codes)
+            if self.n_fresh >= self.held:
+                self.merge()
+                if len(self.codes) > self.held:
+                    yield self.make_room()
+
+    def block(self, i: int, j: int) -> np.ndarray:
+        b = self.blocks.get((i, j))
+        if b is None:
+            b = self.blocks[i, j] = np.zeros((self.side, self.side), np.int64)
+        return b
 
     def dense(self, records: list[np.ndarray]) -> None:
         """Products of dense sub-matrices: for two item blocks, of the records that touch both."""
@@ -87,14 +108,29 @@ class Gram:
                     g = (x.T @ y).astype(np.int64)  # counts up to 1024 are exact
                     self.block(i, j)[:] += np.triu(g, 1) if i == j else g
 
-    def cells(self) -> int:
-        return len(self.blocks) * self.side * self.side
-
-    def flush(self) -> Iterator[pa.RecordBatch]:
+    def merge(self) -> None:
+        if self.fresh:
+            new, times = np.unique(np.concatenate(self.fresh), return_counts=True)
+            codes, where = np.unique(np.concatenate([self.codes, new]), return_inverse=True)
+            self.times = np.bincount(where, weights=np.concatenate([self.times, times]), minlength=len(codes)).astype(np.int64)  # exact up to 2**53
+            self.codes, self.fresh, self.n_fresh = codes, [], 0
+
+    def make_room(self) -> Cells:
+        """Takes out half of the cells, those with the smallest counts."""
+        out = np.zeros(len(self.codes), bool)
+        out[np.argpartition(self.times, len(self.codes) // 2)[: len(self.codes) // 2]] = True
+        gone = self.codes[out], self.times[out]
+        self.codes, self.times = self.codes[~out], self.times[~out]
+        return gone
+
+    def flush(self) -> Iterator[Cells]:
+        self.merge()
         for (i, j), b in self.blocks.items():
             r, c = np.nonzero(b)
-            yield pa.RecordBatch.from_pydict({"a": pa.array((r + i * self.side).astype(np.int32)), "b": pa.array((c + j * self.side).astype(np.int32)), "n": pa.array(b[r, c])})
+            yield (r + i * self.side) << 32 | (c + j * self.side), b[r, c]
+        yield self.codes, self.times
         self.blocks.clear()
+        self.codes, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
 
 def item_counts(baskets: DataFrame, items: str) -> DataFrame:
@@ -111,26 +147,35 @@ def _lift(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("lift", F.col("n_ab").cast("double") * F.col("n") / (F.col("n_a").cast("double") * F.col("n_b")))
 
 
-def pair_counts(baskets: DataFrame, items: str, least: int, share: int) -> DataFrame:
+def pair_counts(baskets: DataFrame, items: str, least: int, share: int, most_items: int = MOST_ITEMS) -> DataFrame:
     """(item_a, item_b, n_a, n_b, n_ab, n, lift) of the pairs in at least `least` baskets and a `share`-th of all N.
 
     `items` is an array of strings, in which an item counts once a basket; item_a comes before item_b by code point.
     N counts the baskets with an item, null items are none, and empty or null baskets are not counted. `lift` is
     n_ab * N / (n_a * n_b), 1 being chance. Baskets of any length are used whole; every repeated basket counts.
-    An empty table gives no rows. Other columns are not read."""
+    An empty table gives no rows. Other columns are not read. Where more than `most_items` items have the support, the
+    result is the same, but the items' names travel with their counts."""
     spark = baskets.sparkSession
     baskets = _baskets(baskets, items)
     n_all = baskets.count()
     enough = max(least, -(-n_all // share))
-    frequent = item_counts(baskets, "items").where(F.col("n") >= enough).orderBy(F.desc("n"), "item").limit(MOST_ITEMS + 1).collect()
-    if len(frequent) > MOST_ITEMS:
-        raise ValueError(f"more than {MOST_ITEMS} items are in a 1/{share} of the baskets: raise the share asked for")
+    counts = item_counts(baskets, "items")
+    frequent = counts.where(F.col("n") >= enough).orderBy(F.desc("n"), "item").limit(most_items + 1).collect()
+    if len(frequent) > most_items:
+        return _named(baskets, counts, n_all).where(F.col("n_ab") >= enough)
     names, n = [r["item"] for r in frequent], [r["n"] for r in frequent]
     shared = spark.sparkContext.broadcast(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = pa.array(shared.value, pa.string())
-        gram = Gram(max(len(names), 1))
+        gram = Gram()
+
+        def out(cells: Iterator[Cells]) -> Iterator[pa.RecordBatch]:
+            for codes, times in cells:
+                for lo in range(0, len(codes), OUT):
+                    c = codes[lo : lo + OUT]
+                    yield pa.RecordBatch.from_pydict({"a": pa.array((c >> 32).astype(np.int32)), "b": pa.array((c & 0xFFFFFFFF).astype(np.int32)), "n": pa.array(times[lo : lo + OUT])})
+
         for batch in batches:
             for lo in range(0, batch.num_rows, RECORDS):
                 lists = batch.column(0).slice(lo, RECORDS)
@@ -142,10 +187,8 @@ def pair_counts(baskets: DataFrame, items: str, least: int, share: int) -> DataF
                 ok = ~np.isnan(ids)
                 ids, record = ids[ok].astype(np.int32), record[ok]
                 order = np.lexsort((ids, record))
-                gram.add(ids[order], np.bincount(record, minlength=len(lists)))
-                if gram.cells() > CELLS:
-                    yield from gram.flush()
-        yield from gram.flush()
+                yield from out(gram.add(ids[order], np.bincount(record, minlength=len(lists))))
+        yield from out(gram.flush())
 
     cells = baskets.mapInArrow(run, "a int, b int, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n_ab")).where(F.col("n_ab") >= enough)
     numbered = spark.createDataFrame([(i, x, c) for i, (x, c) in enumerate(zip(names, n))], "i int, item string, c bigint")
@@ -158,32 +201,12 @@ def pair_counts(baskets: DataFrame, items: str, least: int, share: int) -> DataF
     return _lift(out)
 
 
-def _codes(ids: np.ndarray, n: np.ndarray) -> Iterator[np.ndarray]:
-    """Codes (a << 32 | b, a < b) of all pairs of records: ascending numbers, one record after the other; their lengths.
-
-    At most about HELD codes at once: a record with more gives those of one item at a time."""
-    start = np.cumsum(n) - n
-    for length in np.unique(n[n > 1]):
-        pairs = int(length) * (int(length) - 1) // 2
-        if pairs > HELD:
-            for lo in start[n == length]:
-                x = ids[lo : lo + length]
-                for i in range(length - 1):
-                    yield x[i] << 32 | x[i + 1 :]
-            continue
-        a, b = np.triu_indices(length, 1)
-        at, step = start[n == length], HELD // pairs
-        for lo in range(0, len(at), step):
-            x = ids[at[lo : lo + step, None] + np.arange(length)]
-            yield (x[:, a] << 32 | x[:, b]).ravel()
-
-
-class Pairs:
-    """Counts of the distinct pairs that a task has met, and the names of their items."""
+class Named:
+    """A task's Gram matrix under numbers of its own, in the order in which items come, and the names behind them."""
 
-    def __init__(self):
+    def __init__(self, held: int = HELD):
         self.number: dict[str, int] = {}
-        self.codes, self.times, self.fresh, self.n_fresh = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+        self.gram, self.held = Gram(held=held), held
 
     def add(self, lists: pa.ListArray) -> Iterator[pa.RecordBatch]:
         coded = lists.flatten().dictionary_encode()
@@ -191,55 +214,46 @@ class Pairs:
         ids = own[coded.indices.to_numpy()]
         n = np.diff(lists.offsets.to_numpy())
         ids = ids[np.lexsort((ids, np.repeat(np.arange(len(lists)), n)))]
-        for codes in _codes(ids, n):
-            self.fresh.append(codes)
-            self.n_fresh += len(codes)
-            if self.n_fresh >= HELD:
-                self.merge()
-                if len(self.codes) >= HELD:
-                    yield from self.flush()
-        if len(self.number) >= HELD:
-            yield from self.flush(forget=True)
-
-    def merge(self) -> None:
-        if self.fresh:
-            new, times = np.unique(np.concatenate(self.fresh), return_counts=True)
-            self.codes, where = np.unique(np.concatenate([self.codes, new]), return_inverse=True)
-            times = np.concatenate([self.times, times])
-            self.times = np.zeros(len(self.codes), np.int64)
-            np.add.at(self.times, where, times)
-            self.fresh, self.n_fresh = [], 0
-
-    def flush(self, forget: bool = False) -> Iterator[pa.RecordBatch]:
-        """What was counted, item_a before item_b by code point. Names are forgotten only between batches."""
-        self.merge()
-        names = list(self.number)
-        place = np.empty(len(names), np.int64)
-        place[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
-        names = pa.array(names, pa.string())
-        for lo in range(0, len(self.codes), OUT):
-            a, b = self.codes[lo : lo + OUT] >> 32, self.codes[lo : lo + OUT] & 0xFFFFFFFF
-            a, b = np.where(place[a] < place[b], a, b), np.where(place[a] < place[b], b, a)
-            yield pa.RecordBatch.from_pydict({"item_a": names.take(pa.array(a)), "item_b": names.take(pa.array(b)), "n": pa.array(self.times[lo : lo + OUT])})
-        self.codes, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if forget:
-            self.number = {}
+        yield from self.out(self.gram.add(ids, n))
+        if len(self.number) >= self.held:  # the names must fit too
+            yield from self.flush()
 
-
-def every_pair(baskets: DataFrame, items: str) -> DataFrame:
-    """The columns of `pair_counts`, of all pairs of items that share a basket, however few: no support and no bound on
-    the number of items. Rules for items and baskets are the same. The result can be as large as the baskets' pairs."""
-    baskets = _baskets(baskets, items)
-    n_all = baskets.count()
-    counts = materialize(item_counts(baskets, "items"), "items")
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        yield from self.out(self.gram.flush())
+        self.number = {}
+
+    def out(self, cells: Iterator[Cells]) -> Iterator[pa.RecordBatch]:
+        """Cells by name, item_a before item_b by code point."""
+        names = None
+        for codes, times in cells:
+            if names is None:
+                names = list(self.number)
+                place = np.empty(len(names), np.int64)
+                place[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+                names = pa.array(names, pa.string())
+            for lo in range(0, len(codes), OUT):
+                a, b = codes[lo : lo + OUT] >> 32, codes[lo : lo + OUT] & 0xFFFFFFFF
+                a, b = np.where(place[a] < place[b], a, b), np.where(place[a] < place[b], b, a)
+                yield pa.RecordBatch.from_pydict({"item_a": names.take(pa.array(a)), "item_b": names.take(pa.array(b)), "n": pa.array(times[lo : lo + OUT])})
+
+
+def _named(baskets: DataFrame, counts: DataFrame, n_all: int) -> DataFrame:
+    counts = materialize(counts, "items")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = Pairs()
+        named = Named()
         for batch in batches:
             for lo in range(0, batch.num_rows, RECORDS):
-                yield from pairs.add(batch.column(0).slice(lo, RECORDS))
-        yield from pairs.flush()
+                yield from named.add(batch.column(0).slice(lo, RECORDS))
+        yield from named.flush()
 
     cells = spread(baskets).mapInArrow(run, "item_a string, item_b string, n bigint").groupBy("item_a", "item_b").agg(F.sum("n").alias("n_ab"))
     known = cells.join(counts.toDF("item_a", "n_a"), "item_a").join(counts.toDF("item_b", "n_b"), "item_b")
     return _lift(known.select("item_a", "item_b", "n_a", "n_b", "n_ab", F.lit(n_all).cast("long").alias("n")))
+
+
+def every_pair(baskets: DataFrame, items: str) -> DataFrame:
+    """The columns of `pair_counts`, of all pairs of items that share a basket, however few: no support and no bound on
+    the number of items. Rules for items and baskets are the same. The result can be as large as the baskets' pairs."""
+    baskets = _baskets(baskets, items)
+    return _named(baskets, item_counts(baskets, "items"), baskets.count())

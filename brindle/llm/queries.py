@@ -19,23 +19,15 @@ def _goods(spark: SparkSession, d: str) -> DataFrame:
     return baskets.select(folded.alias("items"))
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return pair_counts(_goods(spark, d), "items", least=5, share=2000)
-
-
 def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of goods in at least 5 orders and a 2000th of all, with their counts and their lift over chance."""
-    return _pairs(spark, d)
-
-
-def p3_every_pair(spark: SparkSession, d: str) -> DataFrame:
     """All pairs of goods that share an order, however few, with their counts and their lift over chance."""
     return every_pair(_goods(spark, d), "items")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     wide = lambda c: F.col(c).cast("decimal(19,0)")
-    return _pairs(spark, d).where(wide("n_ab") * wide("n") >= wide("n_a") * wide("n_b") * 3).select("item_a", "item_b")
+    pairs = pair_counts(_goods(spark, d), "items", least=5, share=2000)
+    return pairs.where(wide("n_ab") * wide("n") >= wide("n_a") * wide("n_b") * 3).select("item_a", "item_b")
 
 
 def p5_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -54,5 +46,5 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return classify(docs, model, "text", ["doc_id"]).select("doc_id", "subject")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pairs, p3_every_pair, p5_ids, p6_pack, p7_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_pairs, p5_ids, p6_pack, p7_found)}
 SQL: dict[str, str] = {}

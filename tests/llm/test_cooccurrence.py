@@ -7,24 +7,46 @@ import pyarrow as pa
 import pytest
 
 from brindle.llm import cooccurrence
-from brindle.llm.cooccurrence import Gram, Pairs, every_pair, pair_counts
+from brindle.llm.cooccurrence import Gram, Named, every_pair, pair_counts
 
 
+def lists(records):
+    return np.concatenate(records), np.array([len(r) for r in records])
+
+
+@pytest.mark.parametrize("head, held", [(2048, 1 << 21), (512, 1000), (0, 50)])
 @pytest.mark.parametrize("longest", [4, 60, 400])
-def test_gram(longest):
+def test_gram(longest, head, held):
     rng = np.random.default_rng(longest)
-    records = [np.sort(rng.choice(600, rng.integers(0, longest), replace=False)).astype(np.int32) for _ in range(500)]
-    x = np.zeros((500, 600))
+    records = [np.sort(rng.choice(600, rng.integers(0, longest), replace=False)).astype(np.int32) for _ in range(300)]
+    x = np.zeros((300, 600))
     for i, r in enumerate(records):
         x[i, r] = 1
-    g = Gram(600)
-    g.add(np.concatenate(records), np.array([len(r) for r in records]))
-    out = np.zeros((600, 600))
-    for b in g.flush():
-        out[b["a"].to_numpy(), b["b"].to_numpy()] += b["n"].to_numpy()
+    g, out = Gram(head=head, held=held), np.zeros((600, 600))
+    for part in (records[:100], records[100:]):
+        for code, n in g.add(*lists(part)):
+            out[code >> 32, code & 0xFFFFFFFF] += n
+        assert len(g.codes) + g.n_fresh <= 2 * held + 600
+    for code, n in g.flush():
+        out[code >> 32, code & 0xFFFFFFFF] += n
     assert (out == np.triu(x.T @ x, 1)).all()
 
 
+def test_sums_of_many_items_combine():
+    """A million baskets of 3 of 6,000 items with a power law: a tenth of the pairs at most leaves the task, in bounded memory."""
+    rng = np.random.default_rng(1)
+    share = 1 / np.arange(1, 6001) ** 1.6
+    g, rows, pairs = Gram(held=1 << 17), 0, 0
+    for _ in range(50):
+        x = np.sort(rng.choice(6000, (20_000, 3), p=share / share.sum()), axis=1)
+        x = x[(np.diff(x, axis=1) > 0).all(axis=1)]
+        pairs += 3 * len(x)
+        rows += sum(len(c) for c, _ in g.add(x.ravel(), np.full(len(x), 3)))
+        assert len(g.codes) + g.n_fresh <= 3 << 17 and len(g.blocks) <= 36
+    rows += sum(len(c) for c, _ in g.flush())
+    assert rows * 10 <= pairs
+
+
 def brute(baskets, least, share):
     sets = [{x for x in b or [] if x is not None} for b in baskets]
     sets = [s for s in sets if s]
@@ -32,14 +54,13 @@ def brute(baskets, least, share):
     return {(a, b, single[a], single[b], k, n) for (a, b), k in pairs.items() if k >= least and k * share >= n}
 
 
-@pytest.mark.parametrize("cells", [1 << 22, 1])
-def test_against_brute_force(spark, monkeypatch, cells):
-    monkeypatch.setattr(cooccurrence, "CELLS", cells)
+@pytest.mark.parametrize("most_items", [1 << 18, 3])
+def test_against_brute_force(spark, most_items):
     r = random.Random(2)
     goods = [f"g{i}" for i in range(40)] + ["é", "Z", "￿", "😀"]
     baskets = [[r.choice(goods[: r.choice([3, 44])]) for _ in range(r.choice([0, 1, 3, 40]))] for _ in range(400)] + [None, [None], [None, "é", "é"], ["é"]]
     df = spark.createDataFrame([(b, "x") for b in baskets], "b array<string>, items string").repartition(3)
-    out = pair_counts(df, "b", 5, 50)
+    out = pair_counts(df, "b", 5, 50, most_items)
     assert {tuple(x)[:6] for x in out.collect()} == brute(baskets, 5, 50)
     x = out.orderBy("item_a", "item_b").first()
     assert abs(x["lift"] - x["n_ab"] * x["n"] / (x["n_a"] * x["n_b"])) < 1e-9
@@ -51,15 +72,7 @@ def test_empty(spark):
     assert pair_counts(df.where("false"), "b", 1, 10).collect() == []
 
 
-def test_too_many_items(spark, monkeypatch):
-    monkeypatch.setattr(cooccurrence, "MOST_ITEMS", 3)
-    df = spark.createDataFrame([(["a", "b", "c", "d"],)] * 5, "b array<string>")
-    with pytest.raises(ValueError, match="more than 3 items"):
-        pair_counts(df, "b", 1, 10)
-
-
-def test_every_pair_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(cooccurrence, "MOST_ITEMS", 3)
+def test_every_pair_against_brute_force(spark):
     r = random.Random(3)
     goods = [f"g{i}" for i in range(400)] + ["é", "Z", "￿", "😀"]
     baskets = [[r.choice(goods[: r.choice([3, 404])]) for _ in range(r.choice([0, 1, 2, 5, 40]))] for _ in range(300)] + [goods, None, [None], [None, "é", "é"]]
@@ -74,12 +87,12 @@ def test_every_pair_of_nothing(spark):
 
 @pytest.mark.parametrize("held", [1 << 21, 200, 2])
 def test_pairs_are_passed_on(monkeypatch, held):
-    monkeypatch.setattr(cooccurrence, "HELD", held)
     monkeypatch.setattr(cooccurrence, "OUT", 7)
     r = random.Random(4)
     baskets = [r.sample([f"g{i}" for i in range(60)] + ["é", "￿", "😀"], r.choice([0, 1, 2, 5, 40])) for _ in range(90)]
-    pairs, out = Pairs(), Counter()
-    for b in [*(b for lo in range(0, 90, 9) for b in pairs.add(pa.array(baskets[lo : lo + 9], pa.list_(pa.string())))), *pairs.flush()]:
+    named, out = Named(held), Counter()
+    named.gram.head = 8
+    for b in [*(b for lo in range(0, 90, 9) for b in named.add(pa.array(baskets[lo : lo + 9], pa.list_(pa.string())))), *named.flush()]:
         for x in b.to_pylist():
             out[x["item_a"], x["item_b"]] += x["n"]
-    assert out == Counter(p for b in baskets for p in combinations(sorted(b), 2)) and (held > 2 or len(pairs.number) < 60)
+    assert out == Counter(p for b in baskets for p in combinations(sorted(b), 2)) and not named.number
