@@ -4,6 +4,8 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from brindle.llm import bpe
 
@@ -37,6 +39,24 @@ def test_same_as_the_library(coders):
         assert ids(x) == theirs.encode_ordinary(t)
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from("a'sZ1 \n\t\r\x0b\x0c\x1c\x85\xa0\u2028.,_é漢"), st.characters(exclude_categories=["Cs"])), max_size=40))
+def test_lines_and_their_words(coders, text):
+    """The words of the lines are those of the text, by either engine."""
+    ours, _ = coders
+    assert "".join(bpe.lines(text)) == text
+    assert [w for x in bpe.lines(text) for w in (ours.split_ascii(x) if x.isascii() else ours.split(x))] == ours.split(text)
+
+
+def test_kept_lines(coders, monkeypatch):
+    monkeypatch.setattr(bpe, "LINES", 30)
+    monkeypatch.setattr(bpe, "TOGETHER", 20)
+    some = ["one line\ntwo\n\nthree", "one line\ntwo", "other\ntwo\n", "x" * 100, "one line\n" * 50] * 3 + texts()[:100]
+    ours = bpe.Encoder(FILE.read_bytes())
+    assert [ids(x) for x in ours.encode(some)] == [coders[1].encode_ordinary(t) for t in some]
+    assert ours.kept == sum(map(len, ours.lines))
+
+
 def test_matrix_and_heap_agree(coders):
     words = [w.encode() for t in texts() for w in coders[0].split(t) if 1 < len(w.encode()) < 200]
     assert [ids(x) for x in map(coders[0].heap, words)] == [ids(x) for w in words for x in coders[0].matrix([w])]
