@@ -54,15 +54,22 @@ def best_configuration(sizes: list[int], worth: np.ndarray, capacity: int) -> tu
     return float(value[capacity]), counts
 
 
-def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 400) -> list[tuple[np.ndarray, int]]:
-    """(contents, how often): whole numbers of containers that take at most the demand, by a revised simplex."""
+def configurations(sizes: list[int], demand: list[int], capacity: int) -> tuple[list[tuple[np.ndarray, int]], float, float]:
+    """(contents, how often): whole numbers of containers that take at most the demand, by a revised simplex; the containers
+    of the linear programme's solution, and a number that none of its solutions can be below.
+
+    Columns are generated until none is worth more than a container, which is the optimum; then both numbers are equal. Only if
+    rounding made the simplex come back to a basis would it stop before, and the two would show by how much."""
     n = len(sizes)
     columns = [np.eye(n, dtype=int)[i] * (capacity // sizes[i]) for i in range(n)]
     d = np.array(demand, float)
     basis = np.array(columns, float).T
-    for _ in range(rounds):
+    met, bound = set(), 0.0
+    while (now := tuple(sorted(c.tobytes() for c in columns))) not in met:
+        met.add(now)
         worth = np.linalg.solve(basis.T, np.ones(n))
         gain, new = best_configuration(sizes, np.maximum(worth, 0), capacity)
+        bound = max(bound, float(d @ worth) / max(gain, 1.0))  # no configuration is worth more than `gain`
         if gain <= 1 + 1e-9:
             break
         x, move = np.linalg.solve(basis, d), np.linalg.solve(basis, new.astype(float))
@@ -78,7 +85,20 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
         if often > 0:
             taken.append((columns[i], often))
             left = left - often * columns[i]
-    return taken
+    return taken, float(x.sum()), bound
+
+
+def least_containers(counts: dict[int, int], capacity: int) -> int:
+    """A number of containers that no packing of items given as {size: how many} can be below: for every size k, items larger
+    than capacity - k have containers of their own, and what is of size k or more must fit beside and beyond them."""
+    size = np.array(sorted(counts), np.int64)
+    n = np.array([counts[s] for s in size.tolist()], np.int64)
+    best = 0
+    for k in [0, *size[size * 2 <= capacity].tolist()]:
+        big, mid, low = size > capacity - k, (size <= capacity - k) & (size * 2 > capacity), (size * 2 <= capacity) & (size >= k)
+        room = int(n[mid].sum()) * capacity - int(n[mid] @ size[mid])
+        best = max(best, int(n[big | mid].sum()) + max(0, -(-(int(n[low] @ size[low]) - room) // capacity)))
+    return best
 
 
 class Plan:
@@ -86,6 +106,7 @@ class Plan:
 
     def __init__(self, counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small: int = SMALL):
         self.capacity, self.containers = capacity, 0
+        self.solution = self.bound = 0.0  # containers of the linear programme, and what none can be below
         self.runs: list[tuple[int, int, int, int, int]] = []  # size, first rank, items, first container, items in each
         self.room: dict[int, list[tuple[int, int]]] = {}  # free space: (first container, how many)
         self.rooms: list[int] = []
@@ -155,7 +176,8 @@ class Plan:
         demand = [sum(x[2] for x in merged[s]) for s in sizes]
         queues = [merged[s] for s in sizes]
         taken: dict[int, list[tuple[int, int, int]]] = {}
-        for contents, often in configurations(sizes, demand, self.capacity):
+        found, self.solution, self.bound = configurations(sizes, demand, self.capacity)
+        for contents, often in found:
             first = self.containers
             self.containers += often
             cuts_at, steps = {0}, []  # where the size in a slot changes along the containers
@@ -250,3 +272,16 @@ def pack_texts(df: DataFrame, text: str, keep: list[str], capacity: int = CAPACI
     """`pack` with the texts' tokens as sizes; null and empty texts go nowhere."""
     taken = free_name("n_tokens", keep)
     return pack(count_tokens(df, text, keep, taken, tokenizers, vocabulary), taken, keep, capacity, groups)
+
+
+def summary(packed: DataFrame, size: str = "size", container: str = "container", capacity: int = CAPACITY) -> DataFrame:
+    """One row about a packing: `items`, `tokens`, `containers`, the number `least` that no packing can be below, their `gap`,
+    and the share of all room that is `unused` (null without items). Counted by size and by container, with partial counts."""
+    counts = {r["s"]: r["n"] for r in packed.groupBy(F.col(size).alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
+    least = least_containers(counts, capacity)
+    used = packed.select(container).distinct().agg(F.count(F.lit(1)).alias("containers"))
+    items, tokens = sum(counts.values()), sum(s * n for s, n in counts.items())
+    c = F.col("containers")
+    lit = lambda x: F.lit(x).cast("bigint")
+    unused = F.lit(1.0) - F.try_divide(F.lit(float(tokens)), c * capacity)
+    return used.select(lit(items).alias("items"), lit(tokens).alias("tokens"), "containers", lit(least).alias("least"), (c - lit(least)).alias("gap"), unused.alias("unused"))

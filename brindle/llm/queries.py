@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from brindle.llm.bpe import encode
 from brindle.llm.cooccurrence import every_pair, pair_counts
-from brindle.llm.packing import pack_texts
+from brindle.llm.packing import pack_texts, summary
 from brindle.llm.subjects import classify, fit
 from brindle.operators.packed import once_per_key
 from brindle.session import table
+from brindle.storage import materialize
 
 
 def _goods(spark: SparkSession, d: str) -> DataFrame:
@@ -39,6 +40,11 @@ def p6_pack(spark: SparkSession, d: str) -> DataFrame:
     return pack_texts(table(spark, d, "documents"), "text", ["doc_id"])
 
 
+def p6_summary(spark: SparkSession, d: str) -> DataFrame:
+    """How well p6_pack fills its containers: their number, the least conceivable, the gap, and the room left over."""
+    return summary(materialize(p6_pack(spark, d), "packed"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     areas = sorted(r["subject"] for r in table(spark, d, "subject_areas").select("subject").where("subject is not null").collect())  # 10 rows, fixed
@@ -46,5 +52,5 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return classify(docs, model, "text", ["doc_id"]).select("doc_id", "subject")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pairs, p5_ids, p6_pack, p7_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_pairs, p5_ids, p6_pack, p6_summary, p7_found)}
 SQL: dict[str, str] = {}

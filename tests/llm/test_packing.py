@@ -3,7 +3,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from brindle.llm.packing import Plan, configurations, pack
+from brindle.llm.packing import Plan, configurations, least_containers, pack, summary
 
 
 def loads(counts, plan):
@@ -38,8 +38,36 @@ def test_little_is_left_over():
 
 
 def test_configurations_reach_the_optimum():
-    got = configurations([60, 40, 35, 25], [100, 100, 200, 100], 100)  # 60+40, 35+35+25
-    assert sum(n for _, n in got) == 200
+    got, solution, bound = configurations([60, 40, 35, 25], [100, 100, 200, 100], 100)  # 60+40, 35+35+25
+    assert sum(n for _, n in got) == 200 and abs(solution - 200) < 1e-6 and abs(bound - 200) < 1e-6
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_columns_are_generated_to_the_end(seed):
+    """The linear programme's solution is its optimum: nothing can be below it."""
+    rng = np.random.default_rng(seed)
+    sizes = sorted(rng.choice(np.arange(256, 2048), 32, replace=False).tolist(), reverse=True)
+    _, solution, bound = configurations(sizes, rng.integers(1, 10_000, 32).tolist(), 2048)
+    assert abs(solution - bound) <= 1e-6 * solution
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.integers(1, 20), st.integers(1, 3), max_size=4))
+def test_least_containers_is_a_bound(counts):
+    items = sorted((s for s, n in counts.items() for _ in range(n)), reverse=True)
+
+    def fits(left, room):
+        return not left or any(left[0] <= r and fits(left[1:], sorted([*room[:i], r - left[0], *room[i + 1 :]])) for i, r in enumerate(room) if r not in room[:i])
+
+    least = least_containers(counts, 20)
+    assert least == 0 if not items else (least == 1 or not fits(items, [20] * (least - 1))) and least * 20 >= sum(items)
+
+
+def test_summary(spark):
+    df = spark.createDataFrame([(0, 10), (0, 10), (1, 15), (2, 15)], "container long, size long")
+    r = summary(df, capacity=20).first()
+    assert tuple(r)[:5] == (4, 50, 3, 3, 0) and abs(r["unused"] - 10 / 60) < 1e-9
+    assert tuple(summary(df.where("false"), capacity=20).first()) == (0, 0, 0, 0, 0, None)
 
 
 def test_table(spark):
