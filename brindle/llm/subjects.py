@@ -24,25 +24,27 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from brindle.storage import free_name, materialize, spread
 
 #: Bound of the sample; features of fewer labelled documents, or of a larger share, are left out.
 MOST_LABELLED, MIN_DOCS, MAX_SHARE = 20_000, 2, 0.2
-#: Length of the mean below which a short text counts as less sure; size of the embeddings; rounds; step; parts of the
-#: sample. On held-out labels more rounds only learn the labellers' mistakes (0.933 after 10 to 30, 0.92 after 60).
-FLOOR, WIDTH, ROUNDS, STEP, PARTS = 30.0, 16, 16, 0.1, 6
+#: Length of the mean below which a short text counts as less sure; size of the embeddings; rounds; step; labelled documents
+#: of a part. Rounds, step and SURE stand in the middle of what five splits of the 983 labels of one corpus find equally
+#: good (F1 0.933 to 0.936 with 12 to 32 rounds and 0.5 to 0.8); more rounds only learn the labellers' mistakes.
+FLOOR, WIDTH, ROUNDS, STEP, PART = 30.0, 16, 16, 0.1, 1500
 #: A section with at least this output has the area.
 SURE = 0.7
 PIECE = 5
-CACHE, TOGETHER = 1 << 18, 1 << 21
+#: Words and characters of lines kept with their features, characters of the texts that are scored together.
+CACHE, LINES, TOGETHER = 1 << 18, 1 << 23, 1 << 20
 
 #: Characters that show nothing.
 _UNSEEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
-#: Line ends other than \n, which alone ends a line for ^ and $.
-_LINE_END = re.compile("\r\n?|[\v\f\x1c-\x1e\x85\u2028\u2029]")
-_ASIDE = re.compile(r"<ref[^<>]*/>|<ref[^<>]*>.*?</ref>|<!--.*?-->|https?://\S+", re.S | re.I)
-_HEADING = re.compile(r"^[ \t]*==+[^=\n]+==+[ \t]*$", re.M)
+_ASIDE = re.compile(r"<ref[^<>]*/>|<ref[^<>]*>.*?</ref>|<!--.*?-->", re.S | re.I)
+_ADDRESS = re.compile(r"https?://\S+", re.I)
+_HEADING = re.compile(r"[ \t]*==+[^=]+==+[ \t]*")
 _WORD = re.compile(r"[^\W\d_]{2,}")
 _DAMAGED = re.compile("[ÂÃ][\u0080-¿Œ-Ÿˆ-™]")
 
@@ -51,16 +53,36 @@ def _mend(m: re.Match) -> str:
     return m[0].encode("cp1252", "ignore").decode("utf-8", "ignore")
 
 
-def sections(text: str | None) -> list[list[str]]:
-    """Words of a text by section: lower case, without references, comments, addresses, invisible characters and escapes;
-    UTF-8 that was read as Windows-1252 is mended, and any line separator ends a line."""
+def lines(text: str | None) -> list[str]:
+    """Lines of a text without references, comments and escapes; any line separator ends a line."""
     if not text:
         return []
     t = html.unescape(text) if "&" in text else text
-    if not t.isascii():
-        t = unicodedata.normalize("NFKC", _UNSEEN.sub("", _DAMAGED.sub(_mend, t)))
-    t = _ASIDE.sub(" ", _LINE_END.sub("\n", t))
-    return [_WORD.findall(s) for s in _HEADING.split(t.lower())]
+    return (_ASIDE.sub(" ", t) if "<" in t else t).splitlines()
+
+
+def words(line: str) -> list[str] | None:
+    """Words of a line in lower case, without addresses and invisible characters; UTF-8 that was read as Windows-1252 is
+    mended. None for a heading."""
+    if not line.isascii():
+        line = unicodedata.normalize("NFKC", _UNSEEN.sub("", _DAMAGED.sub(_mend, line)))
+    if "://" in line:
+        line = _ADDRESS.sub(" ", line)
+    if "==" in line and _HEADING.fullmatch(line):
+        return None
+    return _WORD.findall(line.lower())
+
+
+def sections(text: str | None) -> list[list[str]]:
+    """Words of a text by section: before, between and behind its headings."""
+    out: list[list[str]] = [[]]
+    for x in lines(text):
+        ws = words(x)
+        if ws is None:
+            out.append([])
+        else:
+            out[-1] += ws
+    return out if text else []
 
 
 def features(word: str) -> list[str]:
@@ -92,12 +114,15 @@ class Rows:
 
 
 class Vocabulary:
-    """Features with numbers, and their weights by rarity."""
+    """Features with numbers, and their weights by rarity. Lines that were met lately keep their features' numbers:
+    revisions of a page share most lines."""
 
     def __init__(self, names: list[str], rarity: np.ndarray):
         self.number = {f: i for i, f in enumerate(names)}
         self.rarity = rarity.astype(np.float32)
         self.words: dict[str, bytes] = {}
+        self.lines: dict[str, bytes | None] = {}
+        self.kept = 0  # characters of `lines`
 
     def word(self, w: str) -> bytes:
         if len(self.words) >= CACHE:
@@ -106,14 +131,36 @@ class Vocabulary:
         self.words[w] = x
         return x
 
+    def line(self, line: str) -> bytes | None:
+        """Numbers (int32 bytes) of a line's features, None for a heading."""
+        known, ws = self.words, words(line)
+        x = None if ws is None else b"".join([known[w] if w in known else self.word(w) for w in ws])
+        if self.kept >= LINES:
+            self.lines.clear()
+            self.kept = 0
+        self.lines[line] = x
+        self.kept += len(line)
+        return x
+
+    def sections(self, text: str | None) -> list[bytes]:
+        out, part, known = [], [], self.lines
+        for x in lines(text):
+            f = known[x] if x in known else self.line(x)
+            if f is None:
+                out.append(b"".join(part))
+                part = []
+            else:
+                part.append(f)
+        return [*out, b"".join(part)] if text else []
+
     def rows(self, texts: list[str | None], by_section: bool) -> tuple[Rows, np.ndarray]:
         """One row per section or text, and the text each belongs to. Weights: root of the count times rarity, summing to
         1 where there is enough text."""
-        ids, owner, known = [], [], self.words
+        ids, owner = [], []
         for i, t in enumerate(texts):
-            found = sections(t)
-            for ws in found if by_section else [[w for ws in found for w in ws]] if found else []:
-                ids.append(b"".join([known[w] if w in known else self.word(w) for w in ws]))
+            found = self.sections(t)
+            for x in found if by_section else [b"".join(found)] if found else []:
+                ids.append(x)
                 owner.append(i)
         n = np.array([len(x) // 4 for x in ids], np.int64)
         size = max(len(self.rarity), 1)
@@ -200,8 +247,7 @@ def document_counts(texts: DataFrame, names: list[str]) -> tuple[int, np.ndarray
         vocabulary, n = Vocabulary(shared.value, np.zeros(len(shared.value))), np.zeros(len(shared.value) + 1, np.int64)
         for b in batches:
             for t in b.column(0).to_pylist():
-                own = b"".join([vocabulary.words[w] if w in vocabulary.words else vocabulary.word(w) for w in {w for ws in sections(t) for w in ws}])
-                n[np.unique(np.frombuffer(own, np.int32))] += 1
+                n[np.unique(np.frombuffer(b"".join(vocabulary.sections(t)), np.int32))] += 1
                 n[-1] += 1  # counts the texts
         f = np.nonzero(n)[0]
         yield pa.RecordBatch.from_pydict({"f": pa.array(f.astype(np.int32)), "n": pa.array(n[f])})
@@ -212,7 +258,7 @@ def document_counts(texts: DataFrame, names: list[str]) -> tuple[int, np.ndarray
     return int(out[-1]), out[:-1]
 
 
-def fit(docs: DataFrame, labels: DataFrame, areas: list[str], doc: str, text: str, label: str, most_labelled: int = MOST_LABELLED, most_features: int | None = None, rounds: int = ROUNDS, width: int = WIDTH, step: float = STEP, parts: int = PARTS, max_share: float = MAX_SHARE, seed: int = 1) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, areas: list[str], doc: str, text: str, label: str, most_labelled: int = MOST_LABELLED, most_features: int | None = None, rounds: int = ROUNDS, width: int = WIDTH, step: float = STEP, part: int = PART, max_share: float = MAX_SHARE, seed: int = 1) -> Model:
     """A model trained on the labelled documents. `labels` has rows (doc, label), several per document if it has several
     areas; a null label says that there is none, and labels that are not in `areas` are left out. The sample is
     the `most_labelled` documents whose ids have the smallest hashes. Features of more than `max_share` of all documents
@@ -223,6 +269,7 @@ def fit(docs: DataFrame, labels: DataFrame, areas: list[str], doc: str, text: st
     sample = by_doc.orderBy(F.xxhash64("d"), "d").limit(most_labelled)
     texts = docs.select(F.col(doc).alias("d"), F.col(text).cast("string").alias("t")).where("t is not null and trim(t) <> ''")
     # The sample's ids are at most `most_labelled` rows, so the texts stay where they are.
+    parts = max(1, -(-min(most_labelled, by_doc.count()) // part))
     labelled = materialize(texts.join(F.broadcast(sample), "d").select("t", "areas").repartition(parts), "labelled")
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,28 +292,34 @@ def fit(docs: DataFrame, labels: DataFrame, areas: list[str], doc: str, text: st
     words = spark.sparkContext.broadcast((names, rarity))  # features of the bounded sample
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list = [(t, a) for b in batches for t, a in zip(*(c.to_pylist() for c in b.columns))]  # a part of the bounded sample
-        if not rows:
-            return
-        x, owner = Vocabulary(*words.value).rows([t for t, _ in rows], False)
-        target = np.array([[a in r for a in areas] for _, r in rows], np.float32)[owner]
-        back = x.turned(len(names))
-        blob = _save(start=x.start, ids=x.ids, weight=x.weight, start_t=back.start, ids_t=back.ids, weight_t=back.weight, target=target)
-        yield pa.RecordBatch.from_pydict({"n": pa.array([len(owner)], pa.int64()), "blob": pa.array([blob], pa.binary())})
-
-    sparse = materialize(labelled.mapInArrow(numbers, "n bigint, blob binary"), "matrices")
+        vocabulary = Vocabulary(*words.value)
+        for b in batches:
+            texts, labels = (c.to_pylist() for c in b.columns)
+            for lo, hi in _chunks(texts):  # one matrix per so many characters, so that no task holds all of its part
+                x, owner = vocabulary.rows(texts[lo:hi], False)
+                if not x.n:
+                    continue
+                target = np.array([[a in r for a in areas] for r in labels[lo:hi]], np.float32)[owner]
+                back = x.turned(len(names))
+                blob = _save(start=x.start, ids=x.ids, weight=x.weight, start_t=back.start, ids_t=back.ids, weight_t=back.weight, target=target)
+                yield pa.RecordBatch.from_pydict({"n": pa.array([len(owner)], pa.int64()), "blob": pa.array([blob], pa.binary())})
+
+    sparse = materialize(labelled.mapInArrow(numbers, "n bigint, blob binary"), "matrices").persist(StorageLevel.MEMORY_AND_DISK)
     total = sparse.agg(F.sum("n")).first()[0] or 1
     adam = Adam(weights, step)
     for _ in range(rounds):
         now = spark.sparkContext.broadcast(weights)
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            summed = None
             for b in batches:
                 for blob in b.column(0).to_pylist():
-                    part = dict(np.load(io.BytesIO(blob)))
-                    g, own = gradient(part, now.value), np.unique(part["ids"])
-                    g[0] = g[0][own]  # embeddings of features that the part lacks have no gradient
-                    yield pa.RecordBatch.from_pydict({"own": pa.array([own.astype(np.int32).tobytes()], pa.binary()), "g": pa.array([np.concatenate([x.ravel() for x in g]).astype(np.float32).tobytes()], pa.binary())})
+                    g = gradient(dict(np.load(io.BytesIO(blob))), now.value)
+                    summed = [s + x for s, x in zip(summed, g)] if summed else g
+            if summed:
+                own = np.nonzero(summed[0].any(axis=1))[0]
+                summed[0] = summed[0][own]  # embeddings of features that the part lacks have no gradient
+                yield pa.RecordBatch.from_pydict({"own": pa.array([own.astype(np.int32).tobytes()], pa.binary()), "g": pa.array([np.concatenate([x.ravel() for x in summed]).astype(np.float32).tobytes()], pa.binary())})
 
         # At most `parts` gradients, each of the features in its part of the bounded sample.
         summed = [np.zeros_like(w) for w in weights]
@@ -279,6 +332,7 @@ def fit(docs: DataFrame, labels: DataFrame, areas: list[str], doc: str, text: st
             summed[2] += offset
         adam.take([g / total for g in summed])
         now.destroy()
+    sparse.unpersist()
     return Model(areas, names, rarity, weights)
 
 

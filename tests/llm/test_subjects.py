@@ -85,7 +85,7 @@ def test_partitions_do_not_matter(spark):
     rows, truth = corpus(120, 3)
     docs = spark.createDataFrame(rows, "doc int, text string, subject string")
     labels = spark.createDataFrame([(i, a) for i, t in enumerate(truth) for a in (t or {None})], "doc int, label string")
-    a, b = (fit(docs, labels, sorted(TERMS), "doc", "text", "label", parts=p, rounds=5) for p in (1, 4))
+    a, b = (fit(docs, labels, sorted(TERMS), "doc", "text", "label", part=p, rounds=5) for p in (1, 4))
     assert a.names == b.names and all(np.allclose(x, y, atol=1e-3) for x, y in zip(a.weights, b.weights))
 
 
