@@ -100,17 +100,20 @@ class Rows:
         self.start, self.ids, self.weight, self.n = start, ids, weight, len(start) - 1
 
     def mean(self, table: np.ndarray) -> np.ndarray:
+        """The product with a table of features by something: one product of a vector and the rows it needs for each row."""
         out = np.zeros((self.n, table.shape[1]), np.float32)
-        some = np.diff(self.start) > 0
-        if some.any():
-            out[some] = np.add.reduceat(table[self.ids] * self.weight[:, None], self.start[:-1][some], axis=0)
+        start = self.start.tolist()
+        for i, (lo, hi) in enumerate(zip(start, start[1:])):
+            if hi > lo:
+                out[i] = self.weight[lo:hi] @ table.take(self.ids[lo:hi], axis=0)
         return out
 
-    def turned(self, n: int) -> Rows:
-        """The transposed matrix, with n rows."""
-        order = np.argsort(self.ids, kind="stable")
-        row = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.start))
-        return Rows(np.searchsorted(self.ids[order], np.arange(n + 1)), row[order], self.weight[order])
+    def back(self, table: np.ndarray, n: int) -> np.ndarray:
+        """The product of the transposed matrix, which has n rows, with a table of this one's rows by something."""
+        times, out = np.diff(self.start), np.empty((n, table.shape[1]), np.float32)
+        for k in range(table.shape[1]):
+            out[:, k] = np.bincount(self.ids, weights=np.repeat(table[:, k], times) * self.weight, minlength=n)
+        return out
 
 
 class Vocabulary:
@@ -173,6 +176,37 @@ class Vocabulary:
         return Rows(np.searchsorted(row, np.arange(len(ids) + 1)), f.astype(np.int32), weight), np.array(owner, np.int64)
 
 
+class Growing(Vocabulary):
+    """A vocabulary that takes every feature it meets, and counts the texts that hold it."""
+
+    def __init__(self):
+        super().__init__([], np.zeros(0))
+        self.n = np.zeros(1 << 10, np.int64)
+
+    def word(self, w: str) -> bytes:
+        for f in features(w):
+            self.number.setdefault(f, len(self.number))
+        return super().word(w)
+
+    def add(self, text: str | None) -> None:
+        own = np.unique(np.frombuffer(b"".join(self.sections(text)), np.int32))
+        while len(self.n) < len(self.number):
+            self.n = np.concatenate([self.n, np.zeros_like(self.n)])
+        self.n[own] += 1
+
+
+def _seen(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Features of texts, and in how many they are; a full vocabulary is passed on."""
+    v = Growing()
+    for b in batches:
+        for t in b.column(0).to_pylist():
+            v.add(t)
+            if len(v.number) > most:
+                yield pa.RecordBatch.from_pydict({"f": pa.array(list(v.number), pa.string()), "n": pa.array(v.n[: len(v.number)])})
+                v = Growing()
+    yield pa.RecordBatch.from_pydict({"f": pa.array(list(v.number), pa.string()), "n": pa.array(v.n[: len(v.number)])})
+
+
 def _save(**arrays: np.ndarray) -> bytes:
     out = io.BytesIO()
     np.savez(out, **arrays)
@@ -186,10 +220,9 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 def gradient(part: dict[str, np.ndarray], weights: list[np.ndarray]) -> list[np.ndarray]:
     """Sums over a part's documents of the gradients of the logistic losses: of embeddings, outputs and their offsets."""
     x = Rows(part["start"], part["ids"], part["weight"])
-    back = Rows(part["start_t"], part["ids_t"], part["weight_t"])
     mean = x.mean(weights[0])
     error = (_sigmoid(mean @ weights[1] + weights[2]) - part["target"]).astype(np.float32)
-    return [back.mean(error @ weights[1].T), mean.T @ error, error.sum(axis=0)]
+    return [x.back(error @ weights[1].T, len(weights[0])), mean.T @ error, error.sum(axis=0)]
 
 
 class Adam:
@@ -272,14 +305,7 @@ def fit(docs: DataFrame, labels: DataFrame, areas: list[str], doc: str, text: st
     parts = max(1, -(-min(most_labelled, by_doc.count()) // part))
     labelled = materialize(texts.join(F.broadcast(sample), "d").select("t", "areas").repartition(parts), "labelled")
 
-    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[str] = []
-            for t in b.column(0).to_pylist():
-                out += {f for ws in sections(t) for w in set(ws) for f in features(w)}
-            yield pa.RecordBatch.from_pydict({"f": pa.array(out, pa.string())})
-
-    counts = labelled.select("t").mapInArrow(seen, "f string").groupBy("f").agg(F.count(F.lit(1)).alias("n"))
+    counts = labelled.select("t").mapInArrow(_seen, "f string, n bigint").groupBy("f").agg(F.sum("n").alias("n"))
     learnt = sorted(r["f"] for r in counts.where((F.col("f") != "") & (F.col("n") >= MIN_DOCS)).select("f").collect())  # features of the bounded sample
     n, everywhere = document_counts(texts.select("t"), learnt)
     top = [i for i in np.argsort(-everywhere, kind="stable") if everywhere[i] <= max_share * n][:most_features]
@@ -300,8 +326,7 @@ def fit(docs: DataFrame, labels: DataFrame, areas: list[str], doc: str, text: st
                 if not x.n:
                     continue
                 target = np.array([[a in r for a in areas] for r in labels[lo:hi]], np.float32)[owner]
-                back = x.turned(len(names))
-                blob = _save(start=x.start, ids=x.ids, weight=x.weight, start_t=back.start, ids_t=back.ids, weight_t=back.weight, target=target)
+                blob = _save(start=x.start, ids=x.ids, weight=x.weight, target=target)
                 yield pa.RecordBatch.from_pydict({"n": pa.array([len(owner)], pa.int64()), "blob": pa.array([blob], pa.binary())})
 
     sparse = materialize(labelled.mapInArrow(numbers, "n bigint, blob binary"), "matrices").persist(StorageLevel.MEMORY_AND_DISK)

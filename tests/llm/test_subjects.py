@@ -37,8 +37,7 @@ def test_sections():
 def test_gradient_by_differences():
     rng = np.random.default_rng(0)
     x = Rows(np.array([0, 3, 3, 5]), np.array([0, 2, 3, 1, 3]), rng.random(5).astype(np.float32))
-    back = x.turned(4)
-    part = {"start": x.start, "ids": x.ids, "weight": x.weight, "start_t": back.start, "ids_t": back.ids, "weight_t": back.weight, "target": np.array([[1, 0], [0, 0], [1, 1]], np.float32)}
+    part = {"start": x.start, "ids": x.ids, "weight": x.weight, "target": np.array([[1, 0], [0, 0], [1, 1]], np.float32)}
     w = [rng.normal(size=s) for s in ((4, 3), (3, 2), (2,))]
 
     def loss():
