@@ -18,6 +18,7 @@ import html
 import io
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -170,12 +171,27 @@ class Vocabulary:
         key = np.repeat(np.arange(len(ids)), n) * size + np.frombuffer(b"".join(ids), np.int32)
         key, times = np.unique(key, return_counts=True)
         row, f = np.divmod(key, size)
+        told = self.rarity[f] > 0  # features that tell nothing have no rarity
+        row, f, times = row[told], f[told], times[told]
         weight = np.sqrt(times).astype(np.float32) * self.rarity[f]
         total = np.bincount(row, weights=weight, minlength=len(ids))
         weight = (weight / np.maximum(total, FLOOR)[row]).astype(np.float32)
         return Rows(np.searchsorted(row, np.arange(len(ids) + 1)), f.astype(np.int32), weight), np.array(owner, np.int64)
 
 
+_vocabularies: dict[str, Vocabulary] = {}
+
+
+def vocabulary(key: str, names: list[str], rarity: np.ndarray) -> Vocabulary:
+    """The worker's vocabulary of a model, made once a process; what it knows of words and lines holds for all passes."""
+    if key not in _vocabularies:
+        _vocabularies.clear()
+        _vocabularies[key] = Vocabulary(names, rarity)
+    v = _vocabularies[key]
+    v.rarity = rarity.astype(np.float32)
+    return v
+
+
 class Growing(Vocabulary):
     """A vocabulary that takes every feature it meets, and counts the texts that hold it."""
 
@@ -241,16 +257,16 @@ class Adam:
 
 
 class Model:
-    def __init__(self, areas: list[str], names: list[str], rarity: np.ndarray, weights: list[np.ndarray]):
-        self.areas, self.names, self.rarity, self.weights = areas, names, rarity, weights
+    def __init__(self, areas: list[str], names: list[str], rarity: np.ndarray, weights: list[np.ndarray], key: str | None = None):
+        self.areas, self.names, self.rarity, self.weights, self.key = areas, names, rarity, weights, key or uuid.uuid4().hex
 
     def scorer(self):
         """texts -> texts x areas: the highest output over a text's sections, 0 without text."""
-        vocabulary = Vocabulary(self.names, self.rarity)
+        words = vocabulary(self.key, self.names, self.rarity)
 
         def score(texts: list[str | None]) -> np.ndarray:
             out = np.zeros((len(texts), len(self.areas)), np.float32)
-            rows, owner = vocabulary.rows(texts, True)
+            rows, owner = words.rows(texts, True)
             if rows.n:
                 known = np.diff(rows.start) > 0
                 np.maximum.at(out, owner[known], _sigmoid(rows.mean(self.weights[0]) @ self.weights[1] + self.weights[2])[known].astype(np.float32))
@@ -270,17 +286,17 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def document_counts(texts: DataFrame, names: list[str]) -> tuple[int, np.ndarray]:
+def document_counts(texts: DataFrame, names: list[str], key: str) -> tuple[int, np.ndarray]:
     """The number of all texts, and of those that hold each feature. Each task sends one partial count per feature."""
     if not names:
         return 0, np.zeros(0)
     shared = texts.sparkSession.sparkContext.broadcast(names)  # features of the bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, n = Vocabulary(shared.value, np.zeros(len(shared.value))), np.zeros(len(shared.value) + 1, np.int64)
+        words, n = vocabulary(key, shared.value, np.zeros(len(shared.value))), np.zeros(len(shared.value) + 1, np.int64)
         for b in batches:
             for t in b.column(0).to_pylist():
-                n[np.unique(np.frombuffer(b"".join(vocabulary.sections(t)), np.int32))] += 1
+                n[np.unique(np.frombuffer(b"".join(words.sections(t)), np.int32))] += 1
                 n[-1] += 1  # counts the texts
         f = np.nonzero(n)[0]
         yield pa.RecordBatch.from_pydict({"f": pa.array(f.astype(np.int32)), "n": pa.array(n[f])})
@@ -307,29 +323,31 @@ def fit(docs: DataFrame, labels: DataFrame, areas: list[str], doc: str, text: st
 
     counts = labelled.select("t").mapInArrow(_seen, "f string, n bigint").groupBy("f").agg(F.sum("n").alias("n"))
     learnt = sorted(r["f"] for r in counts.where((F.col("f") != "") & (F.col("n") >= MIN_DOCS)).select("f").collect())  # features of the bounded sample
-    n, everywhere = document_counts(texts.select("t"), learnt)
-    top = [i for i in np.argsort(-everywhere, kind="stable") if everywhere[i] <= max_share * n][:most_features]
-    names, rarity = [learnt[i] for i in top], np.log(n / everywhere[top])
+    key = uuid.uuid4().hex
+    n, everywhere = document_counts(texts.select("t"), learnt, key)
+    top = [i for i in np.argsort(-everywhere, kind="stable") if 0 < everywhere[i] <= max_share * n][:most_features]
+    names, rarity = learnt, np.zeros(len(learnt))  # features that are too common keep their number and have no rarity
+    rarity[top] = np.log(n / everywhere[top])
     rng = np.random.default_rng(seed)
     weights = [rng.normal(0, 0.1, (len(names), width)), rng.normal(0, 0.3, (width, len(areas))), np.full(len(areas), -2.0)]
     weights = [w.astype(np.float32) for w in weights]
-    if not names:
-        return Model(areas, names, rarity, weights)
+    if not top:
+        return Model(areas, names, rarity, weights, key)
     words = spark.sparkContext.broadcast((names, rarity))  # features of the bounded sample
 
-    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(*words.value)
+    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = vocabulary(key, *words.value)
         for b in batches:
             texts, labels = (c.to_pylist() for c in b.columns)
             for lo, hi in _chunks(texts):  # one matrix per so many characters, so that no task holds all of its part
-                x, owner = vocabulary.rows(texts[lo:hi], False)
+                x, owner = numbers.rows(texts[lo:hi], False)
                 if not x.n:
                     continue
                 target = np.array([[a in r for a in areas] for r in labels[lo:hi]], np.float32)[owner]
                 blob = _save(start=x.start, ids=x.ids, weight=x.weight, target=target)
                 yield pa.RecordBatch.from_pydict({"n": pa.array([len(owner)], pa.int64()), "blob": pa.array([blob], pa.binary())})
 
-    sparse = materialize(labelled.mapInArrow(numbers, "n bigint, blob binary"), "matrices").persist(StorageLevel.MEMORY_AND_DISK)
+    sparse = materialize(labelled.mapInArrow(matrices, "n bigint, blob binary"), "matrices").persist(StorageLevel.MEMORY_AND_DISK)
     total = sparse.agg(F.sum("n")).first()[0] or 1
     adam = Adam(weights, step)
     for _ in range(rounds):
@@ -358,7 +376,7 @@ def fit(docs: DataFrame, labels: DataFrame, areas: list[str], doc: str, text: st
         adam.take([g / total for g in summed])
         now.destroy()
     sparse.unpersist()
-    return Model(areas, names, rarity, weights)
+    return Model(areas, names, rarity, weights, key)
 
 
 def classify(docs: DataFrame, model: Model, text: str, keep: list[str], sure: float = SURE, subject: str = "subject") -> DataFrame:
