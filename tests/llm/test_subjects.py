@@ -126,4 +126,4 @@ def test_rarity_is_counted_over_all_documents(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc int, text string").repartition(3)
     labels = spark.createDataFrame([(i, "law" if i < 2 else None) for i in range(10)], "doc int, label string")
     m = fit(docs, labels, ["law"], "doc", "text", "label", rounds=1, max_share=0.4)
-    assert m.names == ["tea"] and np.allclose(m.rarity, np.log(20 / 5))  # mug is in half of all; cup is in no labelled text
+    assert m.names == ["mug", "tea"] and np.allclose(m.rarity, [0, np.log(20 / 5)])  # mug is in half of all; cup is in no labelled text
