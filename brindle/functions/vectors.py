@@ -1,10 +1,10 @@
-"""Arithmetic on columns of number arrays, element by element, and running functions over rows."""
+"""Arithmetic on columns of number arrays, element by element."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, WindowSpec
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 def total(v: Column) -> Column:
@@ -64,18 +64,3 @@ def logsumexp(v: Column) -> Column:
 
 def count_if(v: Column, f: Callable[[Column], Column]) -> Column:
     return F.size(F.filter(v, f))
-
-
-def prefix_sum(c: Column, w: WindowSpec) -> Column:
-    """Running sum over an ordered window."""
-    return F.sum(c).over(w.rowsBetween(-(1 << 63), 0))
-
-
-def shift(c: Column, n: int, w: WindowSpec) -> Column:
-    """The value n rows before (after, if negative)."""
-    return F.lag(c, n).over(w)
-
-
-def forward_fill(c: Column, w: WindowSpec) -> Column:
-    """The last known value up to this row."""
-    return F.last(c, ignorenulls=True).over(w.rowsBetween(-(1 << 63), 0))

@@ -5,24 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of a side that may be sent to all tasks.
-BROADCAST_BYTES = 64 << 20
+from brindle.operators import ordered
+
+#: Bytes of a side that may be sent to all tasks; rows of a range of the other side in an inequality join; most ranges.
+BROADCAST_BYTES, RANGE_ROWS, RANGES = 64 << 20, 100_000, 1000
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of a table's size, an upper bound from file sizes where nothing better is known."""
+    """Catalyst's estimate of a table's size: of files, their bytes, which may be compressed."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def is_small(df: DataFrame, most: int = BROADCAST_BYTES, rows: int = 100_000) -> bool:
-    """Whether a table's estimated size is within the bound or, where the estimate is unknown or too high, its row count is
-    (counted no further than the bound)."""
-    return plan_bytes(df) <= most or df.select(F.lit(1)).limit(rows + 1).count() <= rows
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of the rows: fixed widths, and the lengths of texts and of nested values (as JSON)."""
+    size = F.lit(8 * (len(df.columns) + 1))
+    for f in df.schema.fields:
+        kind, c = f.dataType.typeName(), F.col(f"`{f.name}`")
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind in ("array", "map", "struct", "variant"):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+    return int(df.agg(F.sum(size.cast("bigint"))).first()[0] or 0)
+
+
+def is_small(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
+    """Whether a table's rows have at most so many bytes. Tables that are estimated far above the bound are not measured."""
+    return plan_bytes(df) <= 16 * most and measured_bytes(df) <= most
 
 
 def maybe_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-    """The table with a broadcast hint if its estimated size is within the bound; else the shuffle join stays."""
-    return F.broadcast(df) if plan_bytes(df) <= most else df
+    """The table with a broadcast hint if its measured size is within the bound; else the shuffle join stays."""
+    return F.broadcast(df) if is_small(df, most) else df
 
 
 def star_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
@@ -36,31 +49,76 @@ def star_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -
     return left.join(maybe_broadcast(checked.where(F.coalesce(F.col("_ok"), F.lit(True))).select(key, *others)), key, how)
 
 
-def inequality_join(left: DataFrame, right: DataFrame, a: str, op: str, b: str, most: int = BROADCAST_BYTES, rows: int = 100_000) -> DataFrame:
-    """All pairs with a < b (or <=, >, >=). The result is quadratic by nature, so one side must be small: its size is
-    checked, and two large sides are refused; bound the difference and use `band_join`. Nulls meet nothing."""
-    if op not in ("<", "<=", ">", ">="):
+_OPS = ("<", "<=", ">", ">=")
+
+
+def inequality_counts(left: DataFrame, right: DataFrame, a: str, op: str, b: str, out: str = "n") -> DataFrame:
+    """Left rows with the number of right rows for which a < b (or <=, >, >=) holds, by sorted search: the pairs are counted
+    and never made, whatever the sizes. A null meets nothing, so its number is 0."""
+    if op not in _OPS:
+        raise ValueError("op is one of < <= > >=")
+    keys = right.select(F.col(b).alias("_b")).where("_b is not null")
+    probes = left.withColumn("_b", F.col(a).cast(keys.schema["_b"].dataType))
+    found = ordered.bounds(keys, probes, ["_b"], op in ("<", "<="), "_lower", "_upper")
+    return found.withColumn(out, F.coalesce(F.col("_lower" if op in ("<", ">") else "_upper"), F.lit(0).cast("bigint"))).drop("_b", "_lower", "_upper")
+
+
+def inequality_join(left: DataFrame, right: DataFrame, a: str, op: str, b: str, most: int = BROADCAST_BYTES, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """All pairs with a < b (or <=, >, >=); the result is quadratic by nature. Where only their number is wanted, use
+    `inequality_counts`. Nulls meet nothing.
+
+    A side of at most `most` bytes is sent to all tasks. Else the right side is cut into ranges of about `range_rows` rows,
+    and a left row goes to its own range and those beyond it, with all of whose rows it makes pairs: an ordinary join on the
+    range, whose input is small against its result. AQE splits a range with one hot value."""
+    if op not in _OPS:
         raise ValueError("op is one of < <= > >=")
     x, y = F.col(a), F.col(b)
     on = {"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op]
-    if is_small(right, most, rows):
+    if is_small(right, most):
         return left.join(F.broadcast(right), on)
-    if is_small(left, most, rows):
+    if is_small(left, most):
         return F.broadcast(left).join(right, on)
-    raise ValueError("both sides are large: bound the difference and use band_join")
+    known = right.where(y.isNotNull())
+    n = min(RANGES, max(1, -(-known.count() // range_rows)))
+    some = known.select(b).sample(min(1.0, 50 / range_rows), 1)  # only where to cut hangs on it; 50 values a range
+    inner = some.groupBy(b).agg(F.count(F.lit(1)).alias("_n")).orderBy(b).limit(100 * RANGES).collect() if n > 1 else []
+    cuts, seen, total = [], 0, sum(r["_n"] for r in inner)
+    for r in inner:
+        seen += r["_n"]
+        if len(cuts) < n - 1 and seen * n >= (len(cuts) + 1) * total:
+            cuts.append(r[b])
+    cuts = sorted(set(cuts))
+    place = lambda c: sum((F.when(c > F.lit(k), 1).otherwise(0) for k in cuts), F.lit(0)) if len(cuts) < 32 else F.size(F.filter(F.array(*map(F.lit, cuts)), lambda k: c > k))
+    right = known.withColumn("_range", place(y))
+    here, last = place(x), F.lit(len(cuts))
+    span = F.sequence(here, last) if op in ("<", "<=") else F.sequence(F.lit(0), here)
+    return left.where(x.isNotNull()).withColumn("_range", F.explode(span)).join(right, "_range").where(on).drop("_range")
+
+
+#: An interval is kept in buckets of which it touches at most so many (and one more); wider ones go to a coarser level.
+TOUCHED = 8
 
 
 def band_join(left: DataFrame, right: DataFrame, x: str, low: str, high: str, width: float, on: list[str] | None = None) -> DataFrame:
     """Pairs with low <= x <= high (and equal `on` columns): points of the left, intervals of the right.
 
-    Points fall into one bucket of `width`, intervals into every bucket they touch; the join is on the bucket, so it is
-    an ordinary hash-partitioned join. Choose a width near the typical length of an interval. AQE splits heavy buckets.
-    Rows with a null in x, low or high meet nothing."""
+    Buckets have levels: those of level k are TOUCHED**k times `width` wide. An interval falls into the at most TOUCHED + 1
+    buckets that it touches at the finest level at which they are so few, however wide it is, and a point into its
+    bucket of each level that has intervals. The join is on level and bucket, so it is an ordinary hash-partitioned join. Choose
+    a width near the typical length of an interval. AQE splits heavy buckets. Rows with a null or NaN in x, low or high
+    meet nothing, and infinite ends are allowed."""
     on = on or []
-    bucket = lambda c: F.floor(c / F.lit(width))
-    left = left.where(F.col(x).isNotNull()).withColumn("_bucket", bucket(F.col(x)))
-    span = right.where(F.col(low) <= F.col(high)).withColumn("_bucket", F.explode(F.sequence(bucket(F.col(low)), bucket(F.col(high)))))
-    return left.join(span, [*on, "_bucket"]).where((F.col(x) >= F.col(low)) & (F.col(x) <= F.col(high))).drop("_bucket")
+    number = lambda c: F.col(c).cast("double")
+    end = 1e15 * width  # beyond it all buckets are one
+    cut = lambda c: F.least(F.greatest(number(c), F.lit(-end)), F.lit(end))
+    bucket = lambda c, level: F.floor(cut(c) / (F.lit(float(width)) * F.pow(F.lit(float(TOUCHED)), level)))
+    known = lambda c: F.col(c).isNotNull() & ~F.isnan(number(c))
+    level = F.greatest(F.lit(0), F.ceil(F.log(F.greatest((cut(high) - cut(low)) / width, F.lit(1.0))) / F.log(F.lit(float(TOUCHED))) - 1)).cast("int")
+    spans = right.where(known(low) & known(high) & (F.col(low) <= F.col(high))).withColumn("_level", level)
+    levels = sorted(r[0] for r in spans.select("_level").distinct().collect())  # fewer than 20
+    spans = spans.withColumn("_bucket", F.explode(F.sequence(bucket(low, F.col("_level")), bucket(high, F.col("_level")))))
+    points = left.where(known(x)).withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("_bucket", bucket(x, F.col("_level")))
+    return points.join(spans, [*on, "_level", "_bucket"]).where((F.col(x) >= F.col(low)) & (F.col(x) <= F.col(high))).drop("_level", "_bucket")
 
 
 def lookup_misses(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

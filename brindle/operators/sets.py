@@ -1,8 +1,10 @@
-"""Set operators on tables, and runs of equal values."""
+"""Set operators on tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,18 +27,10 @@ def merge_all(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
-def run_starts(df: DataFrame, partition: list[str], order: list[Column | str], value: str) -> DataFrame:
-    """Rows at which the value differs from the row before within its partition."""
-    w = Window.partitionBy(*partition).orderBy(*order)
-    return df.withColumn("_before", F.lag(value).over(w)).withColumn("_n", F.row_number().over(w)).where((F.col("_n") == 1) | ~F.col("_before").eqNullSafe(F.col(value))).drop("_before", "_n")
-
-
-def dictionary(df: DataFrame, column: str) -> DataFrame:
-    """(value, code): codes from 0 in order of the values. The distinct values are ranked in range partitions: numbers
-    within a partition plus the sizes of those before, so no task sees all of them."""
-    values = df.select(F.col(column).alias("value")).where("value is not null").distinct()
-    parts = values.repartitionByRange("value").withColumn("_part", F.spark_partition_id())
-    local = parts.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy("value")))
-    sizes = local.groupBy("_part").agg(F.max("_n").alias("_size"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return local.join(before, "_part").select("value", (F.col("_before") + F.col("_n") - 1).cast("bigint").alias("code"))
+def merge_sorted(tables: list[DataFrame], keys: list[str], descending: bool = False, source: str | None = None) -> DataFrame:
+    """Any number of tables with the same columns as one in the order of the keys, repeated rows and other columns
+    (payload) kept. Of equal keys those of the earlier table come first; `source` names a column for the table's number."""
+    name = source or "_source"
+    all_rows = reduce(DataFrame.unionByName, (t.withColumn(name, F.lit(i)) for i, t in enumerate(tables)))
+    out = all_rows.orderBy(*(F.col(k).desc() if descending else F.col(k).asc() for k in keys), name)
+    return out if source else out.drop(name)

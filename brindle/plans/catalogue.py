@@ -6,12 +6,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 from brindle.functions import dates, scalar, text, vectors
-from brindle.operators import joins, sets
+from brindle.operators import joins, ordered, sets
 from brindle.plans.sql import Book
 from brindle.session import table
 from brindle.sources import tables as io
@@ -212,7 +212,13 @@ _q("join_theta_or", "SELECT count(*) AS n FROM lineitem JOIN orders ON l_orderke
 _two("star_checked", "customer", "nation", lambda c, n: joins.star_join(c.withColumnRenamed("c_nationkey", "n_nationkey"), n, "n_nationkey").select("c_custkey", "n_name"), "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
 _two("lookup_misses", "shop_orders", "users", lambda o, u: joins.lookup_misses(o.select("userId").distinct(), u.select(F.col("id").alias("userId")), "userId"), 'SELECT DISTINCT o."userId" FROM shop_orders o WHERE NOT EXISTS (SELECT 1 FROM users u WHERE u.id = o."userId")')
 for _n, _o in {"lt": "<", "le": "<=", "gt": ">", "ge": ">="}.items():
-    _two(f"range_{_n}", "nation", "region", lambda n, r, o=_o: joins.inequality_join(n, r, "n_regionkey", o, "r_regionkey").select("n_name", "r_name"), f"SELECT n_name, r_name FROM nation JOIN region ON n_regionkey {_o} r_regionkey")
+    # Two large sides: the pairs are counted by sorted search. One small side, and two sides by ranges: the pairs themselves.
+    _two(f"range_{_n}", "orders", "lineitem", lambda o, l, op=_o: joins.inequality_counts(o, l, "o_totalprice", op, "l_extendedprice").groupBy("o_orderpriority").agg(F.sum("n").alias("pairs"), F.max("n").alias("most")),
+         f"""WITH c AS (SELECT y, sum(n) AS n FROM (SELECT l_extendedprice AS y, 1 AS n FROM lineitem UNION ALL SELECT DISTINCT o_totalprice, 0 FROM orders) GROUP BY y),
+r AS (SELECT y, sum(n) OVER (ORDER BY y {'DESC' if '<' in _o else 'ASC'}) {'' if '=' in _o else '- n'} AS n FROM c)
+SELECT o_orderpriority, CAST(sum(n) AS BIGINT) AS pairs, CAST(max(n) AS BIGINT) AS most FROM orders JOIN r ON y = o_totalprice GROUP BY o_orderpriority""")
+    _two(f"range_pairs_{_n}", "nation", "region", lambda n, r, o=_o: joins.inequality_join(n, r, "n_regionkey", o, "r_regionkey").select("n_name", "r_name"), f"SELECT n_name, r_name FROM nation JOIN region ON n_regionkey {_o} r_regionkey")
+    _two(f"range_parts_{_n}", "supplier", "customer", lambda l, r, o=_o: joins.inequality_join(l, r, "s_acctbal", o, "c_acctbal", most=0, range_rows=500).groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n"), F.min("c_custkey").alias("first")), f"SELECT s_suppkey, count(*) AS n, min(c_custkey) AS first FROM supplier JOIN customer ON s_acctbal {_o} c_acctbal GROUP BY s_suppkey")
 
 
 def _band(e: DataFrame) -> DataFrame:
@@ -265,19 +271,69 @@ _q("sort_multi_key", "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer OR
 _q("sort_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
 _q("sort_topk_per_group", "SELECT c_nationkey, c_custkey, c_acctbal FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rn FROM customer) WHERE rn <= 3")
 
+
+
+def _search(which: str, down: bool, two: bool) -> None:
+    on = ["flag", "price"] if two else ["price"]
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        k, p = table(spark, d, "lineitem"), table(spark, d, "orders")
+        k = k.select(F.ascii("l_returnflag").alias("flag"), F.col("l_extendedprice").alias("price"))
+        p = p.select("o_orderkey", F.ascii("o_orderstatus").alias("flag"), F.col("o_totalprice").alias("price"))
+        return ordered.bounds(k, p, on, [down, not down][: len(on)]).select("o_orderkey", F.col(which).alias("place"))
+
+    a, b = ("ascii(l_returnflag) AS x", "ascii(o_orderstatus) AS x") if two else ("0 AS x", "0 AS x")
+    order = f"x {'DESC' if down else 'ASC'}, y {'ASC' if down else 'DESC'}" if two else f"y {'DESC' if down else 'ASC'}"
+    place = "s - n" if which == "lower" else "s"
+    _add(f"sort_{which}_bound{'_multi' if two else ''}{'_desc' if down else ''}", run, f"""WITH k AS (SELECT {a}, l_extendedprice AS y FROM lineitem), p AS (SELECT o_orderkey, {b}, o_totalprice AS y FROM orders),
+c AS (SELECT x, y, sum(n) AS n FROM (SELECT x, y, 1 AS n FROM k UNION ALL SELECT DISTINCT x, y, 0 FROM p) GROUP BY x, y), r AS (SELECT x, y, n, sum(n) OVER (ORDER BY {order}) AS s FROM c)
+SELECT o_orderkey, CAST({place} AS BIGINT) AS place FROM p JOIN r USING (x, y)""")
+
+
+for _w in ("lower", "upper"):
+    for _down in (False, True):
+        _search(_w, _down, False)
+        _search(_w, _down, True)
+
 # ---- sets ------------------------------------------------------------------------------------------------------------
 
 _q("set_intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
 _q("set_union", "SELECT c_nationkey AS k FROM customer UNION SELECT n_regionkey FROM nation")
 _q("set_difference", "SELECT p_size AS k FROM part EXCEPT SELECT n_nationkey FROM nation")
 _add("set_merge_all", lambda spark, d: sets.merge_all(table(spark, d, "nation").select(F.col("n_name").alias("x")), table(spark, d, "region").select(F.col("r_name").alias("x"))), "SELECT n_name AS x FROM nation UNION ALL SELECT r_name FROM region")
-_q("set_merge_sorted", "SELECT x FROM (SELECT n_nationkey AS x FROM nation UNION ALL SELECT r_regionkey FROM region) ORDER BY x")
+
+
+def _merged(name: str, keys: list[str], down: bool, payload: bool) -> None:
+    """Merges of two or of many sorted tables, with or without what goes along with the key."""
+    parts = {"nation": "n_nationkey, n_name", "region": "r_regionkey, r_name", "supplier": "s_suppkey, s_name", "customer": "c_custkey, c_name"}
+    use = {k: parts[k] for k in keys}
+    names = ["x", "what"] if payload else ["x"]
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        tables = [table(spark, d, t).select(*c.split(", ")[: len(names)]).toDF(*names) for t, c in use.items()]
+        out = sets.merge_sorted(tables, ["x"], down, "source")
+        # The order itself is part of the answer: the place of every row.
+        return ordered.numbered(out, [], [F.desc("x") if down else F.asc("x"), "source"], "place") if not payload else out
+
+    sql = " UNION ALL ".join(f"SELECT {c.split(', ')[0]} AS x{', ' + c.split(', ')[1] + ' AS what' if payload else ''}, {i} AS source FROM {t}" for i, (t, c) in enumerate(use.items()))
+    place = "" if payload else f", row_number() OVER (ORDER BY x {'DESC' if down else 'ASC'}, source) AS place"
+    _add(f"set_{name}", run, f"SELECT *{place} FROM ({sql})")
+
+
+_two_of, _four_of = ["nation", "region"], ["nation", "region", "supplier", "customer"]
+for _n, _args in {"merge_sorted": (_two_of, False, False), "merge_desc": (_two_of, True, False), "merge_pair": (_two_of, False, True), "merge_pair_desc": (_two_of, True, True), "multimerge": (_four_of, False, False), "multimerge_desc": (_four_of, True, False), "multimerge_pair": (_four_of, False, True), "multimerge_pair_desc": (_four_of, True, True)}.items():
+    _merged(_n, *_args)
 _on("set_unique", "part", lambda t: sets.unique(t, "p_brand", "p_type"), "SELECT DISTINCT p_brand, p_type FROM part")
 _on("set_is_unique", "orders", lambda t: sets.is_unique(t, "o_orderkey"), "SELECT count(*) = count(DISTINCT o_orderkey) AS is_unique FROM orders")
 _on("set_is_not_unique", "orders", lambda t: sets.is_unique(t, "o_custkey"), "SELECT count(*) = count(DISTINCT o_custkey) AS is_unique FROM orders")
 _on("set_unique_index", "part", lambda t: sets.unique_index(t, "p_name", "p_partkey"), "SELECT p_name, min(p_partkey) AS first_index, count(*) AS n FROM part GROUP BY p_name")
-_on("set_run_starts", "events", lambda t: sets.run_starts(t, ["user_id"], ["ts", "event_id"], "event_type").select("user_id", "event_id", "event_type"), "SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER w AS p, row_number() OVER w AS rn FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE rn = 1 OR p IS DISTINCT FROM event_type")
-_on("set_dictionary", "part", lambda t: sets.dictionary(t, "p_name"), "SELECT p_name AS value, dense_rank() OVER (ORDER BY p_name) - 1 AS code FROM (SELECT DISTINCT p_name FROM part)")
+_on("set_run_starts", "events", lambda t: ordered.run_starts(t, ["user_id"], ["ts", "event_id"], "event_type").select("user_id", "event_id", "event_type"), "SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER w AS p, row_number() OVER w AS rn FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE rn = 1 OR p IS DISTINCT FROM event_type")
+_on("set_dictionary", "part", lambda t: ordered.dictionary(t, "p_name"), "SELECT p_name AS value, dense_rank() OVER (ORDER BY p_name) - 1 AS code FROM (SELECT DISTINCT p_name FROM part)")
+
+_on("set_unique_inverse", "part", lambda t: ordered.unique_inverse(t, "p_name", "p_partkey"), "SELECT p_partkey, dense_rank() OVER (ORDER BY p_name) - 1 AS code FROM part")
+_two_names = lambda spark, d: (ordered.dictionary(table(spark, d, "nation"), "n_name"), ordered.dictionary(table(spark, d, "customer").select(F.col("c_mktsegment").alias("n_name")), "n_name"))
+_add("set_dictionary_lookup", lambda spark, d: ordered.dictionary_lookup(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", ordered.dictionary(table(spark, d, "customer").where("c_mktsegment <> 'BUILDING'"), "c_mktsegment")), "SELECT c_custkey, c_mktsegment, code FROM customer LEFT JOIN (SELECT m, row_number() OVER (ORDER BY m) - 1 AS code FROM (SELECT DISTINCT c_mktsegment AS m FROM customer WHERE c_mktsegment <> 'BUILDING')) ON m = c_mktsegment")
+_add("set_dictionary_merge", lambda spark, d: ordered.dictionary_merge(*_two_names(spark, d)), "WITH a AS (SELECT n_name AS value, row_number() OVER (ORDER BY n_name) - 1 AS code_a FROM nation), b AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS code_b FROM (SELECT DISTINCT c_mktsegment AS value FROM customer)) SELECT value, row_number() OVER (ORDER BY value) - 1 AS code, code_a, code_b FROM a FULL JOIN b USING (value)")
 
 # ---- exchange --------------------------------------------------------------------------------------------------------
 
@@ -401,11 +457,13 @@ _vec("sorted", lambda _v: _rl(F.sort_array(_v.cast("array<double>"))), "list_tra
 _vec("take", lambda _v: _r(F.get(_v, 3).cast("double")), "round(v[4], 5)")
 _vec("slice", lambda _v: _rl(F.slice(_v.cast("array<double>"), 2, 3)), "list_transform(v[2:4], lambda x: round(x, 5))")
 _vec("reversed", lambda _v: _rl(F.reverse(_v.cast("array<double>"))), "list_transform(list_reverse(v), lambda x: round(x, 5))")
-_w = lambda: Window.partitionBy("user_id").orderBy("ts", "event_id")
 _W = "(PARTITION BY user_id ORDER BY ts, event_id)"
-_on("vec_prefix_sum", "events", lambda t: t.select("event_id", F.round(vectors.prefix_sum(F.col("value"), _w()), 4).alias("x")), f"SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS x FROM events")
-_on("vec_shift", "events", lambda t: t.select("event_id", vectors.shift(F.col("event_type"), 1, _w()).alias("x")), f"SELECT event_id, lag(event_type) OVER {_W} AS x FROM events")
-_on("vec_ffill", "events", lambda t: t.select("event_id", vectors.forward_fill(F.when(F.col("event_type") == "purchase", F.col("event_id")), _w()).alias("x")), "SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS x FROM events")
+_key, _order = ["user_id"], ["ts", "event_id"]
+_on("vec_prefix_sum", "events", lambda t: ordered.prefix_sum(t, _key, _order, F.col("value"), "x").select("event_id", F.round("x", 4).alias("x")), "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS x FROM events")
+_on("vec_shift", "events", lambda t: ordered.shift(t, _key, _order, F.col("event_type"), 1, "x").select("event_id", "x"), f"SELECT event_id, lag(event_type) OVER {_W} AS x FROM events")
+_on("vec_shift_back", "events", lambda t: ordered.shift(t, _key, _order, F.col("event_type"), -2, "x").select("event_id", "x"), f"SELECT event_id, lead(event_type, 2) OVER {_W} AS x FROM events")
+_on("vec_ffill", "events", lambda t: ordered.forward_fill(t, _key, _order, F.when(F.col("event_type") == "purchase", F.col("event_id")), "x").select("event_id", "x"), "SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS x FROM events")
+_on("vec_numbered", "events", lambda t: ordered.numbered(t, _key, _order, "n").select("event_id", "n"), f"SELECT event_id, row_number() OVER {_W} AS n FROM events")
 _on("vec_bincount", "part", lambda t: t.groupBy("p_size").agg(F.count(F.lit(1)).alias("n")), "SELECT p_size, count(*) AS n FROM part GROUP BY p_size")
 _on("vec_predicates", "xy_points", lambda t: t.agg(*(F.count_if(x).alias(k) for k, x in {"nan": F.isnan("double_x"), "zero": F.col("double_x") == 0, "pos": (F.col("double_x") > 0) & ~F.isnan("double_x"), "neg": F.col("double_x") < 0, "null_": F.col("double_x").isNull(), "inf": scalar.is_infinite(F.col("double_x"))}.items())), "SELECT count(*) FILTER (WHERE isnan(double_x)) AS nan, count(*) FILTER (WHERE double_x = 0) AS zero, count(*) FILTER (WHERE double_x > 0 AND NOT isnan(double_x)) AS pos, count(*) FILTER (WHERE double_x < 0) AS neg, count(*) FILTER (WHERE double_x IS NULL) AS null_, count(*) FILTER (WHERE isinf(double_x)) AS inf FROM xy_points")
 

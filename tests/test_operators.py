@@ -1,9 +1,13 @@
+import operator
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from brindle.operators import joins, sets
 
 
+#: The two tables of thirteen rows with nulls that the known answers below belong to.
 def nums(spark):
     return spark.sql("SELECT * FROM VALUES (3, 4, 5, 1), (NULL, NULL, 4, 2), (20, NULL, NULL, 3), (1, 2, 8, NULL), (4, 5, NULL, 4), (NULL, 5, 2, 8), (NULL, NULL, 4, NULL), (2, NULL, 2, 9), (2, 3, 4, 11), (52, 6, NULL, 23), (4, NULL, 2, 42), (NULL, 3, 1, 50), (2, NULL, NULL, 12) AS t(a, b, c, d)")
 
@@ -39,10 +43,26 @@ def test_inequality(spark, op):
     assert sorted(map(tuple, joins.inequality_join(l, r, "x", op, "y").collect())) == want
 
 
-def test_large_inequality_is_refused(spark):
-    big = spark.range(10_000_000)
-    with pytest.raises(ValueError):
-        joins.inequality_join(big, big.toDF("y"), "id", "<", "y", most=1000, rows=1000)
+@pytest.mark.parametrize("op", ["<", "<=", ">", ">="])
+def test_inequality_of_two_large_sides(spark, op):
+    """By ranges of the right side, with a hot value, nulls and NaN; and the numbers of pairs by sorted search."""
+    r = random.Random(1)
+    pool = [r.choice([1.5, 1.5, r.uniform(-5, 5), None]) for _ in range(300)]
+    a, b = pool[:120] + [float("inf")], pool[120:] + [float("-inf")]
+    left, right = spark.createDataFrame([(i, x) for i, x in enumerate(a)], "i int, x double"), spark.createDataFrame([(j, y) for j, y in enumerate(b)], "j int, y double")
+    f = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}[op]
+    want = sorted((i, j) for i, x in enumerate(a) for j, y in enumerate(b) if None not in (x, y) and f(x, y))
+    out = joins.inequality_join(left, right, "x", op, "y", most=0, range_rows=20)
+    assert sorted(map(tuple, out.select("i", "j").collect())) == want
+    counts = joins.inequality_counts(left, right, "x", op, "y")
+    assert counts.columns == ["i", "x", "n"] and {r["i"]: r["n"] for r in counts.collect()} == {i: sum(k == i for k, _ in want) for i in range(len(a))}
+
+
+def test_sizes_are_measured(spark):
+    df = spark.range(1000).selectExpr("id", "repeat('x', 1000) AS t", "array(id, id) AS a")
+    assert 1_000_000 < joins.measured_bytes(df) < 1_100_000
+    assert joins.is_small(df) and not joins.is_small(df, 500_000)
+    assert joins.measured_bytes(df.where("false")) == 0
 
 
 def test_band_join(spark):
@@ -53,13 +73,23 @@ def test_band_join(spark):
     assert sorted(map(tuple, joins.band_join(l, r, "x", "lo", "hi", 4.0, ["k"]).select("k", "x", "lo", "hi").collect())) == want
 
 
+def test_wide_intervals(spark):
+    """Intervals of any width, infinite ones too, touch a bounded number of buckets."""
+    inf, r = float("inf"), random.Random(2)
+    points = [r.uniform(-1e6, 1e6) for _ in range(200)] + [inf, -inf, 1e300, float("nan"), None]
+    spans = [(-inf, inf), (0.0, 1e9), (-1e300, 5.0), (3.0, 3.0), (float("nan"), 1.0)] + [(x, x + 10 ** r.uniform(-3, 7)) for x in (r.uniform(-1e6, 1e6) for _ in range(100))]
+    l, s = spark.createDataFrame(enumerate(points), "i long, x double"), spark.createDataFrame([(j, *x) for j, x in enumerate(spans)], "j int, lo double, hi double")
+    want = sorted((i, j) for i, x in enumerate(points) for j, (lo, hi) in enumerate(spans) if x is not None and lo <= x <= hi)
+    assert sorted(map(tuple, joins.band_join(l, s, "x", "lo", "hi", 1.0).select("i", "j").collect())) == want
+
+
 def test_sets(spark):
     df = spark.createDataFrame([("b", 1), ("a", 2), ("b", 3), (None, 4)], "v string, i int")
-    assert sets.dictionary(df, "v").orderBy("code").collect() == [("a", 0), ("b", 1)]
     assert not sets.is_unique(df, "v").first()[0] and sets.is_unique(df, "i").first()[0] and sets.is_unique(df.where("false"), "v").first()[0]
     assert sorted(map(tuple, sets.unique_index(df.where("v is not null"), "v", "i").collect())) == [("a", 2, 1), ("b", 1, 2)]
-    runs = spark.createDataFrame([(1, i, x) for i, x in enumerate("aabba")] + [(1, 5, None), (1, 6, None)], "p int, o int, v string")
-    assert [r["o"] for r in sets.run_starts(runs, ["p"], ["o"], "v").orderBy("o").collect()] == [0, 2, 4, 5]
+    merged = sets.merge_sorted([df.where("i < 3"), df.where("i > 2"), df.where("i = 1")], ["v"], True, "t")
+    assert [tuple(r) for r in merged.collect()] == [("b", 1, 0), ("b", 3, 1), ("b", 1, 2), ("a", 2, 0), (None, 4, 1)]
+    assert [r["i"] for r in sets.merge_sorted([df, df], ["v", "i"]).collect()] == [4, 4, 2, 2, 1, 1, 3, 3]
 
 
 def test_misses(spark):
