@@ -44,7 +44,8 @@ class EngineConf:
 
 
 def metrics(df: DataFrame) -> dict[str, dict[str, int]]:
-    """Spark's SQL metrics of an executed plan's operators, by node name (run an action on this DataFrame first)."""
+    """Spark's SQL metrics of an executed plan's operators, by node name (run an action on this DataFrame first), and
+    `operators`, how many of the name there are. Batches and rows are among the metrics of nodes that count them."""
     out: dict[str, dict[str, int]] = {}
     todo = [df._jdf.queryExecution().executedPlan()]
     while todo:
@@ -57,6 +58,7 @@ def metrics(df: DataFrame) -> dict[str, dict[str, int]]:
             todo.append(node.plan())
             continue
         found, it = out.setdefault(node.nodeName(), {}), node.metrics().iterator()
+        found["operators"] = found.get("operators", 0) + 1
         while it.hasNext():
             kv = it.next()
             found[kv._1()] = found.get(kv._1(), 0) + kv._2().value()

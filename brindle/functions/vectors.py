@@ -64,3 +64,52 @@ def logsumexp(v: Column) -> Column:
 
 def count_if(v: Column, f: Callable[[Column], Column]) -> Column:
     return F.size(F.filter(v, f))
+
+
+def arrange(first: Column | int, end: Column | int, step: int = 1) -> Column:
+    """Whole numbers from first up to end (left out), by a step other than 0; empty where there are none."""
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    first, end = lit(first), lit(end)
+    last = end - (1 if step > 0 else -1)
+    there = last >= first if step > 0 else last <= first
+    return F.when(there, F.sequence(first, F.when(there, last).otherwise(first), F.lit(step))).otherwise(F.array().cast("array<bigint>"))
+
+
+def full(n: Column | int, value: Column | float) -> Column:
+    """n times the same value; with 0 and 1 the vectors of zeros and ones."""
+    return F.array_repeat(value if isinstance(value, Column) else F.lit(value), n)
+
+
+def order(v: Column) -> Column:
+    """Places (from 0) of the elements in ascending order, the first of equals first."""
+    pairs = F.transform(v, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+    return F.transform(F.array_sort(pairs), lambda p: p["i"])
+
+
+def encode_unique(v: Column) -> Column:
+    """For every element the place (from 0) of its value among the array's different values in ascending order."""
+    different = F.array_sort(F.array_distinct(v))
+    return F.transform(v, lambda x: (F.array_position(different, x) - 1).cast("int"))
+
+
+def scaled_sum(v: Column, k: float) -> Column:
+    return F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * k)
+
+
+def is_uniform(v: Column) -> Column:
+    """Whether all elements are equal; so they are where there are none."""
+    return F.size(F.array_distinct(v)) <= 1
+
+
+def smaller(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: F.least(x, y))
+
+
+def larger(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: F.greatest(x, y))
+
+
+def places(v: Column, f: Callable[[Column], Column]) -> Column:
+    """Places (from 0) of the elements for which a condition holds."""
+    marked = F.transform(v, lambda x, i: F.when(f(x), i))
+    return F.filter(marked, lambda i: i.isNotNull())

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.operators import ordered
+
 
 def unique(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*columns).distinct()
@@ -34,3 +36,17 @@ def merge_sorted(tables: list[DataFrame], keys: list[str], descending: bool = Fa
     all_rows = reduce(DataFrame.unionByName, (t.withColumn(name, F.lit(i)) for i, t in enumerate(tables)))
     out = all_rows.orderBy(*(F.col(k).desc() if descending else F.col(k).asc() for k in keys), name)
     return out if source else out.drop(name)
+
+
+def same_rows(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two tables have the same rows, each as often, in any order. Counted by row on both sides, and compared."""
+    if a.columns != b.columns or [f.dataType for f in a.schema] != [f.dataType for f in b.schema]:
+        return False
+    n = a.withColumn("_n", F.lit(1)).unionByName(b.withColumn("_n", F.lit(-1))).groupBy(*a.columns).agg(F.sum("_n").alias("_n"))
+    return n.where("_n <> 0").isEmpty()
+
+
+def same_order(a: DataFrame, by_a: list, b: DataFrame, by_b: list) -> bool:
+    """Whether two tables have the same rows in the order of the given columns."""
+    number = lambda df, by: ordered.numbered(df, [], by, "_i")
+    return same_rows(number(a, by_a), number(b, by_b))

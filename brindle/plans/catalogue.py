@@ -4,18 +4,23 @@ Reals are rounded so that the order of a sum's terms does not show. All queries
 
 from __future__ import annotations
 
+import operator
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+from brindle import batches, trace
+from brindle.conf import EngineConf, metrics
 from brindle.functions import dates, scalar, text, vectors
 from brindle.operators import joins, ordered, sets
 from brindle.plans.sql import Book
 from brindle.session import table
 from brindle.sources import tables as io
-from brindle.storage import shared_dir
+from brindle.storage import materialize, shared_dir
 from brindle.streaming import counts as streams
 from brindle.typed import Typed
 
@@ -90,7 +95,24 @@ _add("scan_text_wordcount", _lines, "SELECT word, count(*) AS n FROM (SELECT unn
 _add("scan_partitioned_write", _partitioned, "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
 _q("scan_values", "SELECT * FROM VALUES (CAST(1 AS DOUBLE), CAST(2 AS DOUBLE)), (2, -1), (3, 1), (4, -4), (52, 11) AS v(a, b)", "SELECT * FROM (VALUES (CAST(1 AS DOUBLE), CAST(2 AS DOUBLE)), (2, -1), (3, 1), (4, -4), (52, 11)) AS v(a, b)")
 _add("scan_range", lambda spark, d: io.numbers(spark, 1, 1000), "SELECT unnest(range(1, 1001)) AS id")
-_add("scan_generator", lambda spark, d: io.points(spark, 1000))
+_add("scan_generator", lambda spark, d: io.points(spark, 1000).repartition(7).agg(F.count(F.lit(1)).alias("n"), F.min((F.col("id") >= 0) & (F.col("id") < 100) & (F.col("id") == F.floor("id"))).alias("ids"), F.min((F.col("double_x") >= 0) & (F.col("double_x") < 1)).alias("x"), (F.abs(F.avg("double_y") - 0.5) < 0.05).alias("mean"), F.count_distinct("double_x").alias("different")), "SELECT CAST(1000 AS BIGINT) AS n, true AS ids, true AS x, true AS mean, CAST(1000 AS BIGINT) AS different")
+
+
+def _jdbc(spark: SparkSession, d: str) -> DataFrame:
+    """A table written to a database and read back in parallel ranges of a key; the database is the one that Spark brings."""
+    url = f"jdbc:derby:memory:b{uuid.uuid4().hex};create=true"
+    df = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    io.write_jdbc(df.coalesce(1), url, "supplier", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    return io.jdbc(spark, url, "supplier", "s_suppkey", 0, 1000, 4, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").select(*(F.col(c).alias(c.lower()) for c in ("S_SUPPKEY", "S_NAME", "S_ACCTBAL")))
+
+
+def _written(spark: SparkSession, d: str) -> DataFrame:
+    done = table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    return io.write_to(done, f"written_{uuid.uuid4().hex}", _folder(spark))
+
+
+_add("scan_jdbc_roundtrip", _jdbc, "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+_add("sink_write_to", _written, "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus")
 _add("scan_rows", lambda spark, d: io.rows(spark, [("a", 1), ("b", 2), (None, 3)], "k string, v int"), "SELECT * FROM (VALUES ('a', 1), ('b', 2), (NULL, 3)) AS v(k, v)")
 _add("scan_from_rdd", lambda spark, d: io.from_rdd(spark, table(spark, d, "region").select("r_regionkey", "r_name").rdd, "r_regionkey int, r_name string"), "SELECT r_regionkey, r_name FROM region")
 _on("scan_cached", "customer", lambda t: _cached(t).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n")), "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment")
@@ -147,7 +169,7 @@ def _expr(name: str, tbl: str, key: list[str], columns, sql: str) -> None:
     _on(f"expr_{name}", tbl, lambda t: t.select(*key, *(c.alias(k) for k, c in cols().items())), f"SELECT {', '.join([*key, sql])} FROM {tbl}")
 
 
-_expr("safe_divide", "nums", ["ColA", "ColB"], lambda a, b, c, e, _s: {"x": F.round(scalar.safe_divide(a, b - 3), 8)}, "round(ColA / nullif(ColB - 3, 0), 8) AS x")
+_expr("safe_divide", "nums", ["ColA", "ColB"], lambda a, b, c, e, _s: {"x": scalar.plain_zero(F.round(scalar.safe_divide(a, b - 3), 8))}, "round(ColA / nullif(ColB - 3, 0), 8) + 0.0::DOUBLE AS x")
 _expr("modulo", "nums", ["ColD"], lambda a, b, c, e, _s: {"x": scalar.safe_mod(e.cast("int"), F.lit(3)), "even": scalar.is_even(e)}, "CAST(ColD AS INT) % 3 AS x, ColD % 2 = 0 AS even")
 _expr("compare", "nums", ["ColA", "ColB"], lambda a, b, c, e, _s: {"eq": a == b, "lt": a < b, "le": a <= b, "gt": a > b, "ge": a >= b, "ne": a != b}, "ColA = ColB AS eq, ColA < ColB AS lt, ColA <= ColB AS le, ColA > ColB AS gt, ColA >= ColB AS ge, ColA <> ColB AS ne")
 _expr("kleene", "nums", ["ColA", "ColB"], lambda a, b, c, e, _s: {"x": (a > 2) & (b > 2), "y": (a > 2) | (b > 2)}, "(ColA > 2 AND ColB > 2) AS x, (ColA > 2 OR ColB > 2) AS y")
@@ -185,7 +207,12 @@ _expr("math_more", "customer", ["c_custkey"], lambda a, b, c, e, _s: {"t": F.rou
 _expr("digest", "part", ["p_partkey"], lambda a, b, c, e, _s: {"m": F.md5(_s), "s": F.sha2(_s, 256), "b": F.base64(F.encode(_s, "UTF-8")), "l": F.levenshtein(_s, F.lit("salmon")), "n": F.length(_s), "x": F.hex("p_partkey"), "z": F.bin("p_partkey")},
       "md5(p_name) AS m, sha256(p_name) AS s, base64(encode(p_name)) AS b, CAST(levenshtein(p_name, 'salmon') AS INT) AS l, CAST(length(p_name) AS INT) AS n, to_hex(p_partkey) AS x, bin(p_partkey) AS z")
 _expr("factorial", "region", ["r_regionkey"], lambda a, b, c, e, _s: {"x": F.factorial("r_regionkey")}, "CAST(factorial(r_regionkey) AS BIGINT) AS x")
-_on("expr_hashes", "part", lambda t: t.select("p_partkey", F.hash("p_name").alias("h"), F.xxhash64("p_name").alias("x"), F.crc32(F.encode("p_name", "UTF-8")).alias("c")))
+# The values of hashes are Spark's own; equal names have equal hashes, and here different ones have different 64-bit hashes.
+_on("expr_hashes", "part", lambda t: t.groupBy("p_name").agg(F.count_distinct(F.xxhash64("p_name")).alias("x"), F.count_distinct(F.hash("p_name")).alias("h"), F.count_distinct(F.crc32(F.encode("p_name", "UTF-8"))).alias("c")), "SELECT DISTINCT p_name, CAST(1 AS BIGINT) AS x, CAST(1 AS BIGINT) AS h, CAST(1 AS BIGINT) AS c FROM part")
+_on("expr_hash_distinct", "orders", lambda t: t.agg(F.count_distinct(F.xxhash64("o_orderkey")).alias("n")), "SELECT count(DISTINCT o_orderkey) AS n FROM orders")
+_expr("math_wish", "customer", ["c_custkey"], lambda a, b, c, e, _s: {"ah": F.round(F.acosh(F.abs("c_acctbal") + 1), 6), "sh": F.round(F.asinh(F.col("c_acctbal") / 100), 6), "th": F.round(F.atanh(F.col("c_acctbal") / 20000), 6), "l1": F.round(F.log1p(F.abs("c_acctbal")), 6), "e1": F.round(F.expm1(F.col("c_acctbal") / 10000), 6), "ri": F.rint("c_acctbal"), "ce": F.ceil("c_acctbal"), "fl": F.floor("c_acctbal"), "sl": F.shiftleft("c_custkey", 3), "sr": F.shiftright("c_custkey", 2)},
+      "round(acosh(abs(c_acctbal) + 1), 6) AS ah, round(asinh(c_acctbal / 100), 6) AS sh, round(atanh(c_acctbal / 20000), 6) AS th, round(ln(1 + abs(c_acctbal)), 6) AS l1, round(exp(c_acctbal / 10000) - 1, 6) AS e1, round_even(c_acctbal, 0) AS ri, CAST(ceil(c_acctbal) AS BIGINT) AS ce, CAST(floor(c_acctbal) AS BIGINT) AS fl, c_custkey << 3 AS sl, c_custkey >> 2 AS sr")
+_expr("conv", "part", ["p_partkey"], lambda a, b, c, e, _s: {"x": F.conv(F.col("p_partkey").cast("string"), 10, 16), "b": F.conv(F.col("p_partkey").cast("string"), 10, 2), "s": F.sha1("p_name"), "u": F.unhex(F.hex("p_partkey")).isNotNull(), "ub": F.decode(F.unbase64(F.base64(F.encode(_s, "UTF-8"))), "UTF-8")}, "to_hex(p_partkey) AS x, bin(p_partkey) AS b, sha1(p_name) AS s, true AS u, p_name AS ub")
 
 # ---- joins -----------------------------------------------------------------------------------------------------------
 
@@ -258,8 +285,9 @@ _q("agg_shape", "SELECT round(skewness(ColA), 6) AS s, round(kurtosis(ColA), 6)
 _agg("percentile", "round(percentile_cont(0.5) WITHIN GROUP (ORDER BY ColA), 6) AS m")
 _agg("filter_clause", "count(*) FILTER (WHERE ColA > 2) AS n")
 _agg("string_lengths", "CAST(max(length(p_name)) AS INT) AS hi, CAST(min(length(p_name)) AS INT) AS lo, round(avg(length(p_name)), 6) AS mean", "part")
-_on("agg_approx_distinct", "lineitem", lambda t: t.agg(F.approx_count_distinct("l_partkey", 0.05).alias("n")))
-_on("agg_percentile_approx", "lineitem", lambda t: t.groupBy("l_returnflag").agg(F.percentile_approx("l_quantity", 0.5, 1000).alias("m")))
+# An estimate is right if it is within three standard errors of the truth.
+_on("agg_approx_distinct", "lineitem", lambda t: t.groupBy("l_returnflag").agg((F.abs(F.approx_count_distinct("l_partkey", 0.02) - F.count_distinct("l_partkey")) <= 0.06 * F.count_distinct("l_partkey")).alias("near")), "SELECT DISTINCT l_returnflag, true AS near FROM lineitem")
+_on("agg_percentile_approx", "lineitem", lambda t: t.groupBy("l_returnflag").agg(F.percentile_approx("l_quantity", 0.5, 100_000).alias("m")), "SELECT l_returnflag, quantile_disc(l_quantity, 0.5) AS m FROM lineitem GROUP BY l_returnflag")
 _on("agg_group_indexes", "nation", lambda t: t.groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_nationkey")).alias("ids")), "SELECT n_regionkey, list(n_nationkey ORDER BY n_nationkey) AS ids FROM nation GROUP BY n_regionkey")
 _q("agg_sum_distinct", "SELECT CAST(sum(DISTINCT ColD) AS BIGINT) AS s FROM nums")
 
@@ -335,6 +363,18 @@ _two_names = lambda spark, d: (ordered.dictionary(table(spark, d, "nation"), "n_
 _add("set_dictionary_lookup", lambda spark, d: ordered.dictionary_lookup(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", ordered.dictionary(table(spark, d, "customer").where("c_mktsegment <> 'BUILDING'"), "c_mktsegment")), "SELECT c_custkey, c_mktsegment, code FROM customer LEFT JOIN (SELECT m, row_number() OVER (ORDER BY m) - 1 AS code FROM (SELECT DISTINCT c_mktsegment AS m FROM customer WHERE c_mktsegment <> 'BUILDING')) ON m = c_mktsegment")
 _add("set_dictionary_merge", lambda spark, d: ordered.dictionary_merge(*_two_names(spark, d)), "WITH a AS (SELECT n_name AS value, row_number() OVER (ORDER BY n_name) - 1 AS code_a FROM nation), b AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS code_b FROM (SELECT DISTINCT c_mktsegment AS value FROM customer)) SELECT value, row_number() OVER (ORDER BY value) - 1 AS code, code_a, code_b FROM a FULL JOIN b USING (value)")
 
+_on("col_validity", "nums", lambda t: t.select("ColA", *(F.col(c).isNotNull().cast("int").alias(f"v{c[-1]}") for c in ("ColA", "ColB", "ColD")), *(F.coalesce(c, F.lit(0)).alias(f"d{c[-1]}") for c in ("ColB", "ColD"))), "SELECT ColA, CAST(ColA IS NOT NULL AS INT) AS vA, CAST(ColB IS NOT NULL AS INT) AS vB, CAST(ColD IS NOT NULL AS INT) AS vD, coalesce(ColB, 0) AS dB, CAST(coalesce(ColD, 0) AS INT) AS dD FROM nums")
+_same = lambda spark, d: (table(spark, d, "nation"), table(spark, d, "nation").repartition(3), table(spark, d, "nation").where("n_nationkey <> 7"))
+_add("col_equals", lambda spark, d: _equal(*_same(spark, d)), "SELECT true AS same, false AS less, true AS ordered, false AS moved")
+
+
+def _equal(a: DataFrame, b: DataFrame, less: DataFrame) -> DataFrame:
+    """Equality of tables as bags of rows, and as rows in an order."""
+    spark, k = a.sparkSession, ["n_nationkey"]
+    moved = a.withColumn("n_nationkey", (24 - F.col("n_nationkey")).cast(a.schema["n_nationkey"].dataType))
+    return io.rows(spark, [(sets.same_rows(a, b), sets.same_rows(a, less), sets.same_order(a, k, b, k), sets.same_order(a, k, moved, k))], "same boolean, less boolean, ordered boolean, moved boolean")
+
+
 # ---- exchange --------------------------------------------------------------------------------------------------------
 
 _on("xchg_hash_repartition", "orders", lambda t: t.repartition("o_custkey").select("o_orderkey", "o_custkey"), "SELECT o_orderkey, o_custkey FROM orders")
@@ -343,6 +383,47 @@ _on("xchg_coalesce", "nation", lambda t: t.coalesce(1), "SELECT * FROM nation")
 _on("xchg_union_merge", "lineitem", lambda t: t.select("l_orderkey").union(t.select("l_partkey")).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n")), "SELECT k AS l_orderkey, count(*) AS n FROM (SELECT l_orderkey AS k FROM lineitem UNION ALL SELECT l_partkey FROM lineitem) GROUP BY k")
 _on("xchg_hints", "nation", lambda t: t.hint("SORT_ON_VE", True).hint("SKIP_VE", False).select("n_name"), "SELECT n_name FROM nation")
 
+_on("xchg_rebalance", "lineitem", lambda t: t.where("l_quantity < 3").hint("rebalance", "l_suppkey").select("l_orderkey", "l_suppkey"), "SELECT l_orderkey, l_suppkey FROM lineitem WHERE l_quantity < 3")
+
+
+def _switched(spark: SparkSession, d: str) -> DataFrame:
+    """A grouping under other batch sizes, and with amplified batches; the settings are put back."""
+    keys = ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.inMemoryColumnarStorage.batchSize")
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        EngineConf.from_options({"amplify": "true", "column-batch-size": "500", "target-batch-size-mb": "1", "sort": "true", "project": "true", "filter": "true", "exchange": "true", "pass-through": "true", "join": "true"}).apply(spark)
+        return materialize(table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n")), "switched")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def _metered(spark: SparkSession, d: str) -> DataFrame:
+    """What the operators of an executed plan report: rows of the scan and of the groups."""
+    done = table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    done.collect()  # five rows
+    found = metrics(done)
+    scan = next(v for k, v in found.items() if k.startswith("Scan"))
+    return io.rows(spark, [(scan["numOutputRows"], min(v["numOutputRows"] for k, v in found.items() if k == "HashAggregate") > 0, scan["operators"])], "scanned bigint, grouped boolean, scans bigint")
+
+
+_add("conf_switches", _switched, "SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey")
+_add("conf_metrics", _metered, "SELECT count(*) AS scanned, true AS grouped, CAST(1 AS BIGINT) AS scans FROM orders")
+
+
+def _traced(t: DataFrame) -> DataFrame:
+    """Records of a start at an event and of an end as many seconds later as its value says, by user and kind."""
+    both = F.explode(F.array(F.struct(F.lit("S:").alias("k"), F.col("ts").alias("t"), (F.col("event_id") * 2).alias("i")), F.struct(F.lit("E:").alias("k"), (F.col("ts") + F.make_dt_interval(secs=F.floor("value").cast("decimal(18,6)"))).alias("t"), (F.col("event_id") * 2 + 1).alias("i"))))
+    records = t.where("value >= 0").select("user_id", "event_type", both.alias("r")).select("user_id", F.concat("r.k", "event_type").alias("position"), F.col("r.t").alias("t"), F.col("r.i").alias("i"))
+    return trace.summary(trace.spans(records, "user_id", "position", "t", "i"))
+
+
+_on("trace_spans", "events", _traced, """WITH r AS (SELECT user_id, event_type AS name, 1 AS step, ts AS t, event_id * 2 AS i FROM events WHERE value >= 0
+UNION ALL SELECT user_id, event_type, -1, ts + INTERVAL (CAST(floor(value) AS BIGINT)) SECOND, event_id * 2 + 1 FROM events WHERE value >= 0),
+d AS (SELECT *, sum(step) OVER (PARTITION BY user_id, name ORDER BY t, i) + CASE WHEN step = -1 THEN 1 ELSE 0 END AS depth FROM r),
+p AS (SELECT *, lag(t) OVER (PARTITION BY user_id, name, depth ORDER BY t, i) AS start FROM d)
+SELECT name, count(*) AS count, median(epoch_us(t) - epoch_us(start)) AS median, max(epoch_us(t) - epoch_us(start)) AS longest, CAST(sum(epoch_us(t) - epoch_us(start)) AS BIGINT) AS total FROM p WHERE step = -1 GROUP BY name""")
+
 # ---- typed collections -----------------------------------------------------------------------------------------------
 
 
@@ -350,18 +431,78 @@ def _one(spark: SparkSession, x, kind: str) -> DataFrame:
     return spark.createDataFrame([(x,)], f"x {kind}")
 
 
-_add("typed_map", lambda s, d: Typed.from_range(s, 1, 1000).map(lambda x: x * 2 + 1).df, "SELECT i * 2 + 1 AS _1 FROM range(1, 1001) t(i)")
-_add("typed_filter", lambda s, d: Typed.from_range(s, 1, 1000).filter(lambda x: x % 3 == 0).df, "SELECT i AS _1 FROM range(1, 1001) t(i) WHERE i % 3 = 0")
-_add("typed_reduce_sum", lambda s, d: _one(s, Typed.from_range(s, 1, 1000).reduce("sum"), "bigint"), "SELECT CAST(sum(i) AS BIGINT) AS x FROM range(1, 1001) t(i)")
-_add("typed_reduce_product", lambda s, d: _one(s, Typed.from_range(s, 1, 15).reduce("product"), "double"), "SELECT product(i) AS x FROM range(1, 16) t(i)")
-_add("typed_reduce_any", lambda s, d: _one(s, Typed.from_range(s, 1, 1000).reduce(lambda x, y: x ^ y), "bigint"), "SELECT bit_xor(i) AS x FROM range(1, 1001) t(i)")
-_add("typed_group_by", lambda s, d: Typed.from_range(s, 1, 1000).group_by(lambda x: x % 7).agg(F.count(F.lit(1)).alias("n"), F.sum("_1").alias("s")), "SELECT i % 7 AS key, count(*) AS n, CAST(sum(i) AS BIGINT) AS s FROM range(1, 1001) t(i) GROUP BY i % 7")
-_add("typed_sort_by", lambda s, d: Typed.from_range(s, 1, 100).sort_by(lambda x: -x).df, "SELECT i AS _1 FROM range(1, 101) t(i) ORDER BY i DESC")
-_add("typed_flat_map", lambda s, d: Typed.from_range(s, 1, 20).flat_map(lambda x: F.sequence(F.lit(1), x)).df, "SELECT unnest(range(1, i + 1)) AS _1 FROM range(1, 21) t(i)")
-_add("typed_tuple_map", lambda s, d: Typed.from_range(s, 1, 100).map(lambda x: (x, x * x)).df, "SELECT i AS _1, i * i AS _2 FROM range(1, 101) t(i)")
-_add("typed_join", lambda s, d: Typed.from_range(s, 1, 50).map(lambda x: (x, x * 2)).join(Typed.from_range(s, 25, 99).map(lambda x: (x, x * 3))).df, "SELECT i AS _1, i * 2 AS _2, i * 3 AS _3 FROM range(25, 51) t(i)")
+def _of(name: str, tbl: str, columns: list[str], make, sql: str) -> None:
+    """A typed collection of some columns of a table."""
+    _add(f"typed_{name}", lambda spark, d: make(spark, Typed(table(spark, d, tbl).select(*columns))), sql)
+
+
+_ids = ["o_custkey"]
+_of("map", "orders", _ids, lambda s, t: t.map(lambda x: x * 2 + 1).df, "SELECT o_custkey * 2 + 1 AS _1 FROM orders")
+_of("map_choice", "nums", ["ColA", "ColD"], lambda s, t: t.map(lambda a, d: F.when(a > 3, d.cast("double")).when(a.isNull(), -1.0).otherwise(a.cast("int").cast("double"))).df, "SELECT CASE WHEN ColA > 3 THEN CAST(ColD AS DOUBLE) WHEN ColA IS NULL THEN -1.0 ELSE CAST(CAST(trunc(ColA) AS INT) AS DOUBLE) END AS _1 FROM nums")
+_of("filter", "orders", _ids, lambda s, t: t.filter(lambda x: x % 3 == 0).df, "SELECT o_custkey AS _1 FROM orders WHERE o_custkey % 3 = 0")
+_of("reduce_sum", "orders", _ids, lambda s, t: _one(s, t.reduce("sum"), "bigint"), "SELECT CAST(sum(o_custkey) AS BIGINT) AS x FROM orders")
+_of("reduce_product", "region", ["r_regionkey"], lambda s, t: _one(s, t.map(lambda x: x + 1).reduce("product"), "double"), "SELECT product(r_regionkey + 1) AS x FROM region")
+_of("reduce_bits", "orders", ["o_orderkey"], lambda s, t: _one(s, t.reduce(operator.xor), "bigint"), "SELECT bit_xor(o_orderkey) AS x FROM orders")
+_of("reduce_any", "orders", ["o_orderkey"], lambda s, t: _one(s, t.reduce(lambda x, y: x ^ y), "bigint"), "SELECT bit_xor(o_orderkey) AS x FROM orders")
+_of("group_by", "lineitem", ["l_partkey"], lambda s, t: t.group_by(lambda x: x % 7).agg(F.count(F.lit(1)).alias("n"), F.sum("_1").alias("s")), "SELECT l_partkey % 7 AS key, count(*) AS n, CAST(sum(l_partkey) AS BIGINT) AS s FROM lineitem GROUP BY l_partkey % 7")
+_of("group_values", "orders", ["o_orderkey"], lambda s, t: t.group_values(lambda x: x % 5, 100), "SELECT key, CAST((n - 1) // 100 AS INT) AS part, list(x ORDER BY x) AS values FROM (SELECT o_orderkey % 5 AS key, o_orderkey AS x, row_number() OVER (PARTITION BY o_orderkey % 5 ORDER BY o_orderkey) AS n FROM orders) GROUP BY key, (n - 1) // 100")
+_of("sort_by", "customer", ["c_acctbal", "c_custkey"], lambda s, t: t.sort_by(lambda a, k: -a).df, "SELECT c_acctbal AS _1, c_custkey AS _2 FROM customer ORDER BY c_acctbal DESC")
+_of("flat_map", "part", ["p_name"], lambda s, t: t.flat_map(lambda x: F.split(x, " ")).df, "SELECT unnest(string_split(p_name, ' ')) AS _1 FROM part")
+_of("tuple_map", "nums", ["ColA", "ColB"], lambda s, t: t.map(lambda a, b: (a, a * b)).df, "SELECT ColA AS _1, ColA * ColB AS _2 FROM nums")
+_of("loop", "part", ["p_size"], lambda s, t: t.map_batches(_collatz, "steps bigint").df, "WITH RECURSIVE c AS (SELECT p_partkey AS k, CAST(p_size AS BIGINT) AS x, 0 AS n FROM part UNION ALL SELECT k, CASE WHEN x % 2 = 0 THEN x // 2 ELSE 3 * x + 1 END, n + 1 FROM c WHERE x > 1) SELECT CAST(max(n) AS BIGINT) AS _1 FROM c GROUP BY k")
+_add("typed_join", lambda s, d: Typed(table(s, d, "customer").select("c_custkey", "c_name")).join(Typed(table(s, d, "orders").select("o_custkey", "o_orderkey"))).df, "SELECT c_custkey AS _1, c_name AS _2, o_orderkey AS _3 FROM customer JOIN orders ON c_custkey = o_custkey")
+_add("typed_range", lambda s, d: Typed.from_range(s, 1, 1000).map(lambda x: x * x).filter(lambda x: x % 2 == 1).df, "SELECT i * i AS _1 FROM range(1, 1001) t(i) WHERE i % 2 = 1")
+_add("typed_rdd", lambda s, d: Typed.from_rows(s, Typed(table(s, d, "nation").select("n_nationkey", "n_name")).to_rdd().map(lambda r: (r[0] + 1, r[1])).collect(), "k int, n string").df, "SELECT n_nationkey + 1 AS _1, n_name AS _2 FROM nation")  # 25 rows, fixed
+_add("typed_collect", lambda s, d: Typed.from_rows(s, [(x,) for x in Typed(table(s, d, "region").select("r_name")).collect()], "n string").df, "SELECT r_name AS _1 FROM region")
+
+
+def _collatz(batches):
+    """A loop in the user's function, over whole columns."""
+    for b in batches:
+        x, n = b["_1"].to_numpy().astype("int64"), np.zeros(len(b), np.int64)
+        while (x > 1).any():
+            on = x > 1
+            x = np.where(on, np.where(x % 2 == 0, x // 2, 3 * x + 1), x)
+            n += on
+        yield pd.DataFrame({"steps": n})
+
+
 _add("typed_instants", lambda s, d: Typed(table(s, d, "events").select("ts", "event_id")).filter(lambda t, i: t > F.lit("2024-01-15").cast("timestamp_ntz")).map(lambda t, i: i).df, "SELECT event_id AS _1 FROM events WHERE ts > TIMESTAMP '2024-01-15'")
 
+# ---- user code over batches ------------------------------------------------------------------------------------------
+
+
+def _doubled(b: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"k": b["o_orderkey"], "x": b["o_totalprice"] * 2})
+
+
+def _by_sign(b: pd.DataFrame) -> list[tuple[int, pd.DataFrame]]:
+    low = b["c_acctbal"] < 0
+    return [(0, b[low]), (1, b[~low])]
+
+
+def _told(number: int, b: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"name": b["name"].str.lower(), "source": pd.Series(number, index=b.index, dtype="int32")})
+
+
+def _met(c: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
+    """Customers with their orders' number and highest price."""
+    return pd.DataFrame({"k": c["k"], "n": len(o), "top": o["price"].max() if len(o) else None}).astype({"n": "int64", "top": "float64"})
+
+
+def _partial(b: pd.DataFrame) -> pd.DataFrame:
+    g = b.groupby("l_suppkey")["l_quantity"]
+    return pd.DataFrame({"k": g.size().index, "n": g.size().to_numpy(), "q": g.sum().to_numpy()})
+
+
+_on("batch_execute", "orders", lambda t: batches.execute(t.select("o_orderkey", "o_totalprice"), _doubled, "k bigint, x double").select("k", F.round("x", 2).alias("x")), "SELECT o_orderkey AS k, round(o_totalprice * 2, 2) AS x FROM orders")
+_on("batch_execute_multi", "customer", lambda t: batches.execute_multi(t.select("c_custkey", "c_acctbal"), _by_sign, "c_custkey bigint, c_acctbal double"), "SELECT CAST(c_acctbal >= 0 AS INT) AS bucket, c_custkey, c_acctbal FROM customer")
+_add("batch_execute_multi_in", lambda spark, d: batches.execute_multi_in([table(spark, d, "nation").select(F.col("n_name").alias("name")), table(spark, d, "region").select(F.col("r_name").alias("name"))], _told, "name string, source int"), "SELECT lower(n_name) AS name, 0 AS source FROM nation UNION ALL SELECT lower(r_name), 1 FROM region")
+_two_tables = lambda spark, d: (table(spark, d, "customer").select(F.col("c_custkey").alias("k")), table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("price")))
+for _n, _split in {"join": 1, "join_split": 3}.items():
+    _add(f"batch_execute_{_n}", lambda spark, d, k=_split: batches.execute_join(*_two_tables(spark, d), ["k"], _met, "k bigint, n bigint, top double", k).where("k IS NOT NULL"), "SELECT c_custkey AS k, count(o_orderkey) AS n, max(o_totalprice) AS top FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+_on("batch_execute_grouping", "lineitem", lambda t: batches.execute_grouping(t.select("l_suppkey", "l_quantity"), _partial, "k bigint, n bigint, q double", "k", lambda x: x.groupBy("k").agg(F.sum("n").alias("n"), F.round(F.sum("q"), 2).alias("q"))), "SELECT l_suppkey AS k, count(*) AS n, round(sum(l_quantity), 2) AS q FROM lineitem GROUP BY l_suppkey")
+
 # ---- text ------------------------------------------------------------------------------------------------------------
 
 
@@ -397,8 +538,26 @@ _text("parse_bad", lambda _s, _item, _padded: text.to_number(_s), "TRY_CAST(p_na
 _text("from_int", lambda _s, _item, _padded: F.col("p_size").cast("string"), "CAST(p_size AS VARCHAR)")
 _text("format_date", lambda _s, _item, _padded: F.date_format("ts", "yyyy/MM/dd HH:mm:ss"), "strftime(ts, '%Y/%m/%d %H:%M:%S')", "events", "event_id")
 _text("length", lambda _s, _item, _padded: F.length("text"), "CAST(length(text) AS INT)", "documents", "doc_id")
+_text("substr_by_row", lambda _s, _item, _padded: F.substr(_s, F.pmod(F.col("p_partkey"), F.lit(5)).cast("int") + 1, F.pmod(F.col("p_size"), F.lit(7)).cast("int")), "substring(p_name, CAST(p_partkey % 5 AS INT) + 1, CAST(p_size % 7 AS INT))")
+_text("like_escape", lambda _s, _item, _padded: text.like(F.concat("p_brand", F.lit("_50%")), "%\\_50\\%"), "p_brand || '_50%' LIKE '%!_50!%' ESCAPE '!'")
+_text("like_other_escape", lambda _s, _item, _padded: text.like(F.concat("p_brand", F.lit("%")), "Brand!%_2!%%", "!"), "p_brand || '%' LIKE 'Brand!%_2!%%' ESCAPE '!'")
+_text("code_points", lambda _s, _item, _padded: text.code_points(_item), "list_transform(CASE WHEN length(item) = 0 THEN [] ELSE regexp_extract_all(item, '(?s).') END, lambda c: CAST(unicode(c) AS INT))", "shop_items", "item_id")
+_text("utf32_roundtrip", lambda _s, _item, _padded: text.from_code_points(text.code_points(_item)), "item", "shop_items", "item_id")
+_text("from_float", lambda _s, _item, _padded: F.format_string("%.2f", "p_retailprice"), "format('{:.2f}', p_retailprice)")
+_text("from_float_plain", lambda _s, _item, _padded: (F.col("p_size") / 4).cast("string"), "CAST(p_size / 4.0::DOUBLE AS VARCHAR)")
+_add("text_merge_words", lambda s, d: text.merge(*(table(s, d, t).select(F.col(c).alias("word")) for t, c in {"nation": "n_name", "region": "r_name", "part": "p_brand", "supplier": "s_name"}.items())), "SELECT n_name AS word FROM nation UNION ALL SELECT r_name FROM region UNION ALL SELECT p_brand FROM part UNION ALL SELECT s_name FROM supplier")
 _q("text_remove_empty", "SELECT doc_id FROM documents WHERE length(text) > 0")
-_add("text_infer_schema", lambda s, d: s.createDataFrame([(io.infer_csv(s, "1,abc,2.5"),)], "x string"), "SELECT 'STRUCT<_c0: INT, _c1: STRING, _c2: DOUBLE>' AS x")
+
+
+def _inferred(spark: SparkSession, d: str) -> DataFrame:
+    """Kinds of the columns of a CSV file, inferred from all its lines."""
+    path = _folder(spark)
+    io.write(table(spark, d, "nums").select("ColA", "ColD", F.concat(F.lit("w"), F.col("ColD")).alias("w"), (F.col("ColA") > 2).alias("b"), F.make_date(F.lit(2024), F.lit(1), F.lit(1) + F.pmod(F.coalesce("ColD", F.lit(0)), F.lit(28)).cast("int")).alias("day")), path, "csv")
+    found = spark.read.csv(path, header=True, inferSchema=True)
+    return io.rows(spark, found.dtypes, "name string, kind string")
+
+
+_add("text_infer_schema", _inferred, "SELECT * FROM (VALUES ('ColA', 'double'), ('ColD', 'int'), ('w', 'string'), ('b', 'boolean'), ('day', 'date')) AS v(name, kind)")
 
 # ---- dates -----------------------------------------------------------------------------------------------------------
 
@@ -419,10 +578,20 @@ for _u in ("year", "quarter", "month", "week", "day", "hour", "minute", "second"
     _dt(f"trunc_{_u}", lambda _ts, _od, _base, _u=_u: {"x": F.date_trunc(_u, _ts).cast("timestamp_ntz")}, f"CAST(date_trunc('{_u}', ts) AS TIMESTAMP) AS x")
 _dt("next_day", lambda _ts, _od, _base: {"x": F.next_day(_od, "Mon")}, "CAST(CAST(o_orderdate AS DATE) + CAST(8 - isodow(o_orderdate) AS INT) AS DATE) AS x", "orders", "o_orderkey")
 _dt("last_day", lambda _ts, _od, _base: {"x": F.last_day(_od)}, "last_day(o_orderdate) AS x", "orders", "o_orderkey")
-_on("dt_months_between", "orders", lambda t: t.select("o_orderkey", F.months_between("o_orderdate", F.lit("1999-03-31").cast("timestamp_ntz")).alias("x")))
+_on("dt_months_between", "orders", lambda t: t.select("o_orderkey", F.months_between("o_orderdate", F.lit("1999-03-31").cast("timestamp_ntz")).alias("x")),
+    "SELECT o_orderkey, round(12 * (year(o_orderdate) - 1999) + month(o_orderdate) - 3 + CASE WHEN day(o_orderdate) = 31 OR CAST(o_orderdate AS DATE) = last_day(o_orderdate) THEN 0.0 ELSE (epoch(o_orderdate - date_trunc('day', o_orderdate)) + 86400 * (day(o_orderdate) - 31)) / 2678400.0 END::DOUBLE, 8) AS x FROM orders")
 _dt("from_nanos", lambda _ts, _od, _base: {"x": dates.from_nanos(F.lit(1_700_000_000_123_456_789) + F.col("event_id")).cast("timestamp_ntz")}, "make_timestamp((1700000000123456789 + event_id) // 1000) AS x")
 _dt("parse", lambda _ts, _od, _base: {"x": dates.parse(F.date_format(_ts, "dd.MM.yyyy HH:mm"), "dd.MM.yyyy HH:mm").cast("timestamp_ntz")}, "date_trunc('minute', ts) AS x")
 _dt("unit_diffs", lambda _ts, _od, _base: {"h": dates.apart("hour", _ts, F.lit("2024-01-01").cast("timestamp_ntz")), "m": dates.apart("minute", _ts, F.lit("2024-01-01").cast("timestamp_ntz"))}, "datesub('hour', TIMESTAMP '2024-01-01', ts) AS h, datesub('minute', TIMESTAMP '2024-01-01', ts) AS m")
+_N = lambda: F.lit(1_700_000_000_123_456_789)
+_nanos = lambda: _N() + F.col("event_id") * 1_000_003_001
+_nan_sql = "(1700000000123456789 + event_id * 1000003001)"
+_dt("nanosecond", lambda _ts, _od, _base: {"x": dates.nanosecond(_nanos())}, f"CAST({_nan_sql} % 1000000000 AS INT) AS x")
+_dt("nano_diffs", lambda _ts, _od, _base: {"ns": dates.nanos_apart("nanosecond", _nanos(), _N()), "us": dates.nanos_apart("microsecond", _nanos(), _N()), "ms": dates.nanos_apart("millisecond", _nanos(), _N()), "s": dates.nanos_apart("second", _nanos(), _N()), "back": dates.nanos_apart("minute", _N(), _nanos())}, "event_id * 1000003001 AS ns, event_id * 1000003001 // 1000 AS us, event_id * 1000003001 // 1000000 AS ms, event_id * 1000003001 // 1000000000 AS s, -(event_id * 1000003001 // 60000000000) AS back")
+_dt("nano_add", lambda _ts, _od, _base: {"ns": dates.add_nanos(_nanos(), "nanosecond", 7), "w": dates.add_nanos(_nanos(), "week", -2)}, f"{_nan_sql} + 7 AS ns, {_nan_sql} - 1209600000000000 AS w")
+for _u, _k in {"second": 90, "minute": 75, "hour": -30, "day": 40, "week": 3, "month": 13, "quarter": 1, "year": -1}.items():
+    _dt(f"add_{_u}", lambda _ts, _od, _base, u=_u, k=_k: {"x": dates.add(_ts.cast("timestamp"), u, k).cast("timestamp_ntz")}, f"CAST(ts + INTERVAL ({_k * (3 if _u == 'quarter' else 1)}) {'MONTH' if _u == 'quarter' else _u.upper()} AS TIMESTAMP) AS x")
+_dt("second_diff", lambda _ts, _od, _base: {"s": dates.apart("second", _ts, F.lit("2024-01-01").cast("timestamp_ntz")), "d": dates.apart("day", _ts, F.lit("2024-01-01").cast("timestamp_ntz")), "w": dates.apart("week", F.lit("2024-01-01").cast("timestamp_ntz"), _ts)}, "datesub('second', TIMESTAMP '2024-01-01', ts) AS s, datesub('day', TIMESTAMP '2024-01-01', ts) AS d, -datesub('week', TIMESTAMP '2024-01-01', ts) AS w")
 _q("dt_between", "SELECT o_orderkey FROM orders WHERE o_orderdate BETWEEN timestamp '1996-01-01 00:00:00' AND timestamp '1996-01-31 00:00:00'")
 
 # ---- vectors ---------------------------------------------------------------------------------------------------------
@@ -457,6 +626,44 @@ _vec("sorted", lambda _v: _rl(F.sort_array(_v.cast("array<double>"))), "list_tra
 _vec("take", lambda _v: _r(F.get(_v, 3).cast("double")), "round(v[4], 5)")
 _vec("slice", lambda _v: _rl(F.slice(_v.cast("array<double>"), 2, 3)), "list_transform(v[2:4], lambda x: round(x, 5))")
 _vec("reversed", lambda _v: _rl(F.reverse(_v.cast("array<double>"))), "list_transform(list_reverse(v), lambda x: round(x, 5))")
+_d = lambda v: v.cast("array<double>")
+_by = lambda f: lambda _v: _rl(vectors.both(_v, F.reverse(_v), f))
+_each_sql = lambda x: f"list_transform(v, lambda x: round({x}, 5))"
+_both_sql = lambda x: f"list_transform(range(1, len(v) + 1), lambda i: round({x.replace('y', 'v[len(v) + 1 - i]').replace('x', 'v[i]')}, 5))"
+_vec("square", lambda _v: _rl(vectors.each(_v, lambda x: x * x)), _each_sql("x * x"))
+_vec("sqrt", lambda _v: _rl(vectors.each(_v, lambda x: F.sqrt(F.abs(x)))), _each_sql("sqrt(abs(x))"))
+_vec("log", lambda _v: _rl(vectors.each(_v, lambda x: F.log(F.abs(x) + 1))), _each_sql("ln(abs(x) + 1)"))
+_vec("neg_log", lambda _v: _rl(vectors.each(_v, lambda x: -F.log(F.abs(x) + 1))), _each_sql("-ln(abs(x) + 1)"))
+_vec("negative", lambda _v: _rl(vectors.each(_v, lambda x: -x)), _each_sql("-x"))
+_vec("add", _by(lambda x, y: x + y), _both_sql("x + y"))
+_vec("divide", _by(lambda x, y: scalar.safe_divide(x, y)), _both_sql("x / nullif(y, 0)"))
+_vec("divide_by", lambda _v: _rl(vectors.each(_v, lambda x: scalar.safe_divide(x, F.lit(3.0)))), _each_sql("x / 3.0"))
+_vec("fdiv", lambda _v: _rl(F.transform(_v, lambda x: F.floor(x.cast("double") * 100) / F.lit(7.0))), _each_sql("floor(x * 100) / 7.0"))
+_vec("idiv", lambda _v: F.transform(_v, lambda x: F.call_function("div", F.floor(x.cast("double") * 100), F.lit(7)).cast("bigint")), "list_transform(v, lambda x: CAST(trunc(floor(x * 100) / 7) AS BIGINT))")
+_vec("mod", lambda _v: F.transform(_v, lambda x: scalar.safe_mod(F.floor(x.cast("double") * 100), F.lit(7)).cast("bigint")), "list_transform(v, lambda x: CAST(floor(x * 100) AS BIGINT) % 7)")
+_vec("pow", lambda _v: _rl(vectors.each(_v, lambda x: F.pow(x, F.lit(3.0)))), _each_sql("pow(x, 3)"))
+_vec("scaled_sum", lambda _v: _r(vectors.scaled_sum(_v, 2.5)), "round(list_sum(list_transform(v, lambda x: x * 2.5)), 5)")
+_vec("amax", lambda _v: _r(F.array_max(_d(_v))), "round(list_max(v), 5)")
+_vec("amin", lambda _v: _r(F.array_min(_d(_v))), "round(list_min(v), 5)")
+_vec("concat", lambda _v: _rl(F.concat(_d(_v), F.slice(_d(_v), 1, 2))), "list_transform(list_concat(v, v[1:2]), lambda x: round(x, 5))")
+_vec("take_places", lambda _v: _rl(F.transform(F.array(F.lit(0), F.lit(2), F.lit(2), F.lit(5)), lambda i: F.get(_d(_v), i))), "list_transform([1, 3, 3, 6], lambda i: round(v[i], 5))")
+_vec("smaller", lambda _v: _rl(vectors.smaller(_d(_v), F.reverse(_d(_v)))), _both_sql("least(x, y)"))
+_vec("larger", lambda _v: _rl(vectors.larger(_d(_v), F.reverse(_d(_v)))), _both_sql("greatest(x, y)"))
+_vec("is_same", lambda _v: F.array(_d(_v) == _d(_v), _d(_v) == F.reverse(_d(_v))), "[true, v = list_reverse(v)]")
+_vec("is_uniform", lambda _v: F.array(vectors.is_uniform(_d(_v)), vectors.is_uniform(vectors.full(F.size(_v), 1.5))), "[len(list_distinct(v)) <= 1, true]")
+_vec("arrange", lambda _v: vectors.arrange(F.lit(2).cast("bigint"), F.size(_v).cast("bigint"), 3), "range(2, len(v), 3)")
+_vec("arrange_down", lambda _v: vectors.arrange(F.size(_v).cast("bigint"), F.lit(0).cast("bigint"), -5), "range(len(v), 0, -5)")
+_vec("zeros", lambda _v: vectors.full(F.size(_v), 0.0), "list_transform(v, lambda x: 0.0::DOUBLE)")
+_vec("ones", lambda _v: vectors.full(F.size(_v), 1.0), "list_transform(v, lambda x: 1.0::DOUBLE)")
+_vec("full", lambda _v: vectors.full(F.size(_v), F.col("vec_id").cast("double")), "list_transform(v, lambda x: CAST(vec_id AS DOUBLE))")
+_vec("order", lambda _v: vectors.order(_d(_v)), "list_transform(list_sort(list_transform(range(1, len(v) + 1), lambda i: {'x': v[i], 'i': i - 1})), lambda s: CAST(s.i AS INT))")
+_vec("encode_unique", lambda _v: vectors.encode_unique(F.transform(_v, lambda x: F.floor(x.cast("double") * 10))), "list_transform(list_transform(v, lambda x: floor(x * 10)), lambda y: CAST(list_position(list_sort(list_distinct(list_transform(v, lambda x: floor(x * 10)))), y) - 1 AS INT))")
+_vec("contains", lambda _v: F.array(F.exists(_v, lambda x: F.floor(x.cast("double") * 10) == 0), F.exists(_v, lambda x: x > 1e9)), "[list_contains(list_transform(v, lambda x: floor(x * 10)), 0), false]")
+for _n, (_f, _x) in {"nonzero": (lambda x: F.floor(x * 10) != 0, "floor(x * 10) <> 0"), "equal": (lambda x: F.floor(x * 10) == 1, "floor(x * 10) = 1"), "negative": (lambda x: x < 0, "x < 0"), "infinite": (lambda x: scalar.is_infinite(x) | F.isnan(x), "NOT isfinite(x)"), "out_of_range": (lambda x: (x < -0.1) | (x > 0.1), "x < -0.1 OR x > 0.1")}.items():
+    _vec(f"count_{_n}", lambda _v, f=_f: vectors.count_if(_d(_v), f), f"CAST(len(list_filter(v, lambda x: {_x})) AS INT)")
+for _n, (_f, _x) in {"lt": (lambda x: x < 0.05, "x < 0.05"), "le": (lambda x: x <= 0.05, "x <= 0.05"), "gt": (lambda x: x > 0.05, "x > 0.05"), "ge": (lambda x: x >= 0.05, "x >= 0.05"), "eq": (lambda x: F.floor(x * 10) == 1, "floor(x * 10) = 1"), "ne": (lambda x: F.floor(x * 10) != 1, "floor(x * 10) <> 1"), "between": (lambda x: (x > -0.05) & (x < 0.05), "x > -0.05 AND x < 0.05"), "beyond": (lambda x: (x <= -0.05) | (x >= 0.05), "x <= -0.05 OR x >= 0.05")}.items():
+    _vec(f"find_{_n}", lambda _v, f=_f: vectors.places(_d(_v), f), f"list_filter(list_transform(range(1, len(v) + 1), lambda i: CASE WHEN {_x.replace('x', 'v[i]')} THEN CAST(i - 1 AS INT) END), lambda i: i IS NOT NULL)")
+_on("vec_find_one", "nums", lambda t: t.agg(*(F.count_if(x).alias(k) for k, x in {"one": F.col("ColA") == 1, "zero_or_one": F.col("ColA").isin(0.0, 1.0), "largest": F.col("ColD") == 32767, "smallest": F.col("ColD") == -32768}.items())), "SELECT count(*) FILTER (WHERE ColA = 1) AS one, count(*) FILTER (WHERE ColA IN (0, 1)) AS zero_or_one, count(*) FILTER (WHERE ColD = 32767) AS largest, count(*) FILTER (WHERE ColD = -32768) AS smallest FROM nums")
 _W = "(PARTITION BY user_id ORDER BY ts, event_id)"
 _key, _order = ["user_id"], ["ts", "event_id"]
 _on("vec_prefix_sum", "events", lambda t: ordered.prefix_sum(t, _key, _order, F.col("value"), "x").select("event_id", F.round("x", 4).alias("x")), "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS x FROM events")
@@ -467,6 +674,29 @@ _on("vec_numbered", "events", lambda t: ordered.numbered(t, _key, _order, "n").s
 _on("vec_bincount", "part", lambda t: t.groupBy("p_size").agg(F.count(F.lit(1)).alias("n")), "SELECT p_size, count(*) AS n FROM part GROUP BY p_size")
 _on("vec_predicates", "xy_points", lambda t: t.agg(*(F.count_if(x).alias(k) for k, x in {"nan": F.isnan("double_x"), "zero": F.col("double_x") == 0, "pos": (F.col("double_x") > 0) & ~F.isnan("double_x"), "neg": F.col("double_x") < 0, "null_": F.col("double_x").isNull(), "inf": scalar.is_infinite(F.col("double_x"))}.items())), "SELECT count(*) FILTER (WHERE isnan(double_x)) AS nan, count(*) FILTER (WHERE double_x = 0) AS zero, count(*) FILTER (WHERE double_x > 0 AND NOT isnan(double_x)) AS pos, count(*) FILTER (WHERE double_x < 0) AS neg, count(*) FILTER (WHERE double_x IS NULL) AS null_, count(*) FILTER (WHERE isinf(double_x)) AS inf FROM xy_points")
 
+# ---- example scripts: aggregates over the columns _1, _2, _3 of a CSV file without a header ----------------------------
+
+
+def _script(name: str, columns: str, view: bool = False) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        path = _folder(spark)
+        io.write(table(spark, d, "nums").select("ColA", "ColB", "ColC"), path, "csv", header="false")
+        read = io.csv(spark, path, "_1 double, _2 double, _3 double", header=False)
+        if not view:
+            return read.selectExpr(*columns.split("; "))
+        read.createOrReplaceTempView("script")
+        return spark.sql(f"SELECT {columns.replace('; ', ', ')} FROM script")
+
+    _add(f"script_{name}", run, f"SELECT {columns.replace('; ', ', ')} FROM (SELECT ColA AS _1, ColB AS _2, ColC AS _3 FROM nums)")
+
+
+_script("add_pairwise", "_1 + _2 AS s")
+_script("avg", "round(avg(_1), 6) AS a", view=True)
+_script("avg_multiple", "round(avg(_1), 6) AS a; round(avg(_2), 6) AS b; round(avg(_3), 6) AS c")
+_script("sum", "round(sum(_1), 4) AS a", view=True)
+_script("sum_multiple", "round(sum(_1), 4) AS a; round(sum(_2), 4) AS b; round(sum(_3), 4) AS c")
+_script("multiple_operations", "round(avg(_2 - _1), 6) AS a; round(sum(2 + _2), 4) AS b; round(sum(_3), 4) AS c")
+
 # ---- benchmark queries -----------------------------------------------------------------------------------------------
 
 for _n, _x in {"avg_x": "avg(double_x)", "avg_x_plus_y": "avg(double_x + double_y)", "sum_x": "sum(double_x)", "sum_x_plus_y": "sum(double_x + double_y)"}.items():
@@ -492,14 +722,45 @@ for _n, _k in {"q5": "pickup_location_id", "q6": "payment_type", "q7": "dropoff_
 # ---- streaming -------------------------------------------------------------------------------------------------------
 
 
-def _stream(name: str, make, mode: str, sql: str) -> None:
-    _add(f"stream_{name}", lambda spark, d: streams.run_to_end(make(streams.stream_of(spark, f"{d}/events.parquet")), mode), sql)
+def _steps(spark: SparkSession, d: str, parts: int = 4) -> str:
+    """The events in files by time, read as one micro-batch each, so that state goes from batch to batch."""
+    path = _folder(spark)
+    table(spark, d, "events").repartitionByRange(parts, "ts", "event_id").write.parquet(path)
+    return path
+
+
+def _stream(name: str, make, mode: str, sql: str, after=lambda x: x) -> None:
+    _add(f"stream_{name}", lambda spark, d: after(streams.run_to_end(make(streams.stream_of(spark, _steps(spark, d)).withColumn("ts", F.col("ts").cast("timestamp"))), mode)), sql)
 
 
 _stream("group_count", lambda s: streams.count_by(s, "event_type"), "complete", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+# In update mode every batch gives the keys that changed; the last word on a key is its highest count.
+_stream("group_update", lambda s: streams.count_by(s, "user_id"), "update", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id", lambda x: x.groupBy("user_id").agg(F.max("n").alias("n")))
 _stream("filter_project", lambda s: s.where("value > 50").select("event_id", "event_type"), "append", "SELECT event_id, event_type FROM events WHERE value > 50")
-_add("stream_windowed", lambda spark, d: streams.run_to_end(streams.windowed(streams.stream_of(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 day", "1 day", "event_type"), "complete").select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n"), "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
-_add("stream_first_seen", lambda spark, d: streams.run_to_end(streams.first_seen(streams.stream_of(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "60 days", "user_id").select("user_id"), "append"), "SELECT DISTINCT user_id FROM events")
+_stream("windowed", lambda s: streams.windowed(s, "ts", "1 day", "1 day", "event_type"), "complete", "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2", lambda x: x.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n"))
+_stream("first_seen", lambda s: streams.first_seen(s, "ts", "60 days", "user_id").select("user_id"), "append", "SELECT DISTINCT user_id FROM events")
+
+
+def _steps_seen(spark: SparkSession, d: str) -> DataFrame:
+    """How many micro-batches there were, and in how many of them keys of earlier ones changed."""
+    out = streams.run_to_end(streams.count_by(streams.stream_of(spark, _steps(spark, d)), "event_type"), "update", "step")
+    return out.agg(F.count_distinct("step").alias("steps"), (F.count(F.lit(1)) > F.count_distinct("event_type")).alias("again"))
+
+
+def _rate(spark: SparkSession, d: str) -> DataFrame:
+    """A generated stream through SQL in update mode: numbers by their last digit, as far as two batches go."""
+    io.rate_batches(spark, 1000).createOrReplaceTempView("ticks")
+    out = streams.run_batches(spark.sql("SELECT value % 10 AS bar, count(*) AS n FROM ticks GROUP BY value % 10"), "update", 2)
+    return out.groupBy("bar").agg(F.max("n").alias("n"))
+
+
+def _memory(spark: SparkSession, d: str) -> DataFrame:
+    return streams.to_memory(streams.count_by(streams.stream_of(spark, _steps(spark, d)), "event_type"), "complete")
+
+
+_add("stream_steps", _steps_seen, "SELECT CAST(4 AS BIGINT) AS steps, true AS again")
+_add("stream_rate_update", _rate, "SELECT i % 10 AS bar, count(*) AS n FROM range(0, 2000) t(i) GROUP BY i % 10")
+_add("stream_memory_sink", _memory, "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 
 # ---- extensions: what Spark gives beyond the inventory ---------------------------------------------------------------
 

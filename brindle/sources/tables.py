@@ -56,8 +56,10 @@ def numbers(spark: SparkSession, first: int, last: int) -> DataFrame:
 
 
 def points(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
-    """n rows of a generated benchmark table: id in 0 .. n/10 as double, two uniform doubles. The same for the same seed."""
-    return spark.range(n).select(F.floor(F.rand(seed) * n / 10).cast("double").alias("id"), F.rand(seed + 1).alias("double_x"), F.rand(seed + 2).alias("double_y"))
+    """n rows of a generated benchmark table: id in 0 .. n/10 as double, two uniform doubles. Made from a hash of the row's
+    number and the seed, so the same for the same seed, however the rows are partitioned."""
+    uniform = lambda k: (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(1 << 53)) / F.lit(float(1 << 53))).cast("double")
+    return spark.range(n).select(F.floor(uniform(0) * n / 10).cast("double").alias("id"), uniform(1).alias("double_x"), uniform(2).alias("double_y"))
 
 
 def rate(spark: SparkSession, per_second: int = 10) -> DataFrame:
@@ -65,6 +67,11 @@ def rate(spark: SparkSession, per_second: int = 10) -> DataFrame:
     return spark.readStream.format("rate").option("rowsPerSecond", per_second).load()
 
 
+def rate_batches(spark: SparkSession, rows: int) -> DataFrame:
+    """A stream of (timestamp, value) with so many rows in every micro-batch: the same numbers in every run."""
+    return spark.readStream.format("rate-micro-batch").option("rowsPerBatch", rows).option("numPartitions", 2).load()
+
+
 def write(df: DataFrame, path: str, kind: str = "parquet", by: list[str] | None = None, mode: str = "overwrite", **options: str) -> None:
     """Write as parquet, orc, csv, json or text, in folders by the values of `by`."""
     defaults = {"csv": {"header": "true", "quote": '"', "escape": '"'}}.get(kind, {})
@@ -80,3 +87,14 @@ def infer_csv(spark: SparkSession, sample: str) -> str:
 def save_object(df: DataFrame, path: str) -> None:
     """A collection kept for later, read again with `parquet`."""
     write(df, path)
+
+
+def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "overwrite", **properties: str) -> None:
+    df.write.format("jdbc").mode(mode).options(url=url, dbtable=table, **properties).save()
+
+
+def write_to(df: DataFrame, name: str, path: str, kind: str = "parquet") -> DataFrame:
+    """Create or replace a catalogue's table by the second data source API, and read it."""
+    df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+    df.writeTo(name).using(kind).option("path", path).create()
+    return df.sparkSession.read.format(kind).load(path)

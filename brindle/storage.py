@@ -9,29 +9,46 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_made: set[str] = set()
+
+
+def _fs(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the session names none and runs in one process."""
+    """This application's folder in that of spark.checkpoint.dir. It goes when the driver's JVM ends; what a killed driver
+    leaves behind bears its application's id. Only where the session names no folder and all runs in one process
+    (tests), a folder of its own is made."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="brindle-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{path}")
-    return f"file://{path}"
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='brindle-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    path = f"{found}/brindle-{spark.sparkContext.applicationId}"
+    if path not in _made:
+        fs, at = _fs(spark, path)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        _made.add(path)
+    return path
 
 
 def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Write a table once and read it back, which cuts lineage and survives the loss of executors.
-
-    The files go when the JVM of the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    """Write a table once and read it back, which cuts lineage and survives the loss of executors."""
+    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(conf).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all intermediate tables that the application has made so far. For long sessions: call it when the results
+    that were asked for have been written; DataFrames that were made before cannot be run any more."""
+    fs, at = _fs(spark, shared_dir(spark))
+    for f in fs.listStatus(at):
+        fs.delete(f.getPath(), True)
 
 
 def free_name(name: str, taken: list[str]) -> str:

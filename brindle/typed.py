@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.operators import ordered
+
 
 class Typed:
     def __init__(self, df: DataFrame):
@@ -48,12 +50,13 @@ class Typed:
     def reduce(self, f: str | Callable) -> object:
         """One value of a scalar collection, or None if it is empty.
 
-        "sum", "product", "min" and "max" (also as operator.add, operator.mul, min, max) are native aggregates. Any other
-        function must be associative and commutative: values are folded by task, then the tasks' values are folded."""
-        named = {operator.add: "sum", operator.mul: "product", min: "min", max: "max"}.get(f, f)
+        "sum", "product", "min", "max", "xor", "and", "or", "all" and "any" (also as operator.add, mul, xor, and_, or_ and as
+        min, max, all, any) are native aggregates. Any other function must be associative and commutative: values are folded
+        by task, then the tasks' values are folded."""
+        named = {operator.add: "sum", operator.mul: "product", min: "min", max: "max", operator.xor: "xor", operator.and_: "and", operator.or_: "or", all: "all", any: "any"}.get(f, f)
         c = self.columns[0]
         if isinstance(named, str):
-            agg = {"sum": F.sum, "product": F.product, "min": F.min, "max": F.max}[named](c)
+            agg = {"sum": F.sum, "product": F.product, "min": F.min, "max": F.max, "xor": F.bit_xor, "and": F.bit_and, "or": F.bit_or, "all": F.bool_and, "any": F.bool_or}[named](c)
             return self.df.agg(agg.alias("x")).first()[0]
 
         def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -73,6 +76,15 @@ class Typed:
         """A grouped view by key; aggregate it with `.agg(...)` so that no group is ever gathered."""
         return self.df.groupBy(f(*self.columns).alias("key"))
 
+    def group_values(self, f: Callable, most: int = 10_000) -> DataFrame:
+        """(key, part, values): the values of each key, in rows of at most `most` of them, so that a key with many values is a
+        few rows and never one task's whole memory. Values are structs if the collection has several columns; their order
+        is that of the columns. Null keys are a key."""
+        value = F.struct(*self.columns) if len(self.df.columns) > 1 else self.columns[0]
+        rows = ordered.numbered(self.df.select(f(*self.columns).alias("key"), value.alias("value")), ["key"], ["value"], "n")
+        part = F.floor((F.col("n") - 1) / most).cast("int").alias("part")
+        return rows.groupBy("key", part).agg(F.sort_array(F.collect_list("value")).alias("values"))
+
     def sort_by(self, f: Callable, ascending: bool = True) -> Typed:
         """Globally sorted, by ranges of the key."""
         key = f(*self.columns)
@@ -95,3 +107,8 @@ class Typed:
 
     def to_df(self) -> DataFrame:
         return self.df
+
+    def to_rdd(self):
+        """The rows as an RDD of values (of tuples, if there are several columns)."""
+        one = len(self.df.columns) == 1
+        return self.df.rdd.map(lambda r: r[0] if one else tuple(r))

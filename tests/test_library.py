@@ -1,13 +1,20 @@
+import json
 import operator
+import subprocess
+import sys
+from datetime import datetime
+from pathlib import Path
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from brindle import batches, trace
 from brindle.conf import HINTS, EngineConf, metrics
 from brindle.functions import dates, scalar, text, vectors
 from brindle.sources import tables as io
-from brindle.storage import free_name, materialize
+from brindle.operators import sets
+from brindle.storage import free_name, materialize, release
 from brindle.streaming import counts
 from brindle.typed import Typed
 
@@ -111,4 +118,87 @@ def test_conf(spark):
 def test_storage(spark):
     assert free_name("a", ["A", "a_"]) == "a__"
     df = spark.createDataFrame([(1, None)], "a int, b string")
-    assert materialize(df, "x").collect() == df.collect()
+    kept = materialize(df, "x")
+    assert kept.collect() == df.collect()
+    release(spark)
+    assert materialize(df, "y").collect() == df.collect()
+
+
+def test_without_the_subpackage(monkeypatch):
+    """The queries of the library are there when a module that only the subpackage needs is not."""
+    code = "import sys; sys.modules['regex'] = None; import __spark_entry__ as e; q = e.queries(); assert 'p1_found' in q and not any(k.startswith(('p3_', 'p5_', 'p6_', 'p7_')) for k in q), sorted(q)"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[1])
+
+
+def test_more_text(spark):
+    t = "Aé漢😀\n"
+    assert one(spark, text.code_points(F.lit(t))) == [ord(c) for c in t] and one(spark, text.code_points(F.lit(""))) == [] and one(spark, text.code_points(F.lit(None).cast("string"))) is None
+    assert one(spark, text.from_code_points(F.lit([ord(c) for c in t]))) == t and one(spark, text.from_code_points(F.array().cast("array<int>"))) == ""
+    assert one(spark, text.like(F.lit("a%b\n"), "a\\%b_")) and not one(spark, text.like(F.lit("axb\n"), "a\\%b_")) and one(spark, text.like(F.lit("a.c"), "a.%")) and not one(spark, text.like(F.lit("abc"), "a.%"))
+    assert one(spark, text.like(F.lit(None).cast("string"), "%")) is None
+
+
+def test_more_vectors(spark):
+    v = F.array(F.lit(3.0), F.lit(1.0), F.lit(3.0), F.lit(2.0))
+    none = F.array().cast("array<double>")
+    assert one(spark, vectors.order(v)) == [1, 3, 0, 2] and one(spark, vectors.encode_unique(v)) == [2, 0, 2, 1]
+    assert one(spark, vectors.order(none)) == [] and one(spark, vectors.is_uniform(none)) and one(spark, vectors.scaled_sum(none, 2.0)) == 0
+    assert one(spark, vectors.arrange(0, 5, 2)) == [0, 2, 4] and one(spark, vectors.arrange(5, 0, -2)) == [5, 3, 1] and one(spark, vectors.arrange(3, 3)) == [] and one(spark, vectors.arrange(3, 9, -1)) == []
+    assert one(spark, vectors.full(3, 1.5)) == [1.5] * 3 and one(spark, vectors.places(v, lambda x: x > 2)) == [0, 2] and one(spark, vectors.places(none, lambda x: x > 2)) == []
+    assert one(spark, vectors.smaller(v, F.reverse(v))) == [2.0, 1.0, 1.0, 2.0] and one(spark, vectors.larger(v, F.reverse(v))) == [3.0, 3.0, 3.0, 3.0]
+
+
+def test_nanoseconds(spark):
+    a, b = F.lit(-1_500_000_001), F.lit(2_000_000_000)
+    assert one(spark, dates.nanosecond(a)) == 499_999_999 and one(spark, dates.nanos_apart("second", a, b)) == -3 and one(spark, dates.nanos_apart("nanosecond", b, a)) == 3_500_000_001
+    assert one(spark, dates.add_nanos(a, "second", 2)) == 499_999_999
+
+
+def test_batches(spark):
+    df = spark.createDataFrame([(k, v) for k in (1.0, 2.0, None) for v in range(5)], "k double, v long").repartition(2)
+    out = batches.execute_multi(df, lambda b: [(0, b[b.v % 2 == 0]), (5, b[b.v % 2 == 1])], "k double, v long")
+    assert out.columns == ["bucket", "k", "v"] and {(r["bucket"], r["v"] % 2) for r in out.collect()} == {(0, 0), (5, 1)} and out.count() == 15
+    with pytest.raises(Exception, match="0 to 63"):
+        batches.execute_multi(df, lambda b: [(64, b)], "k double, v long").collect()
+    other = spark.createDataFrame([(1.0, "x"), (None, "y"), (7.0, "z")], "k double, w string")
+    for split in (1, 3):
+        met = batches.execute_join(df, other, ["k"], lambda a, b: a.merge(b[["w"]], how="cross")[["v", "w"]], "v long, w string", split)
+        assert sorted(map(tuple, met.collect())) == sorted((v, w) for w in "xy" for v in range(5))
+    assert batches.execute_join(df.where("false"), other, ["k"], lambda a, b: b[["w"]], "w string").count() == 3
+    grouped = batches.execute_grouping(df, lambda b: b.groupby("k", dropna=False, as_index=False).v.sum(), "k double, v long", "k", lambda x: x.groupBy("k").agg(F.sum("v").alias("v")))
+    assert {r["v"] for r in grouped.collect()} == {10} and grouped.count() == 3
+    assert batches.execute(df.where("false"), lambda b: b, "k double, v long").collect() == []
+
+
+def test_spans(spark):
+    rows = [("c", "S:a", 0), ("c", "S:b", 1), ("c", "S:a", 2), ("c", "E:a", 5), ("d", "S:a", 5), ("c", "E:b", 6), ("c", "E:a", 9), ("d", "E:a", 9), ("c", "note", 3), ("c", "S:open", 4)]
+    df = spark.createDataFrame([(c, p, datetime(2024, 1, 1, 0, 0, t), i) for i, (c, p, t) in enumerate(rows)], "c string, p string, t timestamp, i int")
+    found = trace.spans(df, "c", "p", "t", "i")
+    assert sorted((r["context"], r["name"], r["micros"] // 10**6) for r in found.collect()) == [("c", "a", 3), ("c", "a", 9), ("c", "b", 5), ("d", "a", 4)]
+    assert [tuple(r) for r in trace.summary(found).where("name = 'a'").collect()] == [("a", 3, 4e6, 9 * 10**6, 16 * 10**6)]
+    with pytest.raises(Exception, match="no start for the end of a"):
+        trace.spans(df.where("i > 2"), "c", "p", "t", "i").collect()
+
+
+def test_event_log(spark, tmp_path):
+    (tmp_path / "log").write_text("\n".join(json.dumps(x) for x in [{"Event": "SparkListenerTaskEnd", "Stage ID": 3, "Task Info": {"Task ID": k, "Launch Time": 1000, "Finish Time": 1000 + k, "Executor ID": "1"}} for k in (5, 7)] + [{"Event": "Other"}]))
+    found = trace.spans(trace.task_records(spark, str(tmp_path / "log")), "context", "position", "instant", "tie")
+    assert sorted((r["name"], r["micros"]) for r in found.collect()) == [("stage 3", 5000), ("stage 3", 7000)]
+
+
+def test_values_of_a_hot_key(spark):
+    t = Typed.from_range(spark, 1, 1000).group_values(lambda x: F.when(x > 900, x % 3).otherwise(None), 250)
+    got = {(r["key"], r["part"]): r["values"] for r in t.collect()}
+    assert [len(got[None, i]) for i in range(4)] == [250, 250, 250, 150] and sum(map(len, got.values())) == 1000 and max(map(len, got.values())) == 250
+    assert got[0, 0] == list(range(903, 1001, 3))
+    pairs = Typed.from_range(spark, 1, 4).map(lambda x: (x % 2, x)).group_values(lambda k, x: k)
+    assert {r["key"]: [v["_2"] for v in r["values"]] for r in pairs.collect()} == {0: [2, 4], 1: [1, 3]}
+    r = Typed.from_range(spark, 1, 10)
+    assert r.reduce(operator.xor) == 11 and r.reduce("or") == 15 and r.reduce(operator.and_) == 0 and r.map(lambda x: x > 0).reduce(all) and r.map(lambda x: x > 9).reduce("any")
+    assert sorted(r.to_rdd().collect()) == list(range(1, 11)) and r.map(lambda x: (x, x)).to_rdd().first() == (1, 1)
+
+
+def test_tables_are_compared(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (2, None)], "k int, v string")
+    assert sets.same_rows(a, a.repartition(3)) and not sets.same_rows(a, a.distinct()) and not sets.same_rows(a, a.withColumnRenamed("v", "w")) and sets.same_rows(a.where("false"), a.where("false"))
+    assert sets.same_order(a, ["k"], a.orderBy("v"), ["k"]) and not sets.same_order(a, ["k"], a, [F.desc("k")])
