@@ -25,10 +25,6 @@ def is_even(c: Column) -> Column:
     return c % 2 == 0
 
 
-def is_odd(c: Column) -> Column:
-    return c % 2 != 0
-
-
 def is_infinite(c: Column) -> Column:
     return F.abs(c) == float("inf")
 

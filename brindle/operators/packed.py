@@ -139,6 +139,9 @@ class Grammar:
         self.mixing = [d.mark for d in self.delimiters if d.mixes]
         self.marks[ANY] = "|".join(map(re.escape, self.mixing))
         self.any = re.compile(self.marks[ANY]) if self.mixing else None
+        code = lambda s: "".join(f"\\x{{{ord(c):x}}}" for c in s)
+        #: For Arrow: a slot, by any mark, that begins with a quote behind white space.
+        self.begins = "(?:^|" + "|".join(code(d.mark) for d in self.delimiters) + r""")[\s\pZ\x0b\x1c-\x1f\x{85}]*["']"""
         self.tokens: dict[tuple[str, str, bool], re.Pattern] = {}
 
     def found(self, body: str) -> list[str]:
@@ -262,10 +265,10 @@ class Coder:
         fields = sum(learned.marks.values())
         self.mark = {m: round(BIT * math.log2((fields + 0.5 * (len(self.grammar.marks) + 1)) / (learned.marks.get(m, 0) + 0.5))) for m in [WHOLE, *self.grammar.marks]}
         self.log_total = math.log2(n)
-        self.longest = max(map(len, learned.counts), default=0)
         # A code that holds a mark, or whose field holds a quote, may be a whole field that looks like several values.
         marks = re.compile("|".join([*(re.escape(d.mark) for d in self.grammar.delimiters), '"', "'"]))
         self.wholes = {k for k in learned.counts if marks.search(k)}
+        self.longest_whole = max(map(len, self.wholes), default=0)
         self.known: dict[str, int] = {}
         self.more: dict[str, int] | None = None
 
@@ -445,7 +448,7 @@ def plain(texts: pa.Array, grammar: Grammar) -> Iterator[tuple[np.ndarray, pa.Ar
     quote that occurs, if any. Fields must not be null.
 
     Plain are fields without backslash and characters of no width, with no more than one bracket at either end, and, if
-    they hold quotes, with one kind of quote and of delimiter."""
+    slots of theirs begin with quotes, with one kind of quote and of delimiter."""
     body = pc.utf8_trim_whitespace(texts)
     data = _data(texts)
     ok = ~_has(texts, "\\", data) & (pc.binary_length(body).to_numpy(zero_copy_only=False) > 0)
@@ -480,6 +483,11 @@ def plain(texts: pa.Array, grammar: Grammar) -> Iterator[tuple[np.ndarray, pa.Ar
         ok &= ~there if i >= 60 else True
         n_kinds += there
     double, single = _has(body, '"', data), _has(body, "'", data)
+    # A quote with which no slot begins is a part of its value by every dialect.
+    at = np.nonzero((double | single) & ok)[0]
+    if at.size:
+        begins = pc.match_substring_regex(body.take(pa.array(at)), grammar.begins).to_numpy(zero_copy_only=False)
+        double[at[~begins]] = single[at[~begins]] = False
     quote = np.where(double, 1, np.where(single, 2, 0))
     patterns = sum(1 << i for i, d in enumerate(grammar.delimiters) if d.pattern and i < 60)
     ok &= (quote == 0) | ((n_kinds <= 1) & ~(double & single) & (kinds & patterns == 0))
@@ -620,9 +628,10 @@ def _parse_batch(coder: Coder, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
                 least = np.minimum(least, BIT * (coder.log_total - math.log2(coder.learned.rest) + coder.seen))
             sure &= best <= coder.mark[WHOLE] + least
             if wholes := coder.wholes:
-                # Folding shortens a field by its white space only.
-                at = np.nonzero((size <= coder.longest) | pc.match_substring_regex(body, r"[\s\pZ][\s\pZ]|[^\S ]|[\x0b\x1c-\x1f\x{85}]").to_numpy(zero_copy_only=False))[0]
-                sure[at[np.fromiter((fold(x) in wholes for x in body.take(pa.array(at)).to_pylist()), bool, len(at))]] = False
+                # Folding changes letters, and white space where there is more of it than single spaces inside.
+                spaced = pc.match_substring_regex(body, r"[\s\pZ][\s\pZ]|[^\S ]|[\x0b\x1c-\x1f\x{85}]|^[\s\pZ]|[\s\pZ]$").to_numpy(zero_copy_only=False)
+                for at, key in ((np.nonzero(spaced)[0], fold), (np.nonzero(~spaced & (size <= coder.longest_whole))[0], str.lower)):
+                    sure[at[np.fromiter((key(x) in wholes for x in body.take(pa.array(at)).to_pylist()), bool, len(at))]] = False
         good &= sure | empty
         done[rows[good]] = True
         for i, (_, slots) in enumerate(readings):

@@ -143,6 +143,15 @@ def _view(spark: SparkSession, d: str) -> DataFrame:
 
 
 _add("proj_view_columns", _view, "SELECT l_suppkey AS supplier_no, round(sum(l_quantity), 2) AS total FROM lineitem GROUP BY l_suppkey")
+
+
+def _sql_view(spark: SparkSession, d: str) -> DataFrame:
+    table(spark, d, "lineitem").createOrReplaceTempView("sold")
+    spark.sql("CREATE OR REPLACE TEMPORARY VIEW revenue (supplier_no, total) AS SELECT l_suppkey, round(sum(l_extendedprice * (1 - l_discount)), 2) FROM sold GROUP BY l_suppkey")
+    return spark.sql("SELECT supplier_no, total FROM revenue WHERE total > 0")
+
+
+_add("proj_view_sql", _sql_view, "SELECT * FROM (SELECT l_suppkey AS supplier_no, round(sum(l_extendedprice * (1 - l_discount)), 2) AS total FROM lineitem GROUP BY l_suppkey) WHERE total > 0")
 _q("proj_derived_aliases", "SELECT k, n FROM (SELECT o_custkey, count(*) FROM orders GROUP BY o_custkey) AS t(k, n)")
 _on("proj_chained_columns", "xy_points", lambda t: _chain(t, 10).select("id", F.round("x", 6).alias("x")), "SELECT id, round(double_x + 10, 6) AS x FROM xy_points")
 
@@ -754,12 +763,19 @@ def _rate(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("bar").agg(F.max("n").alias("n"))
 
 
+def _clock(spark: SparkSession, d: str) -> DataFrame:
+    """The clock-driven source: its numbers come once each and without gaps."""
+    out = streams.run_batches(io.rate(spark, 50), "append", 4)
+    return out.agg((F.count(F.lit(1)) == F.count_distinct("value")).alias("once"), (F.coalesce(F.max("value") + 1, F.lit(0)) == F.count(F.lit(1))).alias("whole"))
+
+
 def _memory(spark: SparkSession, d: str) -> DataFrame:
     return streams.to_memory(streams.count_by(streams.stream_of(spark, _steps(spark, d)), "event_type"), "complete")
 
 
 _add("stream_steps", _steps_seen, "SELECT CAST(4 AS BIGINT) AS steps, true AS again")
 _add("stream_rate_update", _rate, "SELECT i % 10 AS bar, count(*) AS n FROM range(0, 2000) t(i) GROUP BY i % 10")
+_add("stream_rate", _clock, "SELECT true AS once, true AS whole")
 _add("stream_memory_sink", _memory, "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 
 # ---- extensions: what Spark gives beyond the inventory ---------------------------------------------------------------
