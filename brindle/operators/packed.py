@@ -662,6 +662,12 @@ def _lists(text: pa.Array, n: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), text)
 
 
+def folded(text: pa.Array) -> pa.Array:
+    """Every value in lower case and with single spaces; each different one is folded once."""
+    coded = text.dictionary_encode()
+    return pa.array([fold(v) for v in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
+
+
 def _best_of_keys(key: pa.Array, bits: np.ndarray, n: np.ndarray, values: pa.ListArray) -> np.ndarray:
     """The rows to keep of a batch: of each key the one with values, the fewest bits and the first values in order."""
     number = key.dictionary_encode().indices.to_numpy()
@@ -682,10 +688,10 @@ def _best_of_keys(key: pa.Array, bits: np.ndarray, n: np.ndarray, values: pa.Lis
     return np.sort(keep)
 
 
-def parsed(df: DataFrame, field: str, keep: list[str], bits: str = "bits", values: str = "values", max_codes: int = MAX_CODES, delimiters: Sequence[Delimiter | str] = DELIMITERS, best_by: str | None = None) -> DataFrame:
+def parsed(df: DataFrame, field: str, keep: list[str], bits: str = "bits", values: str = "values", max_codes: int = MAX_CODES, delimiters: Sequence[Delimiter | str] = DELIMITERS, best_by: str | None = None, fold_values: bool = False) -> DataFrame:
     """The kept columns of every row, the bits (1024ths) of its values and the list of them (empty for null and "nothing").
 
-    `best_by` names a kept column: rows that another row of the same batch and key beats may then be left out. If all
+    With `fold_values` they are in lower case and with single spaces. `best_by` names a kept column: rows that another row of the same batch and key beats may then be left out. If all
     codes fit into the table for all tasks nothing is shuffled: each partition is parsed where it lies."""
     spark, grammar = df.sparkSession, Grammar(delimiters)
     learned, counts = learn(df, field, grammar, max_codes)
@@ -708,7 +714,7 @@ def parsed(df: DataFrame, field: str, keep: list[str], bits: str = "bits", value
                 rows, b, n = np.concatenate([filled[rows], empty]), np.concatenate([b, np.zeros(len(empty), np.int64)]), np.concatenate([n, np.zeros(len(empty), np.int64)])
             else:
                 rows = filled[rows]
-            v = _lists(text, n)
+            v = _lists(folded(text) if fold_values else text, n)
             columns = [c.take(pa.array(rows)) for c in batch.columns[: len(names)]]
             if by is not None:
                 at = _best_of_keys(columns[by], b, n, v)
@@ -721,11 +727,11 @@ def parsed(df: DataFrame, field: str, keep: list[str], bits: str = "bits", value
 
     done = spread(source).mapInArrow(run, out)
     if learned.rest > 1:
-        done = _ask(materialize(done, "parsed"), counts, shared, delimiters, names)
+        done = _ask(materialize(done, "parsed"), counts, shared, delimiters, names, fold_values)
     return done.select(*(F.col(n).alias(c) for n, c in zip(names, keep)), F.col("b").alias(bits), F.col("v").alias(values))
 
 
-def _ask(done: DataFrame, counts: DataFrame, shared, delimiters: Sequence[Delimiter | str], names: list[str]) -> DataFrame:
+def _ask(done: DataFrame, counts: DataFrame, shared, delimiters: Sequence[Delimiter | str], names: list[str], fold_values: bool) -> DataFrame:
     """Parses the fields that are still open (`f` is set) with the counts of their own values, each different field once."""
     fields = done.where("f is not null").select("f").distinct()
 
@@ -744,7 +750,7 @@ def _ask(done: DataFrame, counts: DataFrame, shared, delimiters: Sequence[Delimi
             for f, keys, ns in zip(*(c.to_pylist() for c in batch.columns)):
                 coder.more = dict(zip(keys or [], ns or []))
                 solved.append(coder.parse(f))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b for b, _ in solved], pa.int64()), pa.array([v for _, v in solved], pa.list_(pa.string()))], names=["f", "b", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b for b, _ in solved], pa.int64()), pa.array([[fold(x) for x in v] if fold_values else v for _, v in solved], pa.list_(pa.string()))], names=["f", "b", "v"])
 
     known = fields.mapInArrow(ask, "f string, value string").join(counts, "value").groupBy("f").agg(F.collect_list(F.struct("value", "n")).alias("found"))
     asked = fields.join(known, "f", "left").select("f", "found.value", "found.n")
@@ -753,14 +759,14 @@ def _ask(done: DataFrame, counts: DataFrame, shared, delimiters: Sequence[Delimi
     return done.where("f is null").select(*names, "b", "v").union(still)
 
 
-def once_per_key(df: DataFrame, field: str, key: str, max_codes: int = MAX_CODES, values: str = "values", delimiters: Sequence[Delimiter | str] = DELIMITERS) -> DataFrame:
+def once_per_key(df: DataFrame, field: str, key: str, max_codes: int = MAX_CODES, values: str = "values", delimiters: Sequence[Delimiter | str] = DELIMITERS, fold_values: bool = False) -> DataFrame:
     """One row per key with the values of its cheapest parsed row: the same record may have come more than once, written
-    in different ways. Rows without values give way to rows with some. Null keys are left out.
+    in different ways. Rows without values give way to rows with some. Null keys are left out. `fold_values` as in `parsed`.
 
     The best row of a key is taken in every batch before the shuffle, so a key that holds a third of all rows sends one row
     a batch. Rows are then sorted once, behind the shuffle."""
     k = free_name("k", [])
-    rows = parsed(df.where(F.col(key).isNotNull()), field, [key], "b", "v", max_codes, delimiters, key).withColumnRenamed(key, k)
+    rows = parsed(df.where(F.col(key).isNotNull()), field, [key], "b", "v", max_codes, delimiters, key, fold_values).withColumnRenamed(key, k)
     best = rows.repartition(k).groupBy(k).agg(F.min(F.struct((F.size("v") == 0).alias("empty"), F.col("b"), F.col("v"))).alias("best"))
     return best.select(F.col(k).alias(key), F.col("best.v").alias(values))
 

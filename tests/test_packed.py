@@ -187,3 +187,10 @@ def test_asking_over_tables(spark):
     for key in (None, "id"):
         few, all_ = (sorted(map(tuple, packed.split_packed(df, "items", ["id"] if key is None else [], key, max_codes=m).collect())) for m in (3, 1 << 17))
         assert few == all_ and len(few) > 600
+
+
+@pytest.mark.parametrize("max_codes", [1 << 17, 1])
+def test_folded_values(spark, max_codes):
+    df = spark.createDataFrame([(1, "MUG;  Cr\u00c8me \u00a0 Cup;mug"), (1, "Mug|Cr\u00e8me Cup|Mug"), (2, None), (3, "'A  B'")], "id int, items string")
+    out = packed.once_per_key(df, "items", "id", max_codes, fold_values=True)
+    assert {r["id"]: r["values"] for r in out.collect()} == {1: ["mug", "cr\u00e8me cup", "mug"], 2: [], 3: ["a b"]}
