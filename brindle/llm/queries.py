@@ -15,9 +15,7 @@ from brindle.storage import materialize
 
 
 def _goods(spark: SparkSession, d: str) -> DataFrame:
-    baskets = once_per_key(table(spark, d, "shop_orders"), "items", "id")
-    folded = F.transform("values", lambda x: F.regexp_replace(F.lower(x), r"(?U)\s+", " "))
-    return baskets.select(folded.alias("items"))
+    return once_per_key(table(spark, d, "shop_orders"), "items", "id", values="items", fold_values=True)
 
 
 def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
