@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from brindle.llm import subjects
-from brindle.llm.subjects import Rows, Vocabulary, classify, features, fit, gradient, sections
+from brindle.llm.subjects import Rows, Vocabulary, classify, distinct, features, fit, gradient, sections
 
 TERMS = {"sport": ["goalkeeper", "penalty", "stadium", "referee", "hurdles"], "food": ["sourdough", "vinegar", "dumplings", "seasoning", "custard"], "law": ["verdict", "notary", "easement", "plaintiff", "statute"]}
 PLAIN = "the account of this and that was found in an early list where others held it little known for years".split()
@@ -54,6 +54,13 @@ def test_gradient_by_differences():
             assert abs((up - down) / 2e-3 - g[i]) < 2e-2
 
 
+def test_distinct():
+    rng, place = np.random.default_rng(1), np.zeros(50, np.int32)
+    for n in (0, 1, 7, 400):
+        x = rng.integers(0, 50, n).astype(np.int32)
+        assert sorted(distinct(x, place)) == sorted(set(x.tolist()))
+
+
 def test_rows_of_a_vocabulary():
     v = Vocabulary(["mug", "tea"], np.array([1.0, 2.0]))
     x, owner = v.rows(["mug mug tea", None, "none\n== H ==\ntea"], True)
