@@ -515,6 +515,18 @@ def _fields(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, pa.Array]:
     return rows, a.take(pa.array(rows))
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 40_000, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Small batches put together, as groups of plain fields should not be too small; large ones as they are."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows or sum(x.nbytes for x in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 VALUE, MARK = 0, 1
 _coders: dict[str, Coder] = {}
 
@@ -539,7 +551,7 @@ def _count(batches: Iterator[pa.RecordBatch], grammar: Grammar, most: int = 200_
 
     counts: Counter = Counter()
     marks: Counter = Counter()
-    for batch in batches:
+    for batch in _gathered(batches):
         _, texts = _fields(batch, 0)
         done, raw = np.zeros(len(texts), bool), Counter()
         for rows, body, found, quote in plain(texts, grammar):
@@ -670,7 +682,10 @@ def folded(text: pa.Array) -> pa.Array:
 
 def _best_of_keys(key: pa.Array, bits: np.ndarray, n: np.ndarray, values: pa.ListArray) -> np.ndarray:
     """The rows to keep of a batch: of each key the one with values, the fewest bits and the first values in order."""
-    number = key.dictionary_encode().indices.to_numpy()
+    coded = key.dictionary_encode()
+    if len(coded.dictionary) == len(key):
+        return np.arange(len(key))
+    number = coded.indices.to_numpy()
     order = np.lexsort((bits, n == 0, number))
     start = np.concatenate([[True], np.diff(number[order]) > 0]) if len(order) else np.zeros(0, bool)
     if start.all():
@@ -679,11 +694,13 @@ def _best_of_keys(key: pa.Array, bits: np.ndarray, n: np.ndarray, values: pa.Lis
     tie = (bits[order] == bits[order[head]]) & ((n == 0)[order] == (n == 0)[order[head]])
     keep = order[start]
     if (tie & ~start).any():
-        best = {int(number[i]): int(i) for i in keep}
-        for i in order[tie & ~start].tolist():
-            b = best[int(number[i])]
-            if values[i].as_py() < values[b].as_py():
-                best[int(number[i])] = i
+        tied = order[tie & ~start]
+        some = np.unique(np.concatenate([tied, order[head[tie & ~start]]]))
+        lists = dict(zip(some.tolist(), values.take(pa.array(some)).to_pylist()))
+        best = dict(zip(number[keep].tolist(), keep.tolist()))
+        for k, i in zip(number[tied].tolist(), tied.tolist()):
+            if lists[i] < lists[best[k]]:
+                best[k] = i
         keep = np.array(list(best.values()))
     return np.sort(keep)
 
@@ -704,7 +721,7 @@ def parsed(df: DataFrame, field: str, keep: list[str], bits: str = "bits", value
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(name, shared, delimiters)
-        for batch in batches:
+        for batch in _gathered(batches):
             filled, texts = _fields(batch, len(names))
             rows, b, text, n, still = _parse_batch(coder, texts)
             empty = np.ones(batch.num_rows, bool)

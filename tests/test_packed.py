@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -194,3 +197,13 @@ def test_folded_values(spark, max_codes):
     df = spark.createDataFrame([(1, "MUG;  Cr\u00c8me \u00a0 Cup;mug"), (1, "Mug|Cr\u00e8me Cup|Mug"), (2, None), (3, "'A  B'")], "id int, items string")
     out = packed.once_per_key(df, "items", "id", max_codes, fold_values=True)
     assert {r["id"]: r["values"] for r in out.collect()} == {1: ["mug", "cr\u00e8me cup", "mug"], 2: [], 3: ["a b"]}
+
+
+def test_the_best_row_of_a_batch():
+    r = random.Random(1)
+    for n in (0, 1, 50, 300):
+        keys, bits = [r.choice("abcdefgh") for _ in range(n)], np.array([r.randint(0, 3) for _ in range(n)], np.int64)
+        lists = [[r.choice("xy") for _ in range(r.randint(0, 2))] for _ in range(n)]
+        at = packed._best_of_keys(pa.array(keys, pa.string()), bits, np.array([len(x) for x in lists], np.int64), pa.array(lists, pa.list_(pa.string())))
+        rank = lambda i: (not lists[i], bits[i], lists[i])  # noqa: B023, E731
+        assert {keys[i]: rank(i) for i in at} == {k: min(rank(i) for i in range(n) if keys[i] == k) for k in set(keys)} and len(at) == len(set(keys))
