@@ -47,6 +47,8 @@ _ASIDE = re.compile(r"<ref[^<>]*/>|<ref[^<>]*>.*?</ref>|<!--.*?-->", re.S | re.I
 _ADDRESS = re.compile(r"https?://\S+", re.I)
 _HEADING = re.compile(r"[ \t]*==+[^=]+==+[ \t]*")
 _WORD = re.compile(r"[^\W\d_]{2,}")
+#: The same for ASCII lines in lower case.
+_ASCII_WORD = re.compile("[a-z]{2,}")
 _DAMAGED = re.compile("[ÂÃ][\u0080-¿Œ-Ÿˆ-™]")
 
 
@@ -65,13 +67,14 @@ def lines(text: str | None) -> list[str]:
 def words(line: str) -> list[str] | None:
     """Words of a line in lower case, without addresses and invisible characters; UTF-8 that was read as Windows-1252 is
     mended. None for a heading."""
-    if not line.isascii():
+    plain = line.isascii()
+    if not plain:
         line = unicodedata.normalize("NFKC", _UNSEEN.sub("", _DAMAGED.sub(_mend, line)))
     if "://" in line:
         line = _ADDRESS.sub(" ", line)
     if "==" in line and _HEADING.fullmatch(line):
         return None
-    return _WORD.findall(line.lower())
+    return (_ASCII_WORD if plain else _WORD).findall(line.lower())
 
 
 def sections(text: str | None) -> list[list[str]]:

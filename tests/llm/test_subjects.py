@@ -3,9 +3,11 @@ import random
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from brindle.llm import subjects
-from brindle.llm.subjects import Rows, Vocabulary, classify, distinct, features, fit, gradient, sections
+from brindle.llm.subjects import Rows, Vocabulary, classify, distinct, features, fit, gradient, sections, words
 
 TERMS = {"sport": ["goalkeeper", "penalty", "stadium", "referee", "hurdles"], "food": ["sourdough", "vinegar", "dumplings", "seasoning", "custard"], "law": ["verdict", "notary", "easement", "plaintiff", "statute"]}
 PLAIN = "the account of this and that was found in an early list where others held it little known for years".split()
@@ -54,6 +56,12 @@ def test_gradient_by_differences():
             assert abs((up - down) / 2e-3 - g[i]) < 2e-2
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.characters(max_codepoint=127), max_size=40))
+def test_words_of_ascii_lines(line):
+    assert words(line) is None or words(line) == subjects._WORD.findall(subjects._ADDRESS.sub(" ", line).lower())
+
+
 def test_distinct():
     rng, place = np.random.default_rng(1), np.zeros(50, np.int32)
     for n in (0, 1, 7, 400):
