@@ -496,7 +496,7 @@ def _told(number: int, b: pd.DataFrame) -> pd.DataFrame:
 
 def _met(c: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
     """Customers with their orders' number and highest price."""
-    return pd.DataFrame({"k": c["k"], "n": len(o), "top": o["price"].max() if len(o) else None}).astype({"n": "int64", "top": "float64"})
+    return pd.DataFrame({"k": c["k"], "n": np.int64(len(o)), "top": o["price"].max() if len(o) else np.nan})
 
 
 def _partial(b: pd.DataFrame) -> pd.DataFrame:

@@ -5,6 +5,7 @@ import sys
 from datetime import datetime
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -202,3 +203,41 @@ def test_tables_are_compared(spark):
     a = spark.createDataFrame([(1, "x"), (1, "x"), (2, None)], "k int, v string")
     assert sets.same_rows(a, a.repartition(3)) and not sets.same_rows(a, a.distinct()) and not sets.same_rows(a, a.withColumnRenamed("v", "w")) and sets.same_rows(a.where("false"), a.where("false"))
     assert sets.same_order(a, ["k"], a.orderBy("v"), ["k"]) and not sets.same_order(a, ["k"], a, [F.desc("k")])
+
+
+def test_join_calls_for_parts_with_rows_only(spark):
+    """Split by 50, a key of one row is one call, not 50; and integers beyond 2**53 beside nulls stay exact."""
+    big = 2**53 + 1
+    left = spark.createDataFrame([(k, big + k) for k in range(40)] + [(None, 1), (50, None), (0, 7)], "k long, i long").repartition(3)
+    right = spark.createDataFrame([(k % 40, "ab"[k % 2]) for k in range(200)] + [(None, "z"), (77, "q")], "k long, w string").repartition(3)
+    calls = spark.sparkContext.accumulator(0)
+
+    def f(a, b):
+        calls.add(1)
+        return pd.DataFrame({"k": a["k"], "i": a["i"], "n": np.int64(len(b)), "w": "".join(sorted(b["w"])), "kinds": f"{a['i'].dtype} {a.index.tolist() == [*range(len(a))]} {a.columns.tolist()}"})
+
+    for split in (1, 50):
+        before = calls.value
+        got = batches.execute_join(left, right, ["k"], f, "k long, i long, n long, w string, kinds string", split).collect()
+        assert calls.value - before <= 43
+        want = {(k, big + k): "ab"[k % 2] * 5 for k in range(40)} | {(None, 1): "z", (50, None): "", (0, 7): "aaaaa"}
+        assert {(r["k"], r["i"]): r["w"] for r in got} == want and all(r["n"] == len(r["w"]) for r in got)
+        assert all(r["kinds"] == f"{'float64' if r['i'] is None else 'int64'} True ['k', 'i']" for r in got)
+
+
+def test_groups_over_batches(spark):
+    """A group goes over as many batches as it has; null, NaN and zeros of either sign are keys; other types go by cogroup."""
+    nan = float("nan")
+    left = spark.createDataFrame([(k, i) for k in (None, nan, -1.5) for i in range(25)] + [(0.0, 1), (-0.0, 2)], "k double, i long").repartition(4)
+    right = spark.createDataFrame([(None, "x"), (nan, "y"), (0.0, "z"), (3.0, "u")], "k double, w string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        for split in (1, 2):
+            for r in (right, right.withColumn("a", F.array("w"))):
+                got = batches.execute_join(left, r, ["k"], lambda a, b: pd.DataFrame({"i": a["i"], "m": np.int64(len(a)), "w": b["w"].sum() if len(b) else ""}), "i long, m long, w string", split).collect()
+                assert sorted((x["w"], x["i"]) for x in got) == sorted([(w, i) for w in ("", "x", "y") for i in range(25)] + [("z", 1), ("z", 2)])
+                assert split > 1 or {(x["w"], x["m"]) for x in got} == {("", 25), ("x", 25), ("y", 25), ("z", 2)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    with pytest.raises(Exception, match="should be"):
+        batches.execute_join(left, right, ["k"], lambda a, b: a, "i long").collect()
