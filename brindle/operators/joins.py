@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.operators import ordered
+from brindle.storage import materialize
 
 #: Bytes of a side that may be sent to all tasks; rows of a range of the other side in an inequality join; most ranges.
 BROADCAST_BYTES, RANGE_ROWS, RANGES = 64 << 20, 100_000, 1000
@@ -65,34 +68,70 @@ def inequality_counts(left: DataFrame, right: DataFrame, a: str, op: str, b: str
 
 def inequality_join(left: DataFrame, right: DataFrame, a: str, op: str, b: str, most: int = BROADCAST_BYTES, range_rows: int = RANGE_ROWS) -> DataFrame:
     """All pairs with a < b (or <=, >, >=); the result is quadratic by nature. Where only their number is wanted, use
-    `inequality_counts`. Nulls meet nothing.
+    `inequality_counts`, for aggregates of them `inequality_packs`. Nulls meet nothing.
 
     A side of at most `most` bytes is sent to all tasks. Else the right side is cut into ranges of about `range_rows` rows,
     and a left row goes to its own range and those beyond it, with all of whose rows it makes pairs: an ordinary join on the
-    range, whose input is small against its result. AQE splits a range with one hot value."""
-    if op not in _OPS:
-        raise ValueError("op is one of < <= > >=")
-    x, y = F.col(a), F.col(b)
-    on = {"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op]
+    range, whose input is small against its result. AQE splits a range with one hot value. Catalyst's estimate of the left
+    side knows nothing of its copies, so it is told not to send them to all tasks."""
+    on = _compare(F.col(a), op, F.col(b))
     if is_small(right, most):
         return left.join(F.broadcast(right), on)
     if is_small(left, most):
         return F.broadcast(left).join(right, on)
-    known = right.where(y.isNotNull())
+    known = right.where(F.col(b).isNotNull())
+    cuts = _cuts(known, b, range_rows)
+    here, last = _place(F.col(a), cuts), F.lit(len(cuts))
+    span = F.sequence(here, last) if op in ("<", "<=") else F.sequence(F.lit(0), here)
+    copies = left.where(F.col(a).isNotNull()).withColumn("_range", F.explode(span))
+    return copies.hint("merge").join(known.withColumn("_range", _place(F.col(b), cuts)), "_range").where(on).drop("_range")
+
+
+def inequality_packs(left: DataFrame, right: DataFrame, a: str, op: str, b: str, parts: dict[str, tuple[Column, Callable[[str], Column]]], range_rows: int = RANGE_ROWS) -> DataFrame:
+    """The pairs with a < b (or <=, >, >=) in packs: left rows with aggregates of right rows, every pair in one pack. For
+    aggregates of the pairs, which then are never made. Nulls meet nothing.
+
+    `parts` are an aggregate of right rows and the function that combines such aggregates, by the name of its column, as
+    n=(F.count(F.lit(1)), F.sum). The right side is folded to its different values, and these are cut into ranges as in
+    `inequality_join`: a left row gets a pack for each value of its own range that it meets, and one for all ranges beyond."""
+    on = _compare(F.col(a), op, F.col("_y"))
+    known = right.where(F.col(b).isNotNull())
+    cuts = _cuts(known, b, range_rows)
+    values = known.groupBy(F.col(b).alias("_y")).agg(*(f.alias(c) for c, (f, _) in parts.items())).withColumn("_range", _place(F.col("_y"), cuts))
+    values = materialize(values, "values")
+    combined = [f(c).alias(c) for c, (_, f) in parts.items()]
+    ranges = values.groupBy(F.col("_range").alias("_there")).agg(*combined)  # at most RANGES rows, as the next
+    every = left.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("_range"))
+    beyond = every.join(F.broadcast(ranges), F.col("_there") > F.col("_range") if op in ("<", "<=") else F.col("_there") < F.col("_range")).groupBy("_range").agg(*combined)
+    placed = left.where(F.col(a).isNotNull()).withColumn("_range", _place(F.col(a), cuts))
+    own = placed.join(values, "_range").where(on).select(*left.columns, *parts)
+    return own.unionByName(placed.join(F.broadcast(beyond), "_range").select(*left.columns, *parts))
+
+
+def _compare(x: Column, op: str, y: Column) -> Column:
+    if op not in _OPS:
+        raise ValueError("op is one of < <= > >=")
+    return {"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op]
+
+
+def _place(c: Column, cuts: list) -> Column:
+    """The number of a value's range: how many cuts are less."""
+    if len(cuts) < 32:
+        return sum((F.when(c > F.lit(k), 1).otherwise(0) for k in cuts), F.lit(0))
+    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda k: c > k))
+
+
+def _cuts(known: DataFrame, b: str, range_rows: int) -> list:
+    """The values at which ranges of about so many rows end, in order, without the last. Only these come to the driver."""
     n = min(RANGES, max(1, -(-known.count() // range_rows)))
+    if n == 1:
+        return []
     some = known.select(b).sample(min(1.0, 50 / range_rows), 1)  # only where to cut hangs on it; 50 values a range
-    inner = some.groupBy(b).agg(F.count(F.lit(1)).alias("_n")).orderBy(b).limit(100 * RANGES).collect() if n > 1 else []
-    cuts, seen, total = [], 0, sum(r["_n"] for r in inner)
-    for r in inner:
-        seen += r["_n"]
-        if len(cuts) < n - 1 and seen * n >= (len(cuts) + 1) * total:
-            cuts.append(r[b])
-    cuts = sorted(set(cuts))
-    place = lambda c: sum((F.when(c > F.lit(k), 1).otherwise(0) for k in cuts), F.lit(0)) if len(cuts) < 32 else F.size(F.filter(F.array(*map(F.lit, cuts)), lambda k: c > k))
-    right = known.withColumn("_range", place(y))
-    here, last = place(x), F.lit(len(cuts))
-    span = F.sequence(here, last) if op in ("<", "<=") else F.sequence(F.lit(0), here)
-    return left.where(x.isNotNull()).withColumn("_range", F.explode(span)).join(right, "_range").where(on).drop("_range")
+    counts = materialize(some.groupBy(b).agg(F.count(F.lit(1)).alias("_n")), "cuts")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    run = ordered.prefix_sum(counts, [], [b], F.col("_n"), "_seen")
+    ends = lambda c: F.expr(f"{c} * {n} div {total}")
+    return sorted(r[0] for r in run.where((ends("_seen") > ends("(_seen - _n)")) & (F.col("_seen") < total)).select(b).collect()) if total else []
 
 
 #: An interval is kept in buckets of which it touches at most so many (and one more); wider ones go to a coarser level.

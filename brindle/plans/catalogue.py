@@ -248,13 +248,14 @@ _q("join_theta_or", "SELECT count(*) AS n FROM lineitem JOIN orders ON l_orderke
 _two("star_checked", "customer", "nation", lambda c, n: joins.star_join(c.withColumnRenamed("c_nationkey", "n_nationkey"), n, "n_nationkey").select("c_custkey", "n_name"), "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
 _two("lookup_misses", "shop_orders", "users", lambda o, u: joins.lookup_misses(o.select("userId").distinct(), u.select(F.col("id").alias("userId")), "userId"), 'SELECT DISTINCT o."userId" FROM shop_orders o WHERE NOT EXISTS (SELECT 1 FROM users u WHERE u.id = o."userId")')
 for _n, _o in {"lt": "<", "le": "<=", "gt": ">", "ge": ">="}.items():
-    # Two large sides: the pairs are counted by sorted search. One small side, and two sides by ranges: the pairs themselves.
+    # Two large sides: the pairs are counted by sorted search. One small side: the pairs
+    # themselves. Two sides by ranges: the pairs in packs, of which none is made.
     _two(f"range_{_n}", "orders", "lineitem", lambda o, l, op=_o: joins.inequality_counts(o, l, "o_totalprice", op, "l_extendedprice").groupBy("o_orderpriority").agg(F.sum("n").alias("pairs"), F.max("n").alias("most")),
          f"""WITH c AS (SELECT y, sum(n) AS n FROM (SELECT l_extendedprice AS y, 1 AS n FROM lineitem UNION ALL SELECT DISTINCT o_totalprice, 0 FROM orders) GROUP BY y),
 r AS (SELECT y, sum(n) OVER (ORDER BY y {'DESC' if '<' in _o else 'ASC'}) {'' if '=' in _o else '- n'} AS n FROM c)
 SELECT o_orderpriority, CAST(sum(n) AS BIGINT) AS pairs, CAST(max(n) AS BIGINT) AS most FROM orders JOIN r ON y = o_totalprice GROUP BY o_orderpriority""")
     _two(f"range_pairs_{_n}", "nation", "region", lambda n, r, o=_o: joins.inequality_join(n, r, "n_regionkey", o, "r_regionkey").select("n_name", "r_name"), f"SELECT n_name, r_name FROM nation JOIN region ON n_regionkey {_o} r_regionkey")
-    _two(f"range_parts_{_n}", "supplier", "customer", lambda l, r, o=_o: joins.inequality_join(l, r, "s_acctbal", o, "c_acctbal", most=0, range_rows=500).groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n"), F.min("c_custkey").alias("first")), f"SELECT s_suppkey, count(*) AS n, min(c_custkey) AS first FROM supplier JOIN customer ON s_acctbal {_o} c_acctbal GROUP BY s_suppkey")
+    _two(f"range_parts_{_n}", "supplier", "customer", lambda l, r, o=_o: joins.inequality_packs(l, r, "s_acctbal", o, "c_acctbal", {"n": (F.count(F.lit(1)), F.sum), "first": (F.min("c_custkey"), F.min)}, range_rows=500).groupBy("s_suppkey").agg(F.sum("n").alias("n"), F.min("first").alias("first")), f"SELECT s_suppkey, count(*) AS n, min(c_custkey) AS first FROM supplier JOIN customer ON s_acctbal {_o} c_acctbal GROUP BY s_suppkey")
 
 
 def _band(e: DataFrame) -> DataFrame:

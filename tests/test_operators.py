@@ -58,6 +58,42 @@ def test_inequality_of_two_large_sides(spark, op):
     assert counts.columns == ["i", "x", "n"] and {r["i"]: r["n"] for r in counts.collect()} == {i: sum(k == i for k, _ in want) for i in range(len(a))}
 
 
+@pytest.mark.parametrize("op", ["<", "<=", ">", ">="])
+def test_pairs_in_packs(spark, op):
+    """Aggregates of all pairs without the pairs: a hot value of the right is one row, and ranges beyond are one."""
+    r, nan = random.Random(3), float("nan")
+    a = [r.choice([1.5, nan, None, r.uniform(-6, 6)]) for _ in range(60)] + [float("inf"), -9.0]
+    b = [r.choice([1.5, 1.5, 1.5, nan, None, r.uniform(-5, 5)]) for _ in range(400)]
+    left, right = spark.createDataFrame([(i // 2, x) for i, x in enumerate(a)], "i int, x double"), spark.createDataFrame([(j, y) for j, y in enumerate(b)], "j int, y double")
+    f = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}[op]
+    rank = lambda x: (x != x, 0 if x != x else x)
+    want = {}
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            if None not in (x, y) and f(rank(x), rank(y)):
+                n, low = want.get(i // 2, (0, j))
+                want[i // 2] = (n + 1, min(low, j))
+    parts = {"n": (F.count(F.lit(1)), F.sum), "low": (F.min("j"), F.min)}
+    for rows in (20, 1000):
+        packs = joins.inequality_packs(left, right, "x", op, "y", parts, range_rows=rows)
+        assert packs.columns == ["i", "x", "n", "low"]
+        assert {k: (n, low) for k, n, low in packs.groupBy("i").agg(F.sum("n"), F.min("low")).collect()} == want
+        assert packs.count() < sum(n for n, _ in want.values()) / (5 if rows == 20 else 2)
+    assert joins.inequality_packs(left, right.where("false"), "x", op, "y", parts).count() == 0
+    with pytest.raises(ValueError):
+        joins.inequality_packs(left, right, "x", "=", "y", parts)
+
+
+@pytest.mark.parametrize("op", ["<", "<=", ">", ">="])
+def test_copies_of_the_left_are_not_broadcast(spark, op):
+    """The left side looks small, as its estimate leaves out its copies by range; their number has no bound."""
+    left, right = spark.range(0, 300, 7).withColumnRenamed("id", "x"), spark.range(100_000, 0, -1).selectExpr("id % 300 AS y", "repeat('z', 40) AS z")
+    out = joins.inequality_join(left, right, "x", op, "y", most=0, range_rows=1000)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    f = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}[op]
+    assert out.count() == sum(f(x, y % 300) for x in range(0, 300, 7) for y in range(1, 100_001))
+
+
 def test_sizes_are_measured(spark):
     df = spark.range(1000).selectExpr("id", "repeat('x', 1000) AS t", "array(id, id) AS a")
     assert 1_000_000 < joins.measured_bytes(df) < 1_100_000
