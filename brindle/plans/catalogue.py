@@ -20,7 +20,7 @@ from brindle.operators import joins, ordered, sets
 from brindle.plans.sql import Book
 from brindle.session import table
 from brindle.sources import tables as io
-from brindle.storage import materialize, shared_dir
+from brindle.storage import is_one_process, materialize, shared_dir
 from brindle.streaming import counts as streams
 from brindle.typed import Typed
 
@@ -99,11 +99,15 @@ _add("scan_generator", lambda spark, d: io.points(spark, 1000).repartition(7).ag
 
 
 def _jdbc(spark: SparkSession, d: str) -> DataFrame:
-    """A table written to a database and read back in parallel ranges of a key; the database is the one that Spark brings."""
-    url = f"jdbc:derby:memory:b{uuid.uuid4().hex};create=true"
+    """A table written to a database and read back in parallel ranges of a key; the database is the one that Spark brings.
+    It is embedded, so rows are written by JDBC where all runs in one process; else by `io.derby`."""
     df = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal")
-    io.write_jdbc(df.coalesce(1), url, "supplier", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
-    return io.jdbc(spark, url, "supplier", "s_suppkey", 0, 1000, 4, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").select(*(F.col(c).alias(c.lower()) for c in ("S_SUPPKEY", "S_NAME", "S_ACCTBAL")))
+    if is_one_process(spark):
+        url = f"jdbc:derby:memory:b{uuid.uuid4().hex};create=true"
+        io.write_jdbc(df.coalesce(1), url, "supplier", driver=io.DERBY)
+    else:
+        url = io.derby(df, "supplier", _folder(spark))
+    return io.jdbc(spark, url, "supplier", "s_suppkey", 0, 1000, 4, driver=io.DERBY).select(*(F.col(c).alias(c.lower()) for c in ("S_SUPPKEY", "S_NAME", "S_ACCTBAL")))
 
 
 def _written(spark: SparkSession, d: str) -> DataFrame:

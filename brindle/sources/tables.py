@@ -5,12 +5,18 @@ Readers of text formats take an explicit schema, so that a file is read once and
 
 from __future__ import annotations
 
+import zipfile
 from collections.abc import Iterable
+from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from brindle.functions.text import quote_csv
+from brindle.storage import local_path
+
 
 def parquet(spark: SparkSession, path: str, rename: dict[str, str] | None = None) -> DataFrame:
     df = spark.read.parquet(path)
@@ -93,6 +99,45 @@ def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "overwrite", **p
     df.write.format("jdbc").mode(mode).options(url=url, dbtable=table, **properties).save()
 
 
+#: The driver of the database that Spark brings.
+DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+
+
+def derby(df: DataFrame, name: str, path: str) -> str:
+    """A table of a new embedded Derby database in a folder that all executors share; its URL, by which any process reads it.
+
+    An embedded database belongs to one process, so where executors are processes of their own, no task can write to the
+    database in which the driver made the table. Here tasks write the rows as CSV, the driver's process takes them in by
+    Derby's bulk import, and the database is closed and packed into an archive, which is read-only and can be open in all."""
+    at = local_path(df.sparkSession, path)
+    quoted = lambda f: quote_csv(F.col(f"`{f.name}`")) if f.dataType.typeName() == "string" else F.hex(f"`{f.name}`") if f.dataType.typeName() == "binary" else F.col(f"`{f.name}`").cast("string")
+    fields = [F.coalesce(quoted(f), F.lit("")) for f in df.schema]  # texts in quotes, as Derby trims others; nulls are empty
+    write(df.select(F.concat(fields[0], *(x for f in fields[1:] for x in (F.lit(","), f))).alias("value")), f"{path}/rows", "text")
+    base = f"jdbc:derby:directory:{at}/made"
+    write_jdbc(df.where("false"), f"{base};create=true", name, driver=DERBY)  # of no partitions: only the driver's process creates it
+    jvm = df.sparkSession._jvm
+    open_ = lambda url: jvm.org.apache.derby.iapi.jdbc.AutoloadedDriver().connect(url, jvm.java.util.Properties())
+    connection = open_(base)
+    try:
+        call = connection.prepareCall("CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL, ?, ?, ',', '\"', 'UTF-8', 0)")
+        for part in sorted((at / "rows").glob("part-*")):
+            call.setString(1, name.upper())
+            call.setString(2, str(part))
+            call.execute()
+    finally:
+        connection.close()
+    try:
+        open_(f"{base};shutdown=true")
+    except Py4JJavaError as e:  # Derby tells so that it has closed the database
+        if e.java_exception.getSQLState() != "08006":
+            raise
+    with zipfile.ZipFile(at / "made.jar", "w", zipfile.ZIP_STORED) as z:  # pages of what is not compressed are found at once
+        for f in sorted((at / "made").rglob("*")):
+            if f.is_file() and f.suffix != ".lck":
+                z.write(f, f.relative_to(at))
+    return f"jdbc:derby:jar:({at}/made.jar)made"
+
+
 def write_to(df: DataFrame, name: str, path: str, kind: str = "parquet") -> DataFrame:
     """Create or replace a catalogue's table by the second data source API, and read it."""
     df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,13 +18,27 @@ def _fs(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+def local_path(spark: SparkSession, path: str) -> Path:
+    """The path for what knows the machines' file system only."""
+    sc = spark.sparkContext
+    uri = sc._jvm.org.apache.hadoop.fs.Path(path).toUri()
+    if (uri.getScheme() or sc._jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(sc._jsc.hadoopConfiguration()).getScheme()) != "file":
+        raise ValueError(f"{path} is not in the file system")
+    return Path(uri.getPath())
+
+
+def is_one_process(spark: SparkSession) -> bool:
+    """Whether tasks run in the driver's process."""
+    return bool(re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """This application's folder in that of spark.checkpoint.dir. It goes when the driver's JVM ends; what a killed driver
     leaves behind bears its application's id. Only where the session names no folder and all runs in one process
     (tests), a folder of its own is made."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        if not is_one_process(spark):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='brindle-')}"
         spark.conf.set("spark.checkpoint.dir", found)

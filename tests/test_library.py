@@ -1,5 +1,6 @@
 import json
 import operator
+import os
 import subprocess
 import sys
 from datetime import datetime
@@ -7,6 +8,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyspark
 import pytest
 from pyspark.sql import functions as F
 
@@ -241,3 +243,35 @@ def test_groups_over_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     with pytest.raises(Exception, match="should be"):
         batches.execute_join(left, right, ["k"], lambda a, b: a, "i long").collect()
+
+
+def test_embedded_database(spark, tmp_path):
+    """Odd texts, nulls and no rows at all come back from the packed database as they went in."""
+    texts = ["  a ", " ", "", None, "a\nb", "a\r\nb", 'q"x', '"', "\\", "é,\\,", "NULL", "'", ",", "x" * 40_000]
+    rows = [(i, t, None if i % 5 == 0 else i / 7, datetime(2024, 1, 1 + i, 1, 2, 3, 456789) if i % 3 else None, i % 2 == 0, bytes([i, 0, 255])) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "k long, s string, d double, t timestamp, b boolean, y binary").repartition(3)
+    url = io.derby(df, "odd", f"file://{tmp_path}/odd")
+    assert sorted(map(tuple, io.jdbc(spark, url, "odd", "k", 0, 10, 4, driver=io.DERBY).collect())) == rows
+    assert io.jdbc(spark, io.derby(df.where("k < 0"), "odd", f"file://{tmp_path}/nothing"), "odd", driver=io.DERBY).count() == 0
+    with pytest.raises(ValueError, match="file system"):
+        io.derby(df, "odd", "hdfs:///odd")
+
+
+def test_database_with_executors_of_their_own(data, tmp_path):
+    """Executors in other processes than the driver read the database that was written."""
+    (tmp_path / "home/work").mkdir(parents=True)  # where executors' logs go
+    for p in Path(pyspark.__file__).parent.iterdir():
+        if p.name != "work":
+            (tmp_path / "home" / p.name).symlink_to(p)
+    code = f"""
+import __spark_entry__
+from brindle.session import session
+s = session("local-cluster[2,1,1024]", "cluster", 2, spark__executor__memory="600m", spark__checkpoint__dir="file://{tmp_path}/shared")
+names = ["s_suppkey", "s_name", "s_acctbal"]
+got = __spark_entry__.queries()["scan_jdbc_roundtrip"](s, "{data}")
+assert got.columns == names and sorted(map(tuple, got.collect())) == sorted(map(tuple, s.read.parquet("{data}/supplier.parquet").select(names).collect()))
+"""
+    env = os.environ | {"SPARK_HOME": str(tmp_path / "home"), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_DIRS": str(tmp_path / "local")}
+    for k in ("PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET"):
+        env.pop(k, None)
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[1], env=env, timeout=300)
