@@ -53,6 +53,8 @@ def star_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -
 
 
 _OPS = ("<", "<=", ">", ">=")
+#: Cuts that are looked at one by one for the range of a value.
+BLOCK = 32
 
 
 def inequality_counts(left: DataFrame, right: DataFrame, a: str, op: str, b: str, out: str = "n") -> DataFrame:
@@ -116,9 +118,11 @@ def _compare(x: Column, op: str, y: Column) -> Column:
 
 def _place(c: Column, cuts: list) -> Column:
     """The number of a value's range: how many cuts are less."""
-    if len(cuts) < 32:
+    if len(cuts) < BLOCK:
         return sum((F.when(c > F.lit(k), 1).otherwise(0) for k in cuts), F.lit(0))
-    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda k: c > k))
+    below = lambda some: F.size(F.filter(some, lambda k: c > k))
+    blocks = below(F.array(*map(F.lit, cuts[BLOCK - 1 :: BLOCK]))) * BLOCK  # whole blocks of cuts, then those of one
+    return blocks + below(F.slice(F.array(*map(F.lit, cuts)), blocks + 1, BLOCK))
 
 
 def _cuts(known: DataFrame, b: str, range_rows: int) -> list:

@@ -58,6 +58,14 @@ def test_inequality_of_two_large_sides(spark, op):
     assert counts.columns == ["i", "x", "n"] and {r["i"]: r["n"] for r in counts.collect()} == {i: sum(k == i for k, _ in want) for i in range(len(a))}
 
 
+@pytest.mark.parametrize("n", [0, 1, 31, 32, 33, 63, 64, 65, 1000])
+def test_ranges_of_values(spark, n):
+    """A value's range is the number of cuts below it, however many there are; NaN is above all."""
+    cuts, xs = [i / 2 for i in range(n)], [-1.0, 0.0, 0.1, 15.4, 15.5, 15.6, 16.0, 16.1, 31.5, 31.6, 499.5, 1e9, float("nan")]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select(joins._place(F.col("x"), cuts).alias("r")).collect()
+    assert [r["r"] for r in got] == [n if x != x else sum(x > c for c in cuts) for x in xs]
+
+
 @pytest.mark.parametrize("op", ["<", "<=", ">", ">="])
 def test_pairs_in_packs(spark, op):
     """Aggregates of all pairs without the pairs: a hot value of the right is one row, and ranges beyond are one."""
